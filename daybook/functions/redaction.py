@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from daybook.functions.text import sanitise_body
+from daybook.functions.text import WHITESPACE
 
 # --- fixed values: the redaction rules --------------------------------------------------
 REDACTION = "[redacted]"
@@ -86,81 +86,93 @@ _NOUN_GATE = r"(?iU)pass|pin|comb|code"
 SPAN_TYPE = "array<struct<start:int,neg_len:int,rule_no:int>>"
 
 
-def _marked(body: Column, before: str, secret: str, after: str) -> Column:
-    last = 4 if "<sep>" in secret else 3
-    return F.regexp_replace(body, F.lit(f"(?iU)({before})({secret})({after})"),
-                            F.lit(f"$1{OPEN}$2{CLOSE}${last}"))
+def _text(s: str) -> str:
+    """A SQL string literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _spans(marked: Column, rule_no: int) -> Column:
+def _spans(marked: str, rule_no: int) -> str:
     """Offsets of the bracketed pieces of ``marked`` in the unbracketed text."""
-    pieces = F.split(marked, f"[{OPEN}{CLOSE}]", -1)
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"),
-                     F.array().cast(SPAN_TYPE).alias("spans"))
+    return f"""aggregate(split({marked}, {_text(f"[{OPEN}{CLOSE}]")}, -1),
+      named_struct('at', 0, 'n', 0, 'spans', cast(array() AS {SPAN_TYPE})),
+      (a, p) -> named_struct('at', a.at + length(p), 'n', a.n + 1, 'spans',
+        CASE WHEN a.n % 2 = 1 THEN concat(a.spans, array(named_struct('start', a.at,
+          'neg_len', -length(p), 'rule_no', {rule_no}))) ELSE a.spans END),
+      a -> a.spans)"""
 
-    def step(acc: Column, piece: Column) -> Column:
-        size = F.length(piece)
-        span = F.struct(acc["at"].alias("start"), (-size).alias("neg_len"),
-                        F.lit(rule_no).alias("rule_no"))
-        grown = F.when(acc["n"] % 2 == 1, F.concat(acc["spans"], F.array(span))
-                       ).otherwise(acc["spans"])
-        return F.struct((acc["at"] + size).alias("at"), (acc["n"] + 1).alias("n"),
-                        grown.alias("spans"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["spans"])
+def _rule_spans(body: str, wordy: bool) -> str:
+    found = []
+    for rule, before, secret, after in PATTERNS:
+        if (rule == "password_or_pin") == wordy:
+            last = 4 if "<sep>" in secret else 3
+            marked = (f"regexp_replace({body}, {_text(f'(?iU)({before})({secret})({after})')}, "
+                      f"{_text(f'$1{OPEN}$2{CLOSE}${last}')})")
+            found.append(_spans(marked, RULES.index(rule)))
+    return "concat(" + ", ".join(found) + ")"
 
 
-def redaction_spans(body: Column) -> Column:
+def _settled(body: str) -> str:
+    """Winning spans of a sentinel-free body as SQL: leftmost, longest, rule order."""
+    kept = _spans(f"replace({body}, {_text(REDACTION)}, {_text(OPEN + REDACTION + CLOSE)})", 0)
+    return f"""transform(array(concat(
+        CASE WHEN {body} RLIKE {_text(_NUMERIC_GATE)} THEN {_rule_spans(body, False)}
+          ELSE cast(array() AS {SPAN_TYPE}) END,
+        CASE WHEN {body} RLIKE {_text(_NOUN_GATE)} THEN {_rule_spans(body, True)}
+          ELSE cast(array() AS {SPAN_TYPE}) END)), found -> CASE WHEN size(found) = 0 THEN found
+      ELSE aggregate(array_sort(filter(found, s -> s.neg_len < 0 AND NOT exists({kept}, k ->
+          s.start < k.start - k.neg_len AND k.start < s.start - s.neg_len))),
+        named_struct('end', -1, 'hits', cast(array() AS {SPAN_TYPE})),
+        (a, s) -> CASE WHEN s.start < a.end THEN a ELSE
+          named_struct('end', s.start - s.neg_len, 'hits', concat(a.hits, array(s))) END,
+        a -> a.hits) END)[0]"""
+
+
+def _gated(body: str, work: str, rest: str) -> str:
+    return (f"CASE WHEN {body} RLIKE {_text(_NUMERIC_GATE)} OR {body} RLIKE {_text(_NOUN_GATE)} "
+            f"THEN {work} ELSE {rest} END")
+
+
+def _bound(value: str, name: str, work: str) -> str:
+    """Evaluate ``value`` once and use it as ``name`` in ``work``."""
+    return f"transform(array({value}), {name} -> {work})[0]"
+
+
+def _plain(body: str) -> str:
+    return f"translate({body}, {_text(OPEN + CLOSE)}, {_text(chr(0xe002) * 2)})"
+
+
+def redaction_spans(column: str) -> Column:
     """The winning, non-overlapping spans of a body: array of (start, neg_len, rule_no)."""
-    plain = F.translate(body, OPEN + CLOSE, "\ue002\ue002")
-    none = F.array().cast(SPAN_TYPE)
-
-    def found(positions: tuple[int, ...]) -> Column:
-        return F.concat(*[
-            _spans(_marked(plain, *PATTERNS[p][1:]), RULES.index(PATTERNS[p][0]))
-            for p in positions])
-
-    numeric = tuple(i for i, p in enumerate(PATTERNS) if p[0] != "password_or_pin")
-    wordy = tuple(i for i, p in enumerate(PATTERNS) if p[0] == "password_or_pin")
-    kept = _spans(F.replace(plain, F.lit(REDACTION), F.lit(OPEN + REDACTION + CLOSE)), 0)
-    candidates = F.concat(
-        F.when(plain.rlike(_NUMERIC_GATE), found(numeric)).otherwise(none),
-        F.when(plain.rlike(_NOUN_GATE), found(wordy)).otherwise(none))
-    free = F.filter(candidates, lambda s: (s["neg_len"] < 0) & ~F.exists(
-        kept, lambda k: (s["start"] < k["start"] - k["neg_len"])
-        & (k["start"] < s["start"] - s["neg_len"])))
-    begin = F.struct(F.lit(-1).alias("end"), none.alias("hits"))
-
-    def step(acc: Column, s: Column) -> Column:
-        return F.when(s["start"] < acc["end"], acc).otherwise(F.struct(
-            (s["start"] - s["neg_len"]).alias("end"),
-            F.concat(acc["hits"], F.array(s)).alias("hits")))
-
-    settled = F.aggregate(F.array_sort(free), begin, step, lambda acc: acc["hits"])
-    gate = plain.rlike(_NUMERIC_GATE) | plain.rlike(_NOUN_GATE)
-    return F.when(gate, settled).otherwise(none)
+    work = _bound(_plain(column), "b", _settled("b"))
+    return F.expr(_gated(column, work, f"cast(array() AS {SPAN_TYPE})"))
 
 
 def rule_name(rule_no: Column) -> Column:
     return F.element_at(F.array(*[F.lit(r) for r in RULES]), rule_no + 1)
 
 
-def redact(body: Column) -> Column:
-    """``body`` with every winning span replaced; NULL stays NULL, twice is the same as once."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def redact_sql(body: str) -> str:
+    spans = _bound(_plain(body), "b", _settled("b"))
+    rebuilt = f"""aggregate({spans}, named_struct('at', 0, 'out', cast('' AS string)),
+      (a, s) -> named_struct('at', s.start - s.neg_len, 'out', concat(a.out,
+        substring({body}, a.at + 1, s.start - a.at), {_text(REDACTION)})),
+      a -> concat(a.out, substring({body}, a.at + 1, length({body}))))"""
+    return _gated(body, rebuilt, body)
+
+
+def redact(column: str) -> Column:
+    """The column with every winning span replaced; NULL stays NULL, twice is the same as once.
 
-    def step(acc: Column, s: Column) -> Column:
-        return F.struct(
-            (s["start"] - s["neg_len"]).alias("at"),
-            F.concat(acc["out"], F.substring(body, acc["at"] + 1, s["start"] - acc["at"]),
-                     F.lit(REDACTION)).alias("out"))
+    Built as one SQL expression over a column name: it is parsed once instead of being
+    assembled call by call, which keeps planning fast.
+    """
+    return F.expr(redact_sql(column))
 
-    rebuilt = F.aggregate(redaction_spans(body), begin, step, lambda acc: F.concat(
-        acc["out"], F.substring(body, acc["at"] + 1, F.length(body))))
-    gate = body.rlike(_NUMERIC_GATE) | body.rlike(_NOUN_GATE)
-    return F.when(gate, rebuilt).otherwise(body)
 
+def redacted_line(column: str) -> Column:
+    """Sanitise, redact, sanitise again: one clean line; NULL becomes ''."""
+    def clean(x: str) -> str:
+        return f"trim(regexp_replace(coalesce({x}, ''), {_text(WHITESPACE + '+')}, ' '))"
 
-def redacted_line(body: Column) -> Column:
-    """Sanitise, redact, sanitise again: one clean line."""
-    return sanitise_body(redact(sanitise_body(body)))
+    return F.expr(_bound(clean(column), "line", clean(redact_sql("line"))))

@@ -37,8 +37,7 @@ def sanitise_body(c: Column) -> Column:
 
 def clean_label(c: Column) -> Column:
     """A name or handle column: trimmed, blank becomes NULL."""
-    trimmed = strip(c)
-    return F.when(trimmed != "", trimmed)
+    return F.nullif(strip(c), F.lit(""))
 
 
 def clean_body(c: Column) -> Column:
@@ -51,17 +50,18 @@ def only_digits(c: Column) -> Column:
 
 
 def normalise_handle(c: Column) -> Column:
-    """The one spelling a phone number or address is keyed by; NULL when it is neither."""
-    value = strip(c)
-    digits = only_digits(value)
-    n = F.length(digits)
-    return (F.when(value.contains("@"), F.lower(value))
-            .when(n == 0, F.lit(None).cast("string"))
-            .when(value.startswith("+"), F.concat(F.lit("+"), digits))
-            .when(n < SHORTCODE_MIN_DIGITS, digits)
-            .when((n == 11) & digits.startswith("1"), F.concat(F.lit("+"), digits))
-            .when(n >= E164_MAX_DIGITS, digits)
-            .otherwise(F.concat(F.lit("+1"), digits)))
+    """The one spelling a phone number or address is keyed by; NULL when it is neither.
+
+    Written as a chain in which each step reads the one before once: digits with a leading
+    plus kept, then eleven digits from 1 gain the plus, then seven to fourteen gain ``+1``.
+    Shorter runs are short codes and longer ones sender ids; both stay bare.
+    """
+    bare = F.regexp_replace(c, rf"^{WHITESPACE}*(\+)|[^0-9]", "$1")
+    plus = F.regexp_replace(bare, r"^(1[0-9]{10})$", "+$1")
+    full = F.regexp_replace(
+        plus, rf"^([0-9]{{{SHORTCODE_MIN_DIGITS},{E164_MAX_DIGITS - 1}}})$", "+1$1")
+    phone = F.nullif(F.nullif(full, F.lit("")), F.lit("+"))
+    return F.when(c.contains("@"), F.lower(strip(c))).otherwise(phone)
 
 
 def is_shortcode(c: Column) -> Column:
@@ -111,26 +111,20 @@ def fold_marks(c: Column) -> Column:
     """Compatibility-decompose and drop combining marks, inside the JVM."""
     one_from, one_to, several, marks = _folding()
     folded = F.translate(F.regexp_replace(c, marks, ""), one_from, one_to)
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    table = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in several.items())),
+                         F.lit("\x01"), F.lit("\x02"))
     wide = F.array_join(F.transform(F.split(folded, ""),
                                     lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    klass = "[" + "".join(rf"\x{{{ord(k):x}}}" for k in several) + "]"
-    return (F.when(c.rlike(r"^\p{ASCII}*$"), c)
-            .otherwise(F.when(folded.rlike(klass), wide).otherwise(folded)))
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(wide)
 
 
 def slug_label(c: Column) -> Column:
     """A label reduced to ``[a-z0-9-]``, never empty."""
-    original = strip(c)
-
-    def dashes(x: Column) -> Column:
-        return F.regexp_replace(x, "^-+|-+$", "")
-
-    slug = dashes(F.substring(dashes(F.regexp_replace(
-        F.lower(fold_marks(original)), "[^a-z0-9]+", "-")), 1, SLUG_MAX))
-    return (F.when(original.isNull() | (original == ""), F.lit("label"))
-            .when(slug == "", F.concat(F.lit("label-"), F.substring(F.sha1(original), 1, 8)))
-            .otherwise(slug))
+    dashed = F.trim(F.regexp_replace(F.lower(fold_marks(c)), "[^a-z0-9]+", "-"), F.lit("-"))
+    cut = F.trim(F.substring(dashed, 1, SLUG_MAX), F.lit("-"))
+    plain = F.when(c.isNull() | (strip(c) == ""), F.lit("label")).otherwise(
+        F.concat(F.lit("label-"), F.substring(F.sha1(strip(c)), 1, 8)))
+    return F.coalesce(F.nullif(cut, F.lit("")), plain)
 
 
 # --- topics and keys --------------------------------------------------------------------
@@ -146,15 +140,14 @@ def cut_opener(body: Column) -> Column:
 def safe_topic(topic: Column) -> Column:
     """A topic that cannot be read as the start of a link."""
     cleaned = strip(F.regexp_replace(topic, ARROW_OPEN, "(->"))
-    return F.when(cleaned == "", F.lit("Texts")).otherwise(cleaned)
+    return F.coalesce(F.nullif(cleaned, F.lit("")), F.lit("Texts"))
 
 
 def topic_line(is_group: Column, chat_name: Column, messages: Column, opener: Column) -> Column:
     """The mechanical line: a one-to-one quotes its opener, a group quotes nothing."""
     count = messages.cast("string")
-    name = sanitise_body(chat_name)
-    group = F.concat(F.lit("Group texts in "),
-                     F.when(name == "", F.lit("an unnamed group")).otherwise(name),
+    name = F.coalesce(F.nullif(sanitise_body(chat_name), F.lit("")), F.lit("an unnamed group"))
+    group = F.concat(F.lit("Group texts in "), name,
                      F.lit(" ("), count, F.lit(" messages)"))
     single = F.concat(F.lit("Texts ("), count, F.lit(")"))
     has_opener = F.coalesce(opener, F.lit("")) != ""

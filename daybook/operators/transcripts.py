@@ -21,20 +21,26 @@ def _descending() -> list[Column]:
     return [F.col(c).desc() for c in ORDER]
 
 
+def contact_names(contacts: DataFrame) -> DataFrame:
+    """(ident, contact): contact names as one clean line, blank names left out."""
+    return contacts.select("ident", F.nullif(sanitise_body(F.col("name")), F.lit(""))
+                           .alias("contact")).filter("contact IS NOT NULL")
+
+
 def labels(kept: DataFrame, voice: DataFrame, contacts: DataFrame) -> DataFrame:
     """The human label of each conversation-day, its slug and the link of its transcript.
 
     A one-to-one is named after the first participant with a contact name (those who spoke
     before those who did not), else after the first handle.
     """
-    people = counterparts(voice).join(contacts.select("ident", "name"), "ident", "left")
-    name = sanitise_body(F.col("name"))
+    people = counterparts(voice).join(contact_names(contacts), "ident", "left")
     first = people.groupBy("chat_rowid", "day").agg(F.min(F.struct(
-        (name == "").alias("unnamed"), F.col("spoke").isNull().alias("silent"),
+        F.col("contact").isNull().alias("unnamed"), F.col("spoke").isNull().alias("silent"),
         F.coalesce("spoke", "seen").alias("at"),
-        F.when(name == "", F.col("ident")).otherwise(name).alias("label"))).alias("best"))
-    group = sanitise_body(F.col("chat_name"))
-    label = (F.when(F.col("is_group"), F.when(group == "", UNNAMED_GROUP_LABEL).otherwise(group))
+        F.coalesce("contact", "ident").alias("label"))).alias("best"))
+    group = F.coalesce(F.nullif(sanitise_body(F.col("chat_name")), F.lit("")),
+                       F.lit(UNNAMED_GROUP_LABEL))
+    label = (F.when(F.col("is_group"), group)
              .otherwise(F.coalesce("best.label", F.lit(UNKNOWN_LABEL))))
     return (kept.join(first, ["chat_rowid", "day"], "left")
             .withColumn("label", label)
@@ -53,15 +59,12 @@ def transcript_lines(prepared: DataFrame, links: DataFrame, contacts: DataFrame,
                      settings: Settings) -> DataFrame:
     """Every message of the linked conversation-days as one redacted line."""
     rows = prepared.join(links.select("chat_rowid", "day", "link"), ["chat_rowid", "day"])
-    named = rows.join(contacts.select(F.col("ident").alias("speaker"),
-                                      F.col("name").alias("contact_name")), "speaker", "left")
-    contact = sanitise_body(F.col("contact_name"))
+    named = rows.join(contact_names(contacts).withColumnRenamed("ident", "speaker"),
+                      "speaker", "left")
     who = (F.when(F.col("speaker") == OWNER, "Me")
-           .when(contact != "", contact)
-           .otherwise(F.coalesce("ident", F.lit("Unknown"))))
-    body = redacted_line(F.col("text"))
-    shown = (F.when(F.col("text").isNull(), UNREADABLE)
-             .otherwise(F.when(body == "", NO_WORDS).otherwise(body)))
+           .otherwise(F.coalesce("contact", "ident", F.lit("Unknown"))))
+    shown = (F.when(F.col("text").isNull(), UNREADABLE).otherwise(F.coalesce(
+        F.nullif(redacted_line("text"), F.lit("")), F.lit(NO_WORDS))))
     clock = F.date_format(local_time(F.col("sent_at"), settings.zone), "HH:mm")
     return named.select("chat_rowid", "day", "link", "slice", *ORDER,
                         F.concat(clock, F.lit("  "), who, F.lit(": "), shown).alias("line"))
@@ -118,7 +121,7 @@ def openers(prepared: DataFrame) -> DataFrame:
               .groupBy("chat_rowid", "day")
               .agg(F.min(F.struct(*ORDER, "text")).alias("first")))
     return worded.select("chat_rowid", "day",
-                         cut_opener(redacted_line(F.col("first.text"))).alias("opener"))
+                         cut_opener(redacted_line("first.text")).alias("opener"))
 
 
 def unit_links(spoken: DataFrame, linked: DataFrame) -> DataFrame:

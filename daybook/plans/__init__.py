@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_messages",)
+MODULES = ("q_messages", "q_people")
 
 
 def load_all() -> None:

@@ -90,6 +90,106 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE WHEN c_custkey % 6 = 0 THEN concat('Contact ', CAST(c_custkey AS STRING))
                ELSE c_name END AS name
         FROM customer WHERE c_custkey % 3 = 0"""),
+    "raw_contacts": (("supplier", "customer"), """
+        SELECT 0 AS store_rank, 0 AS kind_rank, s_suppkey AS row_no,
+          CASE WHEN s_suppkey % 4 <> 0 THEN concat(' ', s_name, ' ') END AS first_name,
+          CASE WHEN s_suppkey % 4 = 1 THEN 'Smith' END AS last_name,
+          CASE WHEN s_suppkey % 8 <> 0 THEN concat('Org ', CAST(s_suppkey AS STRING)) END AS org,
+          CASE WHEN s_suppkey % 9 = 0 THEN concat('bad', CAST(s_suppkey AS STRING), '@example.com')
+               ELSE concat('(555) ', lpad(CAST(s_suppkey * 3 AS STRING), 7, '0')) END AS raw
+        FROM supplier
+        UNION ALL
+        SELECT 1, 0, c_custkey, c_name, CAST(NULL AS STRING), CAST(NULL AS STRING),
+          concat('1-555-', lpad(CAST(c_custkey AS STRING), 7, '0')) FROM customer
+        UNION ALL
+        SELECT 1, 1, c_custkey, c_name, '', concat('Firm ', CAST(c_custkey AS STRING)),
+          CASE WHEN c_custkey % 5 = 0 THEN concat('no address ', CAST(c_custkey AS STRING))
+               ELSE concat('User', CAST(c_custkey % 700 AS STRING), '@Example.com') END
+        FROM customer"""),
+    "card_text": (("customer",), """
+        SELECT c_custkey AS doc_id, concat('# ', c_name, CHR(10), '## Notes', CHR(10),
+          '- 2024-05-05 — conversation (mutual): decoy outside the section', CHR(10),
+          '## Interactions', CHR(10), CHR(10),
+          '- ', CAST(DATE '2024-01-01' + CAST(c_custkey % 300 AS INT) AS STRING),
+          ' — conversation (they_reached_out): Texts (', CAST(c_custkey % 9 AS STRING),
+          '): hello (→ 2024/a-', CAST(c_custkey AS STRING), '.txt)', CHR(10),
+          '- ', CAST(DATE '2024-06-01' + CAST(c_custkey % 100 AS INT) AS STRING),
+          ' – conversation (i_reached_out) no link here', CHR(10),
+          '  - 2024-07-07 - conversation(mutual):( → x y ) both ', CHR(10),
+          '- 2024-07-08 — meeting (mutual): not a conversation', CHR(10),
+          CASE WHEN c_custkey % 2 = 0 THEN concat('## Other', CHR(10)) ELSE '' END,
+          '- 2024-09-09 — conversation (mutual): last one', CHR(10)) AS text
+        FROM customer"""),
+    "profile_text": (("supplier",), """
+        SELECT s_suppkey AS doc_id, concat('# About', CHR(10), 'write to other@example.org', CHR(10),
+          '**Email:** Me', CAST(s_suppkey AS STRING), '@Example.com, alt@example.com', CHR(10),
+          '**Google:** me', CAST(s_suppkey AS STRING), '@example.com and g',
+          CAST(s_suppkey AS STRING), '@example.org', CHR(10)) AS text FROM supplier"""),
+    "proposals": (("orders",), """
+        SELECT o_orderkey AS proposal_id,
+          CASE WHEN o_orderkey % 2 = 0 THEN 'new_stub' ELSE 'add_identifier' END AS kind,
+          CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'pending'
+            ELSE 'dismissed' END AS status,
+          CASE WHEN o_orderkey % 41 = 0 THEN '{broken' ELSE concat('{"kind":"phone","identifier":"',
+            '+1555', lpad(CAST(o_custkey AS STRING), 7, '0'), '","name":"Name ',
+            CAST(o_custkey AS STRING), '","person":"prs_',
+            lpad(CAST(o_custkey AS STRING), 8, '0'), '"}') END AS payload,
+          CAST(o_orderdate AS DATE) AS created
+        FROM orders"""),
+    "proposal_log": (("orders",), """
+        SELECT o_orderkey * 2 AS log_id, o_orderkey AS proposal_id,
+          CASE o_orderstatus WHEN 'P' THEN 'dismissed' ELSE 'accepted' END AS action,
+          CASE WHEN o_orderstatus = 'F' AND o_orderkey % 2 = 0
+            THEN concat('created person customer-', CAST(o_custkey AS STRING), ' from new_stub')
+            END AS detail,
+          CAST(o_orderdate AS DATE) + CAST(o_orderkey % 5 AS INT) AS created
+        FROM orders WHERE o_orderstatus <> 'O'
+        UNION ALL
+        SELECT o_orderkey * 2 + 1, o_orderkey, 'dismissed', CAST(NULL AS STRING),
+          CAST(o_orderdate AS DATE) + 9 FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 = 0"""),
+    "ledger_days": (("orders",), """
+        SELECT ident, day, concat(ident, '|day|', CAST(day AS STRING)) AS key, custkey, day_no,
+          CASE WHEN (day_no + custkey) % 4 = 0 THEN 'queued' WHEN (day_no + custkey) % 4 = 1
+            THEN 'held' WHEN (day_no + custkey) % 4 = 2 THEN 'stamped' ELSE 'unseen' END AS state,
+          CASE WHEN custkey % 3 <> 0 THEN concat('prs_', lpad(CAST(custkey AS STRING), 8, '0'))
+            END AS person_id,
+          turns, concat('Texts (', CAST(turns AS STRING), '): about ', CAST(seq % 97 AS STRING))
+            AS topic,
+          CASE WHEN seq % 3 = 0 THEN 'mutual' WHEN seq % 3 = 1 THEN 'they_reached_out'
+            ELSE 'i_reached_out' END AS direction,
+          concat('2024/', CAST(day AS STRING), '-c', CAST(custkey AS STRING), '-1.txt') AS link,
+          seq, CASE WHEN seq % 19 <> 0 THEN day + 1 END AS queued_at
+        FROM (SELECT concat('+1555', lpad(CAST(custkey AS STRING), 7, '0')) AS ident, custkey, seq,
+                turns, CAST(placed_at AS DATE) AS day,
+                CAST(floor(MICROS(placed_at) / 86400000000) AS BIGINT) AS day_no
+              FROM (SELECT o_custkey AS custkey, o_orderdate AS placed_at, min(o_orderkey) AS seq,
+                      count(*) AS turns
+                    FROM orders GROUP BY o_custkey, o_orderdate) AS o) AS d"""),
+    "ledger_identifiers": (("customer",), """
+        SELECT concat('+1555', lpad(CAST(c_custkey AS STRING), 7, '0')) AS ident,
+          CASE c_custkey % 9 WHEN 0 THEN 'held' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending'
+            WHEN 3 THEN 'attach_pending' WHEN 4 THEN 'dismissed' WHEN 5 THEN 'ambiguous'
+            WHEN 6 THEN 'dismissed' WHEN 7 THEN 'attach_pending' ELSE 'accepted' END AS state,
+          CASE c_custkey % 9 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'new'
+            ELSE 'cannot_attach' END WHEN 6 THEN 'wrong_match' END AS hold_reason,
+          CASE WHEN c_custkey % 9 IN (2, 3) OR (c_custkey % 9 = 4 AND c_custkey % 2 = 0)
+            THEN c_custkey * 7 END AS proposal_id,
+          CASE WHEN c_custkey % 9 IN (1, 7, 8)
+            THEN concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS person_id,
+          CASE WHEN c_custkey % 9 = 1 THEN 'exact' WHEN c_custkey % 9 = 8 THEN 'suffix' END AS match_route,
+          CASE WHEN c_custkey % 9 = 6
+            THEN concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS match_person,
+          CASE WHEN c_custkey % 18 = 8
+            THEN concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS match_confirmed,
+          CASE WHEN c_custkey % 4 <> 0 THEN concat('Name ', CAST(c_custkey AS STRING)) END AS name
+        FROM customer WHERE c_custkey % 10 <> 9"""),
+    "claims": (("ledger_days",), """
+        SELECT concat('claim-', CAST(day_no % 50 AS STRING)) AS claim_id, key,
+          day + 1 + CAST(seq % 3 AS INT) AS lease_until
+        FROM ledger_days WHERE day_no % 8 = 0
+        UNION ALL
+        SELECT concat('late-', CAST(day_no % 50 AS STRING)), key, day + 400 FROM ledger_days
+        WHERE seq % 11 = 0"""),
 }
 
 
@@ -103,7 +203,7 @@ def adapt(spark: SparkSession, base: str, name: str) -> DataFrame:
     if name not in ADAPTERS:
         return table(spark, base, name)
     inputs, sql = ADAPTERS[name]
-    text = _dialect(sql, "spark")
+    text = _dialect(sql, "spark").replace("{", "{{").replace("}", "}}")
     for i in inputs:
         text = re.sub(rf"\b(FROM|JOIN) {i}\b", rf"\1 {{{i}}}", text)
     return spark.sql(text, **{i: adapt(spark, base, i) for i in inputs})

@@ -63,8 +63,9 @@ block("best_label", f"""
   SELECT chat_rowid, day, arg_min(label, rank) AS label FROM (
     SELECT p.chat_rowid, p.day,
       CASE WHEN {sanitise('c.name')} <> '' THEN {sanitise('c.name')} ELSE p.ident END AS label,
-      (CASE WHEN {sanitise('c.name')} <> '' THEN 0 ELSE 2 END
-       + CASE WHEN spoke IS NULL THEN 1 ELSE 0 END) * 1000000000 + coalesce(spoke, seen) AS rank
+        CAST(CASE WHEN {sanitise('c.name')} <> '' THEN 0 ELSE 2 END
+        + CASE WHEN spoke IS NULL THEN 1 ELSE 0 END AS BIGINT) * 1000000000
+        + coalesce(spoke, seen) AS rank
     FROM seen_people p LEFT JOIN contacts c ON c.ident = p.ident) GROUP BY ALL""")
 block("linked", f"""
   SELECT *, CAST(year(day) AS VARCHAR) || '/' || CAST(day AS VARCHAR) || '-' || {slug('label')}

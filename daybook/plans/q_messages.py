@@ -354,4 +354,4 @@ def _(spark, base):
 def _(spark, base):
     from daybook.functions.redaction import redacted_line
     return adapt(spark, base, "messages").select(
-        "rowid", redacted_line(F.col("text")).alias("body"))
+        "rowid", redacted_line("text").alias("body"))
