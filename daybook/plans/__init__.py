@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_messages", "q_people")
+MODULES = ("q_messages", "q_people", "q_text")
 
 
 def load_all() -> None:

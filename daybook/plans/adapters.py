@@ -190,6 +190,64 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL
         SELECT concat('late-', CAST(day_no % 50 AS STRING)), key, day + 400 FROM ledger_days
         WHERE seq % 11 = 0"""),
+    "planted": (("documents",), """
+        SELECT doc_id, text AS body, doc_id % 16 AS shape,
+          lpad(CAST(doc_id * 7919 % 1000000 AS STRING), 6, '0') AS six,
+          concat('0', lpad(CAST(doc_id % 1000 AS STRING), 3, '0')) AS four FROM documents"""),
+    "planted_tail": (("planted",), """
+        SELECT doc_id, body,
+          CASE shape WHEN 0 THEN 'Your verification code is ' WHEN 1 THEN 'your Acme code: '
+            WHEN 2 THEN '' WHEN 3 THEN 'G-' WHEN 4 THEN 'Enter ' WHEN 5 THEN 'the password is '
+            WHEN 6 THEN 'the code for the door is ' WHEN 7 THEN 'gate pin: '
+            WHEN 8 THEN 'card ending in ' WHEN 9 THEN 'last four digits: ' WHEN 10 THEN '****'
+            WHEN 11 THEN 'your zip code is 9' WHEN 12 THEN 'the lease ends in '
+            WHEN 13 THEN 'card ' WHEN 14 THEN 'PIN is [redacted] and password is '
+            ELSE 'pin ' END AS lead,
+          CASE WHEN shape < 5 THEN six WHEN shape = 5 THEN concat('hunter', four)
+            WHEN shape < 12 THEN four WHEN shape = 12 THEN '2026'
+            WHEN shape = 13 THEN concat('4111-1111-1111-', four) WHEN shape = 14 THEN '"quo te"'
+            ELSE '2026' END AS secret,
+          CASE shape WHEN 2 THEN ' is your Acme verification code' WHEN 4 THEN ' to verify'
+            WHEN 15 THEN ' budget' ELSE ' ok' END AS trail,
+          CASE WHEN shape < 5 THEN 'otp_code' WHEN shape < 8 THEN 'password_or_pin'
+            WHEN shape < 11 THEN 'card_tail' WHEN shape = 13 THEN 'long_digit_run'
+            WHEN shape = 14 THEN 'password_or_pin' END AS rule
+        FROM planted"""),
+    "corpus": (("planted_tail",), """
+        SELECT doc_id, concat(body, CHR(10), lead, secret, trail) AS text FROM planted_tail"""),
+    "transcript_files": (("conversations",), """
+        SELECT concat(CASE WHEN conv_id % 23 = 0 THEN '24' ELSE '2024' END, '/2024-01-',
+            CASE WHEN conv_id % 29 = 0 THEN '42' ELSE
+              lpad(CAST(1 + conv_id % 30 AS STRING), 2, '0') END, '-',
+            CASE WHEN conv_id % 31 = 0 THEN 'Bad Slug' ELSE role END, '-',
+            CAST(conv_id * 100 + turn AS STRING), '.txt') AS path,
+          concat('09:15  ', role, ': ',
+            CASE WHEN conv_id % 13 = 0 THEN 'Liked "it" ' WHEN conv_id % 13 = 1
+              THEN 'Reacted :) to "it" ' ELSE '' END,
+            replace(text, CHR(10), ' '),
+            CASE WHEN conv_id % 17 = 0 THEN ' your code is 482193' ELSE '' END,
+            CASE WHEN conv_id % 11 = 0 THEN CHR(13) ELSE '' END, CHR(10),
+            CASE WHEN conv_id % 19 = 0 THEN concat('no clock here', CHR(10)) ELSE '' END,
+            CASE WHEN turn = 0 THEN concat('09:16  Me: 4111111111111111: fine',
+              CASE WHEN conv_id % 7 = 0 THEN CHR(12) ELSE '' END, CHR(10)) ELSE '' END,
+            CASE WHEN conv_id % 37 = 0 THEN '09:17  Me: cut off' ELSE '' END) AS content
+        FROM conversations"""),
+    "summaries": (("conversations",), """
+        SELECT conv_id * 100 + turn AS unit_no,
+          CASE WHEN conv_id % 12 = 0 THEN NULL
+            WHEN conv_id % 12 = 1 THEN concat('  ', CAST(turn AS STRING), ' agreed [mtg: x')
+            WHEN conv_id % 12 = 2 THEN concat('we met — fine ', CAST(turn AS STRING))
+            WHEN conv_id % 12 = 3 THEN concat('see (→ x ', CAST(turn AS STRING))
+            WHEN conv_id % 12 = 4 THEN concat('Texts (3): ', substr(replace(text, CHR(10), ' '), 1, 40))
+            WHEN conv_id % 12 = 5 THEN '   '
+            WHEN conv_id % 12 = 6 THEN concat('bad', CHR(7), 'bell')
+            WHEN conv_id % 12 = 7 THEN substr(replace(text, CHR(10), ' '), 1, 20)
+            WHEN conv_id % 12 = 8 THEN substr(replace(concat(text, text, text), CHR(10), ' '), 1, 450)
+            WHEN conv_id % 12 = 9 THEN text
+            ELSE substr(replace(text, CHR(10), ' '), 5, 90) END AS summary,
+          concat('Texts (', CAST(turn + 3 AS STRING), '): ',
+            substr(replace(text, CHR(10), ' '), 1, 79), '…') AS topic
+        FROM conversations"""),
 }
 
 
