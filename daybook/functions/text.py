@@ -60,7 +60,7 @@ def normalise_handle(c: Column) -> Column:
     plus = F.regexp_replace(bare, r"^(1[0-9]{10})$", "+$1")
     full = F.regexp_replace(
         plus, rf"^([0-9]{{{SHORTCODE_MIN_DIGITS},{E164_MAX_DIGITS - 1}}})$", "+1$1")
-    phone = F.nullif(F.nullif(full, F.lit("")), F.lit("+"))
+    phone = F.try_element_at(F.regexp_extract_all(full, F.lit(r"(\+?[0-9]+)"), 1), F.lit(1))
     return F.when(c.contains("@"), F.lower(strip(c))).otherwise(phone)
 
 

@@ -37,8 +37,11 @@ def redaction_rates(corpus: DataFrame) -> DataFrame:
     Every body yields one small row per rule, so the total comes out of the same pass and the
     counts combine map-side; no distinct over ids is needed.
     """
-    per_rule = [F.struct(F.lit(rule).alias("rule"), F.size(F.filter(
-        "spans", lambda s, i=i: s["rule_no"] == i)).alias("n")) for i, rule in enumerate(RULES)]
+    def of(no: int) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["rule_no"] == no))
+
+    per_rule = [F.struct(F.lit(rule).alias("rule"), of(no).alias("n"))
+                for no, rule in enumerate(RULES)]
     anything = F.struct(F.lit("(any)").alias("rule"), F.size("spans").alias("n"))
     rows = (corpus.select(redaction_spans("text").alias("spans"))
             .select(F.explode(F.array(*per_rule, anything)).alias("r")))

@@ -135,7 +135,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
             CAST(o_custkey AS STRING), '","person":"prs_',
             lpad(CAST(o_custkey AS STRING), 8, '0'), '"}') END AS payload,
           CAST(o_orderdate AS DATE) AS created
-        FROM orders"""),
+        FROM orders WHERE o_custkey % 5 <> 0"""),
     "proposal_log": (("orders",), """
         SELECT o_orderkey * 2 AS log_id, o_orderkey AS proposal_id,
           CASE o_orderstatus WHEN 'P' THEN 'dismissed' ELSE 'accepted' END AS action,
@@ -165,26 +165,31 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
               FROM (SELECT o_custkey AS custkey, o_orderdate AS placed_at, min(o_orderkey) AS seq,
                       count(*) AS turns
                     FROM orders GROUP BY o_custkey, o_orderdate) AS o) AS d"""),
-    "ledger_identifiers": (("customer",), """
-        SELECT concat('+1555', lpad(CAST(c_custkey AS STRING), 7, '0')) AS ident,
-          CASE c_custkey % 9 WHEN 0 THEN 'held' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending'
+    "ledger_identifiers": (("customer", "orders", "supplier"), """
+        SELECT concat('+1555', lpad(CAST(custkey AS STRING), 7, '0')) AS ident,
+          CASE k9 WHEN 0 THEN 'held' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending'
             WHEN 3 THEN 'attach_pending' WHEN 4 THEN 'dismissed' WHEN 5 THEN 'ambiguous'
             WHEN 6 THEN 'dismissed' WHEN 7 THEN 'attach_pending' ELSE 'accepted' END AS state,
-          CASE c_custkey % 9 WHEN 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'new'
-            ELSE 'cannot_attach' END WHEN 6 THEN 'wrong_match' END AS hold_reason,
-          CASE WHEN c_custkey % 9 IN (2, 3) OR (c_custkey % 9 = 4 AND c_custkey % 2 = 0)
-            THEN c_custkey * 7 END AS proposal_id,
-          CASE WHEN c_custkey % 9 IN (1, 7, 8)
-            THEN concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS person_id,
-          CASE WHEN c_custkey % 9 = 1 THEN 'exact' WHEN c_custkey % 9 = 8 THEN 'suffix' END AS match_route,
-          CASE WHEN c_custkey % 9 = 6
-            THEN concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS match_person,
-          CASE WHEN c_custkey % 18 = 8
-            THEN concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) END AS match_confirmed,
-          CASE WHEN c_custkey % 4 <> 0 THEN concat('Name ', CAST(c_custkey AS STRING)) END AS name
-        FROM customer WHERE c_custkey % 10 <> 9"""),
+          CASE k9 WHEN 0 THEN CASE WHEN custkey % 2 = 0 THEN 'new' ELSE 'cannot_attach' END
+            WHEN 6 THEN 'wrong_match' END AS hold_reason,
+          CASE WHEN k9 IN (2, 3) OR (k9 = 4 AND custkey % 2 = 0) THEN first_order END
+            AS proposal_id,
+          CASE WHEN k9 IN (1, 7, 8) THEN person_id END AS person_id,
+          CASE k9 WHEN 1 THEN 'exact' WHEN 8 THEN 'suffix' END AS match_route,
+          CASE WHEN k9 = 6 THEN person_id END AS match_person,
+          CASE WHEN k9 = 8 AND custkey % 2 = 0 THEN person_id END AS match_confirmed,
+          CASE WHEN custkey % 4 <> 0 THEN concat('Name ', CAST(custkey AS STRING)) END AS name
+        FROM (SELECT c_custkey AS custkey, CAST(floor(c_custkey / 3) AS BIGINT) % 9 AS k9,
+                concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS person_id, first_order
+              FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order
+                FROM orders GROUP BY o_custkey) AS o ON o_custkey = c_custkey
+              WHERE c_custkey % 10 <> 9) AS c
+        UNION ALL
+        SELECT concat('9', lpad(CAST(s_suppkey AS STRING), 15, '0')), 'held', 'new',
+          CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
+          CAST(NULL AS STRING), concat('Sender ', CAST(s_suppkey AS STRING)) FROM supplier"""),
     "claims": (("ledger_days",), """
-        SELECT concat('claim-', CAST(day_no % 50 AS STRING)) AS claim_id, key,
+        SELECT concat('claim-', CAST(day_no AS STRING)) AS claim_id, key,
           day + 1 + CAST(seq % 3 AS INT) AS lease_until
         FROM ledger_days WHERE day_no % 8 = 0
         UNION ALL
@@ -248,6 +253,70 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           concat('Texts (', CAST(turn + 3 AS STRING), '): ',
             substr(replace(text, CHR(10), ' '), 1, 79), '…') AS topic
         FROM conversations"""),
+    "change_log": (("lineitem",), """
+        SELECT seq, run, op, CASE WHEN op IN ('claim', 'release_claim')
+            THEN concat('claim-', CAST(CAST(floor(l_orderkey / 40) AS BIGINT) AS STRING))
+            WHEN op IN ('set_identifier', 'release') THEN ident
+            ELSE concat(ident, '|day|', CAST(day AS STRING)) END AS key, ident,
+          concat('r', CAST(seq % 1000 AS STRING)) AS record
+        FROM (SELECT seq, l_orderkey, l_orderkey % 50 AS run,
+                concat('+1555', lpad(CAST(CAST(floor(l_orderkey / 20) AS BIGINT) AS STRING), 7, '0'))
+                  AS ident, DATE '1995-01-01' + CAST(l_partkey % 20 AS INT) AS day,
+                CASE (l_suppkey + l_linenumber) % 13 WHEN 0 THEN 'stamp_intent'
+                  WHEN 1 THEN 'stamp_done' WHEN 2 THEN 'drop_intent' WHEN 3 THEN 'set_identifier'
+                  WHEN 4 THEN 'hold' WHEN 5 THEN 'release' WHEN 6 THEN 'enqueue'
+                  WHEN 7 THEN 'dequeue' WHEN 8 THEN 'refresh_links' WHEN 9 THEN 'claim'
+                  WHEN 10 THEN 'release_claim' WHEN 11 THEN 'record_failure'
+                  ELSE 'clear_failure' END AS op
+              FROM (SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS seq,
+                      l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey
+                    FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey) AS l) AS o"""),
+    "runs": (("lineitem",), """
+        SELECT DISTINCT l_orderkey % 50 AS run, l_orderkey % 50 % 7 <> 0 AS committed
+        FROM lineitem"""),
+    "links_seen": (("ledger_days",), """
+        SELECT key, 0 AS pos, link, TRUE AS queued FROM ledger_days WHERE state = 'queued'
+        UNION ALL
+        SELECT key, 1, concat('2024/other-', CAST(seq % 3 AS STRING), '.txt'), TRUE
+        FROM ledger_days WHERE state = 'queued' AND seq % 2 = 0
+        UNION ALL
+        SELECT key, 0, concat('2024/other-', CAST(seq % 4 AS STRING), '.txt'), FALSE
+        FROM ledger_days WHERE seq % 3 = 0
+        UNION ALL
+        SELECT key, 1, link, FALSE FROM ledger_days WHERE seq % 3 <> 1"""),
+    "failure_log": (("ledger_days",), """
+        SELECT key, seq * 3 AS at_no, concat('detail ', CAST(seq % 5 AS STRING)) AS detail
+        FROM ledger_days WHERE seq % 4 = 0
+        UNION ALL
+        SELECT key, seq * 3 + 1, 'the card was busy' FROM ledger_days WHERE seq % 12 = 0"""),
+    "claim_docs": (("ledger_days",), """
+        SELECT concat('claim-', CAST(seq AS STRING)) AS claim_id, seq,
+          CASE WHEN seq % 11 = 0 THEN '{"format": 1, broken' ELSE concat(
+            '{"format": ', CASE WHEN seq % 11 = 1 THEN '2' ELSE '1' END,
+            ', "kind": "', CASE WHEN seq % 11 = 2 THEN 'other' ELSE 'summary-claim' END,
+            '", "claim_id": "claim-', CAST(CASE WHEN seq % 11 = 3 THEN seq + 1 ELSE seq END AS STRING),
+            '", "units": [{"id": "', CASE WHEN seq % 11 = 4 THEN 'x01' ELSE 'u01' END,
+            '", "key": "', key, '", "day": "', CAST(day AS STRING), '", "links": ["', link, '"]}',
+            CASE WHEN seq % 11 = 5 THEN ', {"id": "u01", "key": "k"}' ELSE '' END, ']',
+            CASE WHEN seq % 11 = 6 THEN '' ELSE concat(', "summaries": {',
+              CASE seq % 5 WHEN 0 THEN concat('"u01": "', said, '"')
+                WHEN 1 THEN concat('"', key, '": "', said, '"')
+                WHEN 2 THEN concat('"u01": "', said, '", "', key, '": "other words"')
+                WHEN 4 THEN '"u77": "nobody asked"' ELSE '' END, '}') END, '}') END AS document
+        FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN topic
+                ELSE concat('we agreed on plan ', CAST(seq AS STRING)) END AS said
+              FROM ledger_days WHERE seq % 2 = 0) AS d"""),
+    "holders": (("ledger_days",), """
+        SELECT key, CASE WHEN seq % 7 = 0 THEN 'claim-other'
+          ELSE concat('claim-', CAST(seq AS STRING)) END AS claim_id
+        FROM ledger_days WHERE seq % 7 IN (0, 1)"""),
+    "decisions": (("labels",), """
+        SELECT doc_id + 1 AS label, 'accept' AS action,
+          CASE WHEN doc_id % 3 = 0 THEN concat('Jane ', CAST(doc_id AS STRING)) END AS name
+        FROM labels WHERE quality = 1
+        UNION ALL
+        SELECT doc_id + 1, 'dismiss', CAST(NULL AS STRING) FROM labels
+        WHERE toxic = 1 OR (quality = 0 AND doc_id % 4 = 0)"""),
 }
 
 

@@ -30,41 +30,48 @@ block("asked_ident", """
   SELECT p.ident, c.name, max(p.day) AS newest, count(*) AS days,
     max(p.day) FILTER (WHERE p.outbound) AS evidence
   FROM person_day p LEFT JOIN contacts c ON c.ident = p.ident GROUP BY p.ident, c.name""")
-block("exact_pair", "SELECT a.ident, k.person_id FROM asked_ident a JOIN card_ident k USING (ident)")
-block("suffix_pair", f"""
-  SELECT a.ident, k.person_id, k.ident AS card_value, least(length({digits('a.ident')}),
-    length({digits('k.ident')})) AS shared
-  FROM asked_ident a JOIN card_ident k
-    ON right({digits('a.ident')}, 7) = right({digits('k.ident')}, 7)
-  WHERE a.ident NOT LIKE '%@%' AND k.ident NOT LIKE '%@%'
-    AND length({digits('a.ident')}) >= 7 AND length({digits('k.ident')}) >= 7
-    AND (suffix({digits('a.ident')}, {digits('k.ident')})
-         OR suffix({digits('k.ident')}, {digits('a.ident')}))
-    AND a.ident NOT IN (SELECT ident FROM card_ident)""")
-block("name_pair", """
-  SELECT a.ident, k.person_id FROM asked_ident a JOIN cards k
-    ON array_to_string(regexp_extract_all(lower(a.name), '\\w+'), ' ')
-     = array_to_string(regexp_extract_all(lower(k.name), '\\w+'), ' ')""")
-block("resolution", """
-  SELECT a.*,
-    CASE WHEN e.n = 1 OR (e.n IS NULL AND s.n = 1) THEN 'resolved'
-         WHEN coalesce(e.n, s.n) > 1 THEN 'ambiguous' ELSE 'proposed' END AS status,
-    CASE WHEN e.n = 1 THEN e.p WHEN e.n IS NULL AND s.n = 1 THEN s.p END AS person_id,
-    CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN s.n IS NOT NULL THEN 'suffix' END AS route,
-    CASE WHEN e.n IS NULL THEN s.shared END AS matched_digits,
-    CASE WHEN e.n IS NULL THEN s.card_value END AS matched_value,
-    CASE WHEN e.n IS NULL AND s.n IS NULL THEN
-      CASE WHEN n.n > 0 THEN 'add_identifier' ELSE 'new_stub' END END AS proposal_kind,
-    CASE WHEN e.n IS NULL AND s.n IS NULL THEN coalesce(n.n, 0) ELSE 0 END AS name_candidates,
-    CASE WHEN e.n IS NULL AND s.n IS NULL AND n.n = 1 THEN n.p END AS attach_to
-  FROM asked_ident a
-  LEFT JOIN (SELECT ident, count(DISTINCT person_id) AS n, min(person_id) AS p FROM exact_pair
-             GROUP BY ident) e ON e.ident = a.ident
-  LEFT JOIN (SELECT ident, count(DISTINCT person_id) AS n, min(person_id) AS p,
-               max(shared) AS shared, max(card_value) AS card_value FROM suffix_pair
-             GROUP BY ident) s ON s.ident = a.ident
-  LEFT JOIN (SELECT ident, count(DISTINCT person_id) AS n, min(person_id) AS p FROM name_pair
-             GROUP BY ident) n ON n.ident = a.ident""")
+
+def resolution_blocks(p: str) -> None:
+    """Oracle blocks that resolve the identifiers of ``<p>asked_ident``."""
+    block(p + "exact_pair", f"SELECT a.ident, k.person_id FROM {p}asked_ident a "
+              "JOIN card_ident k USING (ident)")
+    block(p + "suffix_pair", f"""
+      SELECT a.ident, k.person_id, k.ident AS card_value, least(length({digits('a.ident')}),
+        length({digits('k.ident')})) AS shared
+      FROM {p}asked_ident a JOIN card_ident k
+        ON right({digits('a.ident')}, 7) = right({digits('k.ident')}, 7)
+      WHERE a.ident NOT LIKE '%@%' AND k.ident NOT LIKE '%@%'
+        AND length({digits('a.ident')}) >= 7 AND length({digits('k.ident')}) >= 7
+        AND (suffix({digits('a.ident')}, {digits('k.ident')})
+             OR suffix({digits('k.ident')}, {digits('a.ident')}))
+        AND a.ident NOT IN (SELECT ident FROM card_ident)""")
+    block(p + "name_pair", f"""
+      SELECT a.ident, k.person_id FROM {p}asked_ident a JOIN cards k
+        ON array_to_string(regexp_extract_all(lower(a.name), '\\w+'), ' ')
+         = array_to_string(regexp_extract_all(lower(k.name), '\\w+'), ' ')""")
+    block(p + "resolution", f"""
+      SELECT a.*,
+        CASE WHEN e.n = 1 OR (e.n IS NULL AND s.n = 1) THEN 'resolved'
+             WHEN coalesce(e.n, s.n) > 1 THEN 'ambiguous' ELSE 'proposed' END AS status,
+        CASE WHEN e.n = 1 THEN e.p WHEN e.n IS NULL AND s.n = 1 THEN s.p END AS person_id,
+        CASE WHEN e.n IS NOT NULL THEN 'exact' WHEN s.n IS NOT NULL THEN 'suffix' END AS route,
+        CASE WHEN e.n IS NULL THEN s.shared END AS matched_digits,
+        CASE WHEN e.n IS NULL THEN s.card_value END AS matched_value,
+        CASE WHEN e.n IS NULL AND s.n IS NULL THEN
+          CASE WHEN n.n > 0 THEN 'add_identifier' ELSE 'new_stub' END END AS proposal_kind,
+        CASE WHEN e.n IS NULL AND s.n IS NULL THEN coalesce(n.n, 0) ELSE 0 END AS name_candidates,
+        CASE WHEN e.n IS NULL AND s.n IS NULL AND n.n = 1 THEN n.p END AS attach_to
+      FROM {p}asked_ident a
+      LEFT JOIN (SELECT ident, count(DISTINCT person_id) AS n, min(person_id) AS p FROM {p}exact_pair
+                 GROUP BY ident) e ON e.ident = a.ident
+      LEFT JOIN (SELECT ident, count(DISTINCT person_id) AS n, min(person_id) AS p,
+                   max(shared) AS shared, max(card_value) AS card_value FROM {p}suffix_pair
+                 GROUP BY ident) s ON s.ident = a.ident
+      LEFT JOIN (SELECT ident, count(DISTINCT person_id) AS n, min(person_id) AS p FROM {p}name_pair
+                 GROUP BY ident) n ON n.ident = a.ident""")
+
+
+resolution_blocks("")
 
 
 def asked(f: dict):

@@ -67,9 +67,12 @@ block("doc_line", """
 
 
 @query("a22_leak_scan", r"""
-  SELECT doc_id, line, 'denylist: ' || term AS rule FROM doc_line JOIN (
-    SELECT DISTINCT lang AS term FROM documents UNION SELECT 'acme verification') terms
-    ON regexp_matches(lower(body), '(^|[^\p{L}\p{N}])' || term || '($|[^\p{L}\p{N}])')
+  SELECT DISTINCT w.doc_id, w.line, 'denylist: ' || t.term AS rule FROM (
+    SELECT doc_id, line, unnest(regexp_extract_all(lower(body), '[\p{L}\p{N}]+')) AS word
+    FROM doc_line) w JOIN (SELECT DISTINCT lang AS term FROM documents) t ON t.term = w.word
+  UNION ALL
+  SELECT doc_id, line, 'denylist: acme verification' FROM doc_line
+  WHERE regexp_matches(lower(body), '(^|[^\p{L}\p{N}])acme verification($|[^\p{L}\p{N}])')
   UNION ALL
   SELECT doc_id, line, 'built-in: email address' FROM doc_line
   WHERE len(list_filter(regexp_extract_all(body,

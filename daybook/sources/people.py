@@ -36,10 +36,13 @@ def scan_contacts(stores: DataFrame) -> DataFrame:
 
 
 def card_identifiers(cards: DataFrame) -> DataFrame:
-    """(person_id, name, ident, kind): every number and address on a card, once per card."""
-    return (cards.select("person_id", "name",
-                         F.explode(F.array("phone", "shared_phone", "email")).alias("raw"))
-            .select("person_id", "name", normalise_handle(F.col("raw")).alias("ident"))
+    """(person_id, name, ident, kind): every number and address on a card, once per card.
+
+    Normalised before the explode, so later filters meet a plain column and are not rewritten
+    into copies of the whole normalisation.
+    """
+    return (cards.select("person_id", "name", F.explode(F.transform(
+                F.array("phone", "shared_phone", "email"), normalise_handle)).alias("ident"))
             .filter("ident IS NOT NULL")
             .withColumn("kind", F.when(F.col("ident").contains("@"), "email").otherwise("phone"))
             .dropDuplicates(["person_id", "ident"]))
