@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("q_messages", "q_people", "q_text", "q_ledger", "q_review", "q_reports")
+MODULES = ("q_messages", "q_people", "q_text", "q_ledger", "q_review", "q_reports", "q_stream")
 
 
 def load_all() -> None:

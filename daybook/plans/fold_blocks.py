@@ -1,6 +1,8 @@
 """Oracle blocks of the fold: plain windows over the whole conversation-day."""
 
-from daybook.plans.registry import block
+import re
+
+from daybook.plans.registry import BLOCKS, block
 from daybook.plans.sqltext import norm_handle, redacted, sanitise, shortcode, slug
 
 OWN = "('+15559999999', 'me@example.com')"
@@ -101,3 +103,17 @@ block("unit", f"""
   FROM person_day p JOIN linked l ON l.chat_rowid = p.primary_chat AND l.day = p.day
   LEFT JOIN opener o ON o.chat_rowid = p.primary_chat AND o.day = p.day
   LEFT JOIN contacts c ON c.ident = p.ident""")
+
+
+#: Everything above, in order; ``variant`` makes a second fold over other messages.
+FOLD = ("canon", "prepared", "flagged", "chat_day", "kept", "spoke", "spoken", "ranked_spoken",
+        "person_day")
+
+
+def variant(prefix: str, messages: str) -> None:
+    """Oracle blocks ``<prefix>canon`` … ``<prefix>person_day`` over another message relation."""
+    for name in FOLD:
+        sql = BLOCKS[name]
+        for other in FOLD:
+            sql = re.sub(rf"\b(FROM|JOIN) {other}\b", rf"\1 {prefix}{other}", sql)
+        block(prefix + name, re.sub(r"\bFROM messages\b", f"FROM {messages}", sql))
