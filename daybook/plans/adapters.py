@@ -89,7 +89,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT concat('+1555', lpad(CAST(c_custkey AS STRING), 7, '0')) AS ident,
           CASE WHEN c_custkey % 6 = 0 THEN concat('Contact ', CAST(c_custkey AS STRING))
                ELSE c_name END AS name
-        FROM customer WHERE c_custkey % 3 = 0"""),
+        FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 <> 0"""),
     "raw_contacts": (("supplier", "customer"), """
         SELECT 0 AS store_rank, 0 AS kind_rank, s_suppkey AS row_no,
           CASE WHEN s_suppkey % 4 <> 0 THEN concat(' ', s_name, ' ') END AS first_name,
@@ -178,7 +178,8 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE k9 WHEN 1 THEN 'exact' WHEN 8 THEN 'suffix' END AS match_route,
           CASE WHEN k9 = 6 THEN person_id END AS match_person,
           CASE WHEN k9 = 8 AND custkey % 2 = 0 THEN person_id END AS match_confirmed,
-          CASE WHEN custkey % 4 <> 0 THEN concat('Name ', CAST(custkey AS STRING)) END AS name
+          CASE WHEN custkey % 4 = 2 THEN concat('Customer#', lpad(CAST(custkey AS STRING), 9, '0'))
+            WHEN custkey % 4 <> 0 THEN concat('Name ', CAST(custkey AS STRING)) END AS name
         FROM (SELECT c_custkey AS custkey, CAST(floor(c_custkey / 3) AS BIGINT) % 9 AS k9,
                 concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS person_id, first_order
               FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order

@@ -19,11 +19,12 @@ TODAY = date(2001, 6, 1)
 OWNERS = "(SELECT person_id FROM owner_t)"
 
 block("l_asked_ident", """
-  SELECT a.ident, c.name, a.newest, a.evidence FROM (
+  SELECT a.ident, coalesce(c.name, i.name) AS name, a.newest, a.evidence FROM (
     SELECT ident, max(day) AS newest, max(day) FILTER (WHERE direction = 'i_reached_out') AS evidence
     FROM (SELECT ident, day, direction FROM ledger_days
           UNION ALL SELECT ident, NULL, NULL FROM ledger_identifiers) GROUP BY ident) a
-  LEFT JOIN contacts c ON c.ident = a.ident""")
+  LEFT JOIN contacts c ON c.ident = a.ident
+  LEFT JOIN ledger_identifiers i ON i.ident = a.ident""")
 resolution_blocks("l_")
 block("dismissal", """
   SELECT proposal_id, max(created) AS dismissed_on FROM proposal_log WHERE action = 'dismissed'
@@ -39,9 +40,10 @@ block("dinput", f"""
     w.kind AS pending_kind, w.proposal_name AS stub_name, w.proposal_person AS pending_person,
     x.dismissed_on AS own_day, y.dismissed_on AS other_day,
     r.person_id IN {OWNERS} AS is_owner, m.new_person IN {OWNERS} AS new_is_owner,
-    r.attach_to = m.new_person AS follows
+    coalesce(r.attach_to = m.new_person, false) OR coalesce(k.person_id = m.new_person, false)
+      AS follows, k.person_id AS record_attach
   FROM l_resolution r LEFT JOIN ledger_identifiers i ON i.ident = r.ident
-  LEFT JOIN proposals p ON p.proposal_id = i.proposal_id
+  LEFT JOIN proposals p ON p.proposal_id = i.proposal_id LEFT JOIN cards k ON k.name = i.name
   LEFT JOIN made m ON m.proposal_id = i.proposal_id
   LEFT JOIN newest_proposal d ON d.ident = r.ident AND d.status = 'dismissed'
   LEFT JOIN newest_proposal w ON w.ident = r.ident AND w.status = 'pending'
@@ -96,8 +98,10 @@ def review_frames(spark, base) -> dict:
         F.max(F.when(F.col("direction") == "i_reached_out", F.col("day"))).alias("evidence"))
     asked = (ids.select("ident").unionByName(f["days"].select("ident")).distinct()
              .join(days, "ident", "left")
-             .join(adapt(spark, base, "contacts").select("ident", "name"), "ident", "left")
-             .select("ident", "name", "newest", "evidence"))
+             .join(adapt(spark, base, "contacts").select("ident", F.col("name").alias("contact")),
+                   "ident", "left")
+             .join(ids.select("ident", F.col("name").alias("stored")), "ident", "left")
+             .select("ident", F.coalesce("contact", "stored").alias("name"), "newest", "evidence"))
     slugs = cards.select(F.concat(F.lit("customer-"), F.col("person_id").substr(5, 8).cast("bigint")
                                   .cast("string")).alias("slug"), "person_id")
     raw = adapt(spark, base, "proposals")
@@ -199,6 +203,7 @@ block("listing", """
       CASE WHEN pending_kind = 'add_identifier' THEN pending_person END, attach_to) END AS target,
     CASE s.section WHEN 'attach' THEN coalesce(pending_kind = 'add_identifier'
         AND pending_person = attach_person, false) OR coalesce(attach_to = attach_person, false)
+        OR coalesce(record_attach = attach_person, false)
       WHEN 'known' THEN true WHEN 'new' THEN true ELSE false END AS can_accept,
     s.section = 'bare' AS needs_name
   FROM listing_section s LEFT JOIN (SELECT ident, count(*) AS days, min(day) AS first,
