@@ -79,9 +79,23 @@ PATTERNS: tuple[tuple[str, str, str, str], ...] = (
 # --- end of fixed values ----------------------------------------------------------------
 
 OPEN, CLOSE = "\ue000", "\ue001"
-#: Cheap tests run first: without four digits in a row, or a secret noun, no pattern can hit.
+#: Nothing can hit without four digits in a row or a secret noun; tested first, on the raw text.
 _NUMERIC_GATE = r"(?U)\d{4}"
 _NOUN_GATE = r"(?iU)pass|pin|comb|code"
+#: Per pattern, what its text must hold, as a test on the lower-cased copy ``f`` (words) or by a
+#: cheap expression (shapes).  Only patterns that pass are run, so ordinary prose costs a few
+#: substring searches.
+_OTP_NOUNS = ("code", "pass", "pin", "token")
+_SECRET_NOUNS = ("pass", "pin", "combo", "combination")
+_NEEDS: tuple[tuple[tuple[str, ...] | str, ...], ...] = (
+    (_OTP_NOUNS,), (("your",), _OTP_NOUNS), (_OTP_NOUNS, ("your", "the", "my")), (("g-",),),
+    (("use", "using", "enter", "reply", "text"), ("verify", "confirm", "activate", "authenticate",
+                                                  "log", "sign", "continue", "complete")),
+    (r"(?U)\d{13}",), (r"(?U)\d{4}[ -]\d{4}",), (_SECRET_NOUNS, ("is", "are", "=", ":")),
+    (("code", "combo", "combination"), ("for", "to"), ("is", "are", "=", ":")),
+    (("code", "pass", "pin", "combo", "combination"), ("is", "are", "=", ":")),
+    (("end",), ("in", "with")), (("last",), ("four", "4")), (r"(?iu)[*x•·●#]{3}",),
+)
 
 SPAN_TYPE = "array<struct<start:int,neg_len:int,rule_no:int>>"
 
@@ -101,15 +115,28 @@ def _spans(marked: str, rule_no: int) -> str:
       a -> a.spans)"""
 
 
+def _needed(body: str, position: int) -> str:
+    """The cheap test for one pattern; ``f`` is the folded copy of ``body``."""
+    tests = []
+    for need in _NEEDS[position]:
+        if isinstance(need, str):
+            tests.append(f"{body} RLIKE {_text(need)}")
+        else:
+            tests.append("(" + " OR ".join(f"contains(f, {_text(w)})" for w in need) + ")")
+    return " AND ".join(tests)
+
+
 def _rule_spans(body: str, wordy: bool) -> str:
     found = []
-    for rule, before, secret, after in PATTERNS:
+    for position, (rule, before, secret, after) in enumerate(PATTERNS):
         if (rule == "password_or_pin") == wordy:
             last = 4 if "<sep>" in secret else 3
             marked = (f"regexp_replace({body}, {_text(f'(?iU)({before})({secret})({after})')}, "
                       f"{_text(f'$1{OPEN}$2{CLOSE}${last}')})")
-            found.append(_spans(marked, RULES.index(rule)))
-    return "concat(" + ", ".join(found) + ")"
+            found.append(f"CASE WHEN {_needed(body, position)} THEN "
+                         f"{_spans(marked, RULES.index(rule))} ELSE cast(array() AS {SPAN_TYPE}) END")
+    # Folded the way the patterns ignore case: long s and dotless i count as s and i.
+    return _bound(f"translate(lower({body}), 'ſı', 'si')", "f", "concat(" + ", ".join(found) + ")")
 
 
 def _settled(body: str) -> str:

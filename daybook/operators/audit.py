@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from daybook.functions.redaction import RULES, redaction_spans, rule_name
+from daybook.functions.redaction import RULES, redact, redaction_spans, rule_name
+from daybook.session import spread
 
 # --- fixed values: audit patterns --------------------------------------------------------
 REACTION_VERBS = ("Liked", "Loved", "Emphasized", "Laughed at", "Disliked", "Questioned")
@@ -26,11 +27,17 @@ US_PHONE = (r"(?<!\d)(?:\+?1[\s.-]?)?\(?([2-9]\d{2})\)?[\s.-]?([2-9]\d{2})[\s.-]
 
 def corpus_spans(corpus: DataFrame) -> DataFrame:
     """(doc_id, rule, start, length) of every redaction span, one row each."""
-    return (corpus.select("doc_id", F.explode(redaction_spans("text")).alias("s"))
+    return (spread(corpus.select("doc_id", "text"))
+            .select("doc_id", F.explode(redaction_spans("text")).alias("s"))
             .select("doc_id", rule_name(F.col("s.rule_no")).alias("rule"),
                     F.col("s.start").alias("start"), (-F.col("s.neg_len")).alias("length")))
 
 
+def redact_corpus(corpus: DataFrame) -> DataFrame:
+    """The corpus with every secret-shaped span replaced; a map-only job."""
+    return spread(corpus.select("doc_id", "text")).select("doc_id", redact("text").alias("text"))
+
+
 def redaction_rates(corpus: DataFrame) -> DataFrame:
     """Per rule (and for any rule): bodies hit, spans, share of all bodies.
 
@@ -43,7 +50,7 @@ def redaction_rates(corpus: DataFrame) -> DataFrame:
     per_rule = [F.struct(F.lit(rule).alias("rule"), of(no).alias("n"))
                 for no, rule in enumerate(RULES)]
     anything = F.struct(F.lit("(any)").alias("rule"), F.size("spans").alias("n"))
-    rows = (corpus.select(redaction_spans("text").alias("spans"))
+    rows = (spread(corpus.select("text")).select(redaction_spans("text").alias("spans"))
             .select(F.explode(F.array(*per_rule, anything)).alias("r")))
     return (rows.groupBy("r.rule").agg(
         F.count_if(F.col("r.n") > 0).alias("bodies_hit"), F.sum("r.n").alias("spans"),
@@ -54,19 +61,24 @@ def redaction_rates(corpus: DataFrame) -> DataFrame:
 def leak_scan(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, line, rule) for every line holding something that must not leave.
 
-    Deny terms are matched through their first word: lines are joined to terms on that word
-    and only those pairs are tested for the whole term.  The text itself is never returned.
+    Deny terms are matched through their first word, on (line, word) rows that carry no text.
+    A one-word term is then already decided; only the lines that open a longer term are looked
+    at again.  The text itself is never returned.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     alnum = r"[\p{L}\p{N}]+"
-    words = lines.select("doc_id", "line", "body", F.explode(F.array_distinct(
+    lines = spread(documents.select("doc_id", "text")).select(
+        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    words = lines.select("doc_id", "line", F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("body"), F.lit(f"({alnum})"), 1))).alias("word"))
     wanted = (terms.select(F.lower("term").alias("term")).distinct()
               .withColumn("word", F.regexp_extract("term", f"({alnum})", 1)))
+    single = words.join(wanted.filter("term = word"), "word").select("doc_id", "line", "term")
     whole = F.expr(r"lower(body) RLIKE concat('(?<![\\p{L}\\p{N}])\\Q', term, "
                    r"'\\E(?![\\p{L}\\p{N}])')")
-    denied = (words.join(wanted, "word").filter(whole)
-              .select("doc_id", "line", F.concat(F.lit("denylist: "), "term").alias("rule")))
+    longer = (words.join(wanted.filter("term <> word"), "word").select("doc_id", "line", "term")
+              .join(lines, ["doc_id", "line"]).filter(whole).select("doc_id", "line", "term"))
+    denied = single.unionByName(longer).select(
+        "doc_id", "line", F.concat(F.lit("denylist: "), "term").alias("rule"))
 
     def every(pattern: str, group: int) -> F.Column:
         return F.regexp_extract_all("body", F.lit(pattern), group)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from daybook.config import (I_REACHED_OUT, MUTUAL, OWNER, THEY_REACHED_OUT, UNKNOWN, Settings)
 from daybook.functions.text import is_shortcode, normalise_handle, sanitise_body, unit_key
 from daybook.functions.times import local_day
+from daybook.session import durable
 
 ORDER = ("sent_at", "date_raw", "rowid")
 
@@ -164,10 +165,15 @@ def person_days(spoken: DataFrame, settings: Settings) -> DataFrame:
                     "outbound", "primary"))
 
 
-def fold(messages: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """The whole fold as named frames, each lazily built on the one before."""
+def fold(messages: DataFrame, settings: Settings, shared: bool = False) -> dict[str, DataFrame]:
+    """The whole fold as named frames, each lazily built on the one before.
+
+    With ``shared`` the voices are checkpointed once, for runs in which several branches (labels,
+    units, links, reports) hang on them: the messages are then shuffled once, and because a
+    checkpoint keeps its distribution by (chat, day) the branches need no shuffle on it either.
+    """
     prepared = prepare(messages, settings)
-    voice = voices(prepared)
+    voice = durable(voices(prepared)) if shared else voices(prepared)
     days = chat_days(voice, settings)
     kept = substance_floor(days, settings)
     spoken = spoken_days(kept, voice)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daybook.functions.text import key_ident, only_digits, word_list, word_text
+from daybook.session import durable
 
 SUFFIX_MIN = 7
 
@@ -99,8 +100,10 @@ def resolve_identifiers(idents: DataFrame, card_ids: DataFrame, cards: DataFrame
     """One row per identifier: resolved, ambiguous, proposed (which kind) or unresolved.
 
     Dry: nothing is written.  ``idents`` must hold each identifier once (the caller reduces
-    days to identifiers first, so the joins run per identifier and not per day).
+    days to identifiers first, so the joins run per identifier and not per day).  They feed four
+    joins, so they are checkpointed: whatever made them runs once.
     """
+    idents = durable(idents)
     exact = exact_matches(idents, card_ids).select(
         "ident", F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"))
     tail = suffix_matches(idents, card_ids).select(

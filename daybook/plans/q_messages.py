@@ -32,8 +32,8 @@ def stores(spark: SparkSession, base: str) -> tuple[DataFrame, ...]:
 
 
 def folded(spark: SparkSession, base: str) -> dict[str, DataFrame]:
-    """The fold plus the frames hung on it; everything stays lazy."""
-    f = fo.fold(adapt(spark, base, "messages"), SETTINGS)
+    """The fold plus the frames hung on it."""
+    f = fo.fold(adapt(spark, base, "messages"), SETTINGS, shared=True)
     f["contacts"] = adapt(spark, base, "contacts")
     f["linked"] = tr.labels(f["kept"], f["voices"], f["contacts"])
     f["openers"] = tr.openers(f["prepared"])

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from daybook.functions import text as X
-from daybook.functions.redaction import redact
 from daybook.operators import audit as au
 from daybook.operators import landing as la
 from daybook.plans.adapters import adapt
@@ -50,7 +49,7 @@ def _(spark, base):
     FROM digit_run d LEFT JOIN long_run l ON l.doc_id = d.doc_id AND l.i = d.i
     GROUP BY d.doc_id) b ON b.doc_id = t.doc_id""")
 def _(spark, base):
-    return adapt(spark, base, "corpus").select("doc_id", redact("text").alias("text"))
+    return au.redact_corpus(adapt(spark, base, "corpus"))
 
 
 @query("a10_redaction_rates", """

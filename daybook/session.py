@@ -53,3 +53,13 @@ def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint, so partitions stay as they are."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Share rows out over the cores when a scan has fewer splits than there are cores.
+
+    For per-row work that is far heavier than moving the row.  Large inputs already have more
+    splits than cores and pass through untouched.  ``df`` must be a scan with narrow steps only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
