@@ -47,55 +47,71 @@ def prepare(messages: DataFrame, settings: Settings) -> DataFrame:
 
 
 def voices(prepared: DataFrame) -> DataFrame:
-    """One row per (chat, day, speaker, participant): turns, messages, characters, first times."""
+    """One row per (chat, day, speaker, participant): turns, messages, characters, first times.
+
+    ``ord`` numbers messages by (slice, place in slice): one whole number that sorts a
+    conversation-day as (instant, raw date, row id) does.  Only numbers and flags are aggregated
+    (names are grouping keys), so both aggregations are hash aggregations.
+    """
     in_slice = W.partitionBy("chat_rowid", "day", "slice").orderBy(*ORDER)
     rows = (prepared.select("chat_rowid", "day", "slice", *ORDER, "speaker", "participant",
                             "chars", "is_group", "chat_name")
             .withColumn("before", F.lag("speaker").over(in_slice))
-            .withColumn("after", F.lead("speaker").over(in_slice)))
-    per_slice = rows.groupBy("chat_rowid", "day", "slice", "speaker", "participant").agg(
+            .withColumn("after", F.lead("speaker").over(in_slice))
+            .withColumn("ord", F.shiftleft(F.col("slice"), 36) + F.row_number().over(in_slice)))
+    who = ("speaker", "participant", "is_group", "chat_name")
+    per_slice = rows.groupBy("chat_rowid", "day", "slice", *who).agg(
         F.count_if(F.col("before").isNull() | (F.col("before") != F.col("speaker"))).alias("opens"),
         F.max(F.col("before").isNull()).alias("is_head"),
-        F.max(F.when(F.col("after").isNull(), F.col("speaker"))).alias("tail_speaker"),
-        F.count(F.lit(1)).alias("messages"),
-        F.sum("chars").alias("chars"),
-        F.min(F.struct(*ORDER, "is_group", "chat_name")).alias("head"))
+        F.max(F.col("after").isNull()).alias("is_tail"),
+        F.count(F.lit(1)).alias("messages"), F.sum("chars").alias("chars"),
+        F.min("ord").alias("ord"), F.min("sent_at").alias("first_at"))
     earlier = (W.partitionBy("chat_rowid", "day").orderBy("slice")
                .rangeBetween(W.unboundedPreceding, -1))
-    joined = (F.col("is_head")
-              & (F.last("tail_speaker", ignorenulls=True).over(earlier) == F.col("speaker")))
-    return (per_slice
-            .withColumn("opens", F.col("opens") - F.coalesce(joined, F.lit(False)).cast("bigint"))
-            .groupBy("chat_rowid", "day", "speaker", "participant").agg(
+    tail = F.last(F.when(F.col("is_tail"), F.col("speaker")), ignorenulls=True).over(earlier)
+    joined = F.coalesce(F.col("is_head") & (tail == F.col("speaker")), F.lit(False))
+    return (per_slice.withColumn("opens", F.col("opens") - joined.cast("bigint"))
+            .groupBy("chat_rowid", "day", *who).agg(
                 F.sum("opens").alias("turns"), F.sum("messages").alias("messages"),
-                F.sum("chars").alias("chars"), F.min("head").alias("head")))
-
+                F.sum("chars").alias("chars"), F.min("ord").alias("ord"),
+                F.min("first_at").alias("first_at")))
 
-def chat_days(voice: DataFrame, settings: Settings) -> DataFrame:
-    """One row per (chat, day) with everything the floor and the fold look at.
 
-    Only the owner has several voice rows (one per recipient); anyone else speaks as one
-    participant, so distinct senders are plain counts here and no DISTINCT is needed.
-    """
-    mine = F.col("speaker") == OWNER
-    real = ~F.col("speaker").isin(OWNER, UNKNOWN)
+def speakers(voice: DataFrame, settings: Settings) -> DataFrame:
+    """One row per (chat, day, speaker), with what the conversation-day needs to know of it."""
     blocked = (F.col("participant").isin(*settings.never_ingest) if settings.never_ingest
                else F.lit(False))
-    return voice.groupBy("chat_rowid", "day").agg(
-        F.min("head").alias("head"),
-        F.sum("turns").alias("turns"),
-        F.coalesce(F.sum(F.when(mine, F.col("turns"))), F.lit(0)).alias("my_turns"),
-        F.min(F.when(mine, F.col("head.sent_at"))).alias("my_first"),
-        F.sum("messages").alias("messages"),
-        F.sum("chars").alias("chars"),
-        (F.count_if(~mine) + F.max(mine).cast("bigint")).alias("senders"),
-        F.count_if(real).alias("speakers"),
-        F.count_if(real & ~is_shortcode(F.col("speaker"))).alias("real_speakers"),
+    return voice.groupBy("chat_rowid", "day", "speaker").agg(
+        F.sum("turns").alias("turns"), F.sum("messages").alias("messages"),
+        F.sum("chars").alias("chars"), F.min("first_at").alias("first_at"),
         F.coalesce(F.max(blocked), F.lit(False)).alias("blocked"),
-    ).select("chat_rowid", "day", F.col("head.is_group").alias("is_group"),
-             F.col("head.chat_name").alias("chat_name"), F.col("head.sent_at").alias("first_at"),
-             "turns", "my_turns", "my_first", "messages", "chars", "senders", "speakers",
-             "real_speakers", "blocked")
+        F.min(F.struct("ord", "is_group", "chat_name")).alias("head"))
+
+
+def _day_measures() -> dict[str, Column]:
+    """Measures of a conversation-day over its speaker rows, for a GROUP BY or a window."""
+    mine = F.col("speaker") == OWNER
+    real = ~F.col("speaker").isin(OWNER, UNKNOWN)
+    return {
+        "head": F.min("head"), "first_at": F.min("first_at"), "turns": F.sum("turns"),
+        "my_turns": F.sum(F.when(mine, F.col("turns")).otherwise(0)),
+        "my_first": F.min(F.when(mine, F.col("first_at"))),
+        "messages": F.sum("messages"), "chars": F.sum("chars"),
+        "senders": F.count(F.lit(1)), "speakers": F.count_if(real),
+        "real_speakers": F.count_if(real & ~is_shortcode(F.col("speaker"))),
+        "blocked": F.max("blocked")}
+
+
+def _with_head(df: DataFrame, *also: str | Column) -> DataFrame:
+    names = [n for n in _day_measures() if n != "head"]
+    return df.select("chat_rowid", "day", F.col("head.is_group").alias("is_group"),
+                     F.col("head.chat_name").alias("chat_name"), *names, *also)
+
+
+def chat_days(spoke: DataFrame) -> DataFrame:
+    """One row per (chat, day) with everything the floor and the fold look at."""
+    return _with_head(spoke.groupBy("chat_rowid", "day").agg(
+        *[measure.alias(name) for name, measure in _day_measures().items()]))
 
 
 def substance_floor(units: DataFrame, settings: Settings) -> DataFrame:
@@ -108,25 +124,28 @@ def substance_floor(units: DataFrame, settings: Settings) -> DataFrame:
         & (F.col("chars") >= settings.min_chars))
 
 
-def spoken_days(kept: DataFrame, voice: DataFrame) -> DataFrame:
+def spoken_days(spoke: DataFrame, settings: Settings) -> DataFrame:
     """Each kept conversation-day once per person who SPOKE in it.
 
-    Both sides are already distributed by (chat, day), so the join adds no shuffle.
+    The day's measures are taken over its speaker rows with a window, which needs no join and
+    no shuffle beyond the one the speakers were counted with.
     """
-    spoke = (voice.filter(~F.col("speaker").isin(OWNER, UNKNOWN))
-             .groupBy("chat_rowid", "day", F.col("speaker").alias("ident"))
-             .agg(F.sum("turns").alias("their_turns"),
-                  F.min("head.sent_at").alias("their_first")))
-    return kept.withColumn("chat_messages", F.col("messages")).join(spoke, ["chat_rowid", "day"])
+    day = W.partitionBy("chat_rowid", "day")
+    beside = spoke.select(
+        "chat_rowid", "day", "speaker", F.col("turns").alias("their_turns"),
+        F.col("first_at").alias("their_first"),
+        *[measure.over(day).alias(name) for name, measure in _day_measures().items()])
+    kept = substance_floor(_with_head(beside, "speaker", "their_turns", "their_first"), settings)
+    return (kept.filter(~F.col("speaker").isin(OWNER, UNKNOWN))
+            .withColumnRenamed("speaker", "ident"))
 
 
 def counterparts(voice: DataFrame) -> DataFrame:
     """Who took part in a conversation-day: first time seen, and first time heard (if ever)."""
     spoke = F.col("speaker") == F.col("participant")
-    at = F.struct(*[F.col(f"head.{c}").alias(c) for c in ORDER])
     return (voice.filter(F.col("participant").isNotNull())
             .groupBy("chat_rowid", "day", F.col("participant").alias("ident"))
-            .agg(F.min(at).alias("seen"), F.min(F.when(spoke, at)).alias("spoke")))
+            .agg(F.min("ord").alias("seen"), F.min(F.when(spoke, F.col("ord"))).alias("spoke")))
 
 
 def direction(their_turns: Column, my_turns: Column, their_first: Column,
@@ -154,7 +173,7 @@ def person_days(spoken: DataFrame, settings: Settings) -> DataFrame:
         F.min("their_first").alias("their_first"), F.min("my_first").alias("my_first"),
         F.max(~F.col("is_group") & (F.col("my_turns") > 0)).alias("outbound"),
         F.min(F.struct((-F.col("their_turns")).alias("rank"), "is_group", "first_at",
-                       "chat_rowid", "chat_name", "chat_messages")).alias("primary"))
+                       "chat_rowid", "chat_name", "messages")).alias("primary"))
     return (folded.filter(~is_shortcode(F.col("ident"))
                           & (F.col("turns") >= settings.min_turns)
                           & (F.col("chars") >= settings.min_chars))
@@ -174,8 +193,9 @@ def fold(messages: DataFrame, settings: Settings, shared: bool = False) -> dict[
     """
     prepared = prepare(messages, settings)
     voice = durable(voices(prepared)) if shared else voices(prepared)
-    days = chat_days(voice, settings)
+    spoke = speakers(voice, settings)
+    days = chat_days(spoke)
     kept = substance_floor(days, settings)
-    spoken = spoken_days(kept, voice)
+    spoken = spoken_days(spoke, settings)
     return {"prepared": prepared, "voices": voice, "chat_days": days, "kept": kept,
             "spoken": spoken, "person_days": person_days(spoken, settings)}

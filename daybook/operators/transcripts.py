@@ -139,7 +139,7 @@ def unit_records(person_days: DataFrame, opener: DataFrame, linked: DataFrame,
         "*", F.col("primary.chat_rowid").alias("chat_rowid"),
         F.col("primary.is_group").alias("primary_group"),
         F.col("primary.chat_name").alias("primary_name"),
-        F.col("primary.chat_messages").alias("primary_messages")).drop("primary")
+        F.col("primary.messages").alias("primary_messages")).drop("primary")
     topic = safe_topic(topic_line(F.col("primary_group"), F.col("primary_name"),
                                   F.col("primary_messages"), F.col("opener")))
     return (primary.join(opener, ["chat_rowid", "day"], "left")

@@ -225,7 +225,7 @@ def _(spark, base):
     voice = fo.voices(fo.prepare(adapt(spark, base, "messages"), SETTINGS))
     return (voice.groupBy("chat_rowid", "day", "speaker")
             .agg(F.sum("turns").alias("turns"), F.sum("messages").alias("messages"),
-                 F.min("head.sent_at").alias("first_at"))
+                 F.min("first_at").alias("first_at"))
             .select("chat_rowid", day_text(), "speaker", "turns", "messages", micros("first_at")))
 
 
