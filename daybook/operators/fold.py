@@ -197,5 +197,5 @@ def fold(messages: DataFrame, settings: Settings, shared: bool = False) -> dict[
     days = chat_days(spoke)
     kept = substance_floor(days, settings)
     spoken = spoken_days(spoke, settings)
-    return {"prepared": prepared, "voices": voice, "chat_days": days, "kept": kept,
+    return {"prepared": prepared, "voices": voice, "speakers": spoke, "chat_days": days, "kept": kept,
             "spoken": spoken, "person_days": person_days(spoken, settings)}

@@ -54,12 +54,13 @@ def claim_counts(ready: DataFrame, limit: int) -> DataFrame:
                 F.col("waiting") - F.col("claimed") - F.col("no_transcript"), F.lit(0))))
 
 
-def claim_batches(queue: DataFrame, limit: int, salt: int = 64) -> DataFrame:
+def claim_batches(queue: DataFrame, limit: int, salt: int | None = None) -> DataFrame:
     """All claimable days cut into documents of ``limit`` units.
 
     Days are numbered inside hash buckets, never in one global window, so a document is
     (bucket, batch) and no task sees more than its bucket.
     """
+    salt = salt or int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bucket = F.pmod(F.xxhash64("key"), F.lit(salt))
     order = W.partitionBy("bucket").orderBy("day", "key")
     return (queue.withColumn("bucket", bucket)

@@ -55,12 +55,17 @@ def transcript_link(day: Column, slug: Column, chat: Column) -> Column:
                     F.lit("-"), slug, F.lit("-"), chat.cast("string"), F.lit(".txt"))
 
 
-def transcript_lines(prepared: DataFrame, links: DataFrame, contacts: DataFrame,
-                     settings: Settings) -> DataFrame:
-    """Every message of the linked conversation-days as one redacted line."""
-    rows = prepared.join(links.select("chat_rowid", "day", "link"), ["chat_rowid", "day"])
-    named = rows.join(contact_names(contacts).withColumnRenamed("ident", "speaker"),
-                      "speaker", "left")
+def transcript_lines(prepared: DataFrame, linked: DataFrame, spoke: DataFrame,
+                     contacts: DataFrame, settings: Settings) -> DataFrame:
+    """Every message of the linked conversation-days as one redacted line.
+
+    Names and links meet at (chat, day, speaker) first, so the messages are joined once and on a
+    key that spreads: never on the speaker alone, where the owner would be a third of all rows.
+    """
+    names = (spoke.select("chat_rowid", "day", "speaker")
+             .join(linked.select("chat_rowid", "day", "link"), ["chat_rowid", "day"])
+             .join(contact_names(contacts).withColumnRenamed("ident", "speaker"), "speaker", "left"))
+    named = prepared.join(names, ["chat_rowid", "day", "speaker"])
     who = (F.when(F.col("speaker") == OWNER, "Me")
            .otherwise(F.coalesce("contact", "ident", F.lit("Unknown"))))
     shown = (F.when(F.col("text").isNull(), UNREADABLE).otherwise(F.coalesce(

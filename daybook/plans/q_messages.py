@@ -312,7 +312,8 @@ def _(spark, base):
 
 def _lines(spark, base):
     f = folded(spark, base)
-    return tr.transcript_lines(f["prepared"], f["linked"], f["contacts"], SETTINGS)
+    return tr.transcript_lines(f["prepared"], f["linked"], f["speakers"], f["contacts"],
+                               SETTINGS)
 
 
 @query("k1_write_transcripts", """

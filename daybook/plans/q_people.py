@@ -203,6 +203,19 @@ def _(spark, base):
                                X.mask_tail(F.col("handle_raw")).alias("tail")))
 
 
+@query("p14_looks_like_identifier", """
+  SELECT text, text LIKE '%@%' OR (length(regexp_replace(text, '[^0-9]', '', 'g')) >= 7
+    AND NOT regexp_matches(text, '\\p{L}')) AS looks
+  FROM (SELECT DISTINCT handle_raw AS text FROM messages WHERE handle_raw IS NOT NULL
+        UNION SELECT name FROM cards UNION SELECT substr(name, 10) FROM cards)""")
+def _(spark, base):
+    cards = adapt(spark, base, "cards")
+    texts = (adapt(spark, base, "messages").select(F.col("handle_raw").alias("text"))
+             .filter("text IS NOT NULL").unionByName(cards.select(F.col("name").alias("text")))
+             .unionByName(cards.select(F.substring("name", 10, 99).alias("text"))).distinct())
+    return texts.select("text", X.looks_like_identifier(F.col("text")).alias("looks"))
+
+
 # --- resolution -----------------------------------------------------------------------------
 
 

@@ -196,14 +196,14 @@ ADAPTERS["hold_events"] = (("ledger_days", "ledger_identifiers"), """
   FROM ledger_days WHERE seq % 5 = 0""")
 
 
-@query("st7_hold_release_stale", """
-  SELECT d.ident, d.key, o.outcome FROM ledger_days d
-  JOIN (SELECT ident FROM ledger_identifiers WHERE state = 'accepted') i ON i.ident = d.ident
-  CROSS JOIN (SELECT unnest(['queued', 'stale']) AS outcome) o
-  WHERE o.outcome = 'queued' OR (
-    greatest(greatest(d.day, DATE '1997-01-01') + 3, CASE WHEN seq % 5 = 0 THEN d.day + 30
-      ELSE d.day END) <= (SELECT max(day) FROM ledger_days))""")
-def _(spark, base):
+block("released_t", """
+  SELECT d.ident, d.key, d.seq % 5 = 0 AS leased, greatest(d.day, DATE '1997-01-01') AS queued_on,
+    greatest(greatest(d.day, DATE '1997-01-01') + 3,
+      CASE WHEN seq % 5 = 0 THEN d.day + 30 ELSE d.day END) AS free_on
+  FROM ledger_days d JOIN ledger_identifiers i ON i.ident = d.ident WHERE i.state = 'accepted'""")
+
+
+def _outcomes(spark, base):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass",
                    "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     folder = f"{run_folder(spark)}/events"
@@ -211,8 +211,31 @@ def _(spark, base):
         "until_ts", "until")
     events.write.parquet(folder)
     stream = spark.readStream.schema(events.schema).parquet(folder)
-    return drain(hd.hold_and_release(stream, SETTINGS.stale_days), spark).select(
-        "ident", "key", "outcome")
+    return drain(hd.hold_and_release(stream, SETTINGS.stale_days), spark)
+
+
+@query("st7_hold_release", """
+  SELECT ident, key, epoch_us(CAST(queued_on AS TIMESTAMP)) AS at FROM released_t""")
+def _(spark, base):
+    return _outcomes(spark, base).filter("outcome = 'queued'").select("ident", "key", micros("at"))
+
+
+@query("st8_staleness_timeout", """
+  SELECT ident, key FROM released_t WHERE NOT leased
+    AND free_on <= (SELECT max(day) FROM ledger_days)""")
+def _(spark, base):
+    leased = adapt(spark, base, "ledger_days").filter("seq % 5 = 0").select("key")
+    return _outcomes(spark, base).filter("outcome = 'stale'").join(
+        leased, "key", "left_anti").select("ident", "key")
+
+
+@query("st9_lease_expiry", """
+  SELECT ident, key FROM released_t WHERE leased
+    AND free_on <= (SELECT max(day) FROM ledger_days)""")
+def _(spark, base):
+    leased = adapt(spark, base, "ledger_days").filter("seq % 5 = 0").select("key")
+    return _outcomes(spark, base).filter("outcome = 'stale'").join(
+        leased, "key", "left_semi").select("ident", "key")
 
 
 @query("st12_stream_counters", """

@@ -1,8 +1,8 @@
 """The fold as chained streaming aggregates: slices → conversation-days → person-days.
 
 Append mode emits a day only once the watermark has passed its end, so the open day is held
-back by the engine itself.  Nothing but one minute of one conversation is ever gathered into a
-row: a minute becomes a small summary, and a day is at most 1,440 of those.
+back by the engine itself.  Nothing but ten seconds of one conversation are ever gathered into
+a row: they become a small summary, and a day is at most 8,640 of those.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from daybook.config import OWNER, UNKNOWN, Settings
 from daybook.functions.text import is_shortcode, unit_key
 from daybook.operators.fold import direction, prepare
 
-SLICE = "1 minute"
+SLICE = "10 seconds"
 
-#: Rows of one minute, ordered, folded to runs of one speaker each.
+#: Rows of one slice, ordered, folded to runs of one speaker each.
 _RUNS = """
   aggregate(rows, cast(array() AS array<struct<speaker:string,first_at:timestamp,
       messages:bigint,chars:bigint>>), (runs, r) ->
@@ -56,7 +56,7 @@ def stream_chat_days(messages: DataFrame, settings: Settings, delay: str = "3 da
     """Conversation-days as a stream, with the turn count and each speaker's share."""
     rows = prepare(messages, settings).withWatermark("sent_at", delay)
     blocked = F.coalesce(F.col("participant").isin(*settings.never_ingest), F.lit(False))
-    minutes = (rows.groupBy(F.window("sent_at", SLICE), "chat_rowid").agg(
+    slices_ = (rows.groupBy(F.window("sent_at", SLICE), "chat_rowid").agg(
         F.sort_array(F.collect_list(F.struct("sent_at", "date_raw", "rowid", "speaker", "chars")))
         .alias("rows"),
         F.min(F.struct("sent_at", "date_raw", "rowid", "is_group")).alias("head"),
@@ -65,7 +65,7 @@ def stream_chat_days(messages: DataFrame, settings: Settings, delay: str = "3 da
     summary = F.struct(
         F.col("window.start").alias("at"), F.col("runs")[0]["speaker"].alias("head"),
         F.element_at("runs", -1)["speaker"].alias("tail"), F.expr(_PER_SPEAKER).alias("per"))
-    sliced = minutes.select("window", "chat_rowid", "head", "blocked", summary.alias("slice"))
+    sliced = slices_.select("window", "chat_rowid", "head", "blocked", summary.alias("slice"))
     days = (sliced.groupBy(F.window("window", "1 day"), "chat_rowid").agg(
         F.sort_array(F.collect_list("slice")).alias("slices"), F.min("head").alias("head"),
         F.max("blocked").alias("blocked")))
