@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.redaction import RULES, redact, redaction_spans, rule_name
+from daybook.operators.shape import side_by_side
 from daybook.session import spread
 
 # --- fixed values: audit patterns --------------------------------------------------------
@@ -132,7 +133,7 @@ def transcript_audit(files: DataFrame) -> DataFrame:
                    | F.exists("lines", lambda x: ~F.regexp_replace(x, r"\r+\z", "")
                               .rlike(LINE_SHAPE))).alias("malformed_line"),
         F.count_if(~F.col("good_name")).alias("bad_name"))
-    return rest.join(F.broadcast(secret))  # one row each, by construction
+    return side_by_side(rest, secret)
 
 
 def arrival_disorder(rows: DataFrame, bucket: int = 1 << 16) -> DataFrame:

@@ -96,11 +96,10 @@ def limit_landing(outcomes: DataFrame, limit: int) -> DataFrame:
     order = F.struct("day", "key")
     first = (outcomes.filter("outcome = 'stamped'").select(order.alias("at"))
              .orderBy("at").limit(limit))
-    cut = first.agg(F.max("at").alias("cut"), F.count(F.lit(1)).alias("n"))
-    full = F.col("n") >= limit
-    return outcomes.join(F.broadcast(cut)).withColumn(  # one row by construction
-        "outcome", F.when(full & (order > F.col("cut")), "remaining")
-        .otherwise(F.col("outcome"))).drop("cut", "n")
+    cut = first.agg(F.struct(F.max("at").alias("at"), F.count(F.lit(1)).alias("n"))).scalar()
+    return outcomes.withColumn("cut", cut).withColumn(
+        "outcome", F.when((F.col("cut.n") >= limit) & (order > F.col("cut.at")), "remaining")
+        .otherwise(F.col("outcome"))).drop("cut")
 
 
 def stale_due(queue: DataFrame, stamped: DataFrame, live: DataFrame, today: date,

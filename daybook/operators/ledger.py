@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from daybook.functions.text import key_ident
+from daybook.operators.shape import side_by_side
 
 # --- fixed values: which operation touches which table ---------------------------------------
 SETS = {"stamp_intent": ("stamped",), "stamp_done": ("stamped",),
@@ -161,7 +162,4 @@ def ledger_status(days: DataFrame, identifiers: DataFrame, claims: DataFrame,
     holders = (live_claims(claims, now).join(days.filter(queued).select("key"), "key", "left_semi")
                .select("claim_id").distinct().agg(F.count(F.lit(1)).alias("live_claims")))
     failing = failures.agg(F.count(F.lit(1)).alias("failures"))
-    out = counted
-    for one_row in (held_ids, states, holders, failing):
-        out = out.join(F.broadcast(one_row))  # each is one row by construction
-    return out
+    return side_by_side(counted, held_ids, states, holders, failing)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from daybook.config import (HEADLINE_MAX, HEALTHY_RATE, ITEM_MAX, ONE_TO_ONE_STYLE, Settings)
 from daybook.functions.text import cap_line, normalise_handle, scrub_line, strip
 from daybook.operators.backfill import estimate, tranche_no
+from daybook.operators.shape import side_by_side
 
 
 def own_handle_evidence(message: DataFrame, membership: DataFrame, chat: DataFrame,
@@ -67,10 +68,7 @@ def preview_counts(fold: dict[str, DataFrame], first: date, last: date) -> DataF
         F.count(F.lit(1)).alias("n"))
     people = per_person.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("person_days"),
                             F.count(F.lit(1)).alias("people"))
-    out = read
-    for one_row in (chats, kept, people):
-        out = out.join(F.broadcast(one_row))  # each is one row by construction
-    return out.withColumn("set_aside", F.col("chat_days") - F.col("kept"))
+    return side_by_side(read, chats, kept, people).withColumn("set_aside", F.col("chat_days") - F.col("kept"))
 
 
 def newest_samples(kept: DataFrame, rows: int = 3) -> DataFrame:
@@ -88,7 +86,7 @@ def backfill_estimate(fold: dict[str, DataFrame], queued: DataFrame, first: date
     days = units.agg(F.count(F.lit(1)).alias("person_days"))
     landing = units.join(queued.select("key"), "key", "left_semi").agg(
         F.count(F.lit(1)).alias("queued"))
-    counts = threads.join(F.broadcast(days)).join(F.broadcast(landing)).withColumn(
+    counts = side_by_side(threads, days, landing).withColumn(
         "tranches", tranche_no(F.lit(last), F.lit(first), settings.tranche_days) + 1)
     return estimate(counts, settings, read_seconds)
 

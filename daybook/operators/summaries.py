@@ -43,13 +43,14 @@ def claim_counts(ready: DataFrame, limit: int) -> DataFrame:
     A day without a transcript counts only until the pick is full, as the walk is by (day, key).
     """
     order = F.struct("day", "key")
-    cut = (claim_pick(ready, limit).agg(F.max(order).alias("cut"), F.count(F.lit(1)).alias("n")))
+    cut = claim_pick(ready, limit).agg(
+        F.struct(F.max(order).alias("at"), F.count(F.lit(1)).alias("n"))).scalar()
     free = ~F.col("is_held")
-    walked = (F.col("n") < limit) | (order <= F.col("cut"))
-    return (ready.join(F.broadcast(cut))  # one row by construction
+    walked = (F.col("cut.n") < limit) | (order <= F.col("cut.at"))
+    return (ready.withColumn("cut", cut)
             .agg(F.count_if(free).alias("waiting"), F.count_if("is_held").alias("held_by_others"),
                  F.count_if(free & ~F.col("has_transcript") & walked).alias("no_transcript"),
-                 F.coalesce(F.max("n"), F.lit(0)).alias("claimed"))
+                 F.coalesce(F.max("cut.n"), F.lit(0)).alias("claimed"))
             .withColumn("left_waiting", F.greatest(
                 F.col("waiting") - F.col("claimed") - F.col("no_transcript"), F.lit(0))))
 

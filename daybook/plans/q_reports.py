@@ -13,6 +13,7 @@ from daybook.operators import resolve as rs
 from daybook.operators import review as rv
 from daybook.operators import show as sh
 from daybook.operators import transcripts as tr
+from daybook.operators.shape import side_by_side
 from daybook.plans.adapters import SETTINGS, adapt
 from daybook.plans.q_ledger import state_tables
 from daybook.plans.q_messages import day_text, folded, stores
@@ -150,13 +151,12 @@ def _(spark, base):
     def one(df, name):
         return df.agg(F.count(F.lit(1)).alias(name))
 
-    counts = one(t["days"], "came_in")
-    for row in (one(t["stamped"], "filed"), one(t["held"], "held_days"),
-                t["queue"].agg(F.count(F.lit(1)).alias("waiting"), F.min("day").alias("oldest_day")),
-                lg.waiting_counts(adapt(spark, base, "ledger_identifiers")).select(
-                    F.col("on_review").alias("review")),
-                one(adapt(spark, base, "failure_log").select("key").distinct(), "failures")):
-        counts = counts.join(F.broadcast(row))
+    counts = side_by_side(
+        one(t["days"], "came_in"), one(t["stamped"], "filed"), one(t["held"], "held_days"),
+        t["queue"].agg(F.count(F.lit(1)).alias("waiting"), F.min("day").alias("oldest_day")),
+        lg.waiting_counts(adapt(spark, base, "ledger_identifiers")).select(
+            F.col("on_review").alias("review")),
+        one(adapt(spark, base, "failure_log").select("key").distinct(), "failures"))
     return rp.brief_row(counts)
 
 

@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.operators.shape import side_by_side
 from daybook.plans.adapters import ADAPTERS, SETTINGS, adapt
 from daybook.plans.fold_blocks import variant
 from daybook.plans.q_ledger import items_of, owners_of, state_tables
@@ -255,5 +256,5 @@ def _(spark, base):
                                     "rows bigint, readable bigint")
     days = spark.read.parquet(f"{home}/out").select("day").distinct().agg(
         F.count(F.lit(1)).alias("days"))
-    return counted.agg(F.sum("rows").alias("rows"), F.sum("readable").alias("readable")).join(
-        F.broadcast(days))
+    return side_by_side(counted.agg(F.sum("rows").alias("rows"),
+                                    F.sum("readable").alias("readable")), days)
