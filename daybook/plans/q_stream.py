@@ -179,9 +179,10 @@ def _(spark, base):
     home, settings = it.Home(run_folder(spark)), replace(SETTINGS, tranche_days=10)
     messages = adapt(spark, base, "messages")
     window = (date(2023, 12, 30), date(2024, 1, 28))
-    reached = it.run_backfill(messages, home, settings, *window, stop_before=1)
-    it.run_backfill(messages, home, settings, *window, from_tranche=reached)
-    return spark.read.parquet(home.path("person_days")).select("key", day_text(), "turns", "direction")
+    it.run_backfill(messages, home, settings, *window, max_blocks=1)
+    it.run_backfill(messages, home, settings, *window)
+    return spark.read.parquet(it.window_path(home, *window)).select(
+        "key", day_text(), "turns", "direction")
 
 
 # --- keyed state -----------------------------------------------------------------------------------------

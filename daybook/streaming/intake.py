@@ -10,7 +10,7 @@ from the last batch that read it, so a day that no longer holds anybody reads as
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from daybook.config import Settings
 from daybook.functions.times import local_day
 from daybook.operators import fold as fo
-from daybook.operators.backfill import tranche_no
+from daybook.operators.backfill import resume_from, tranche_no
 from daybook.operators.landing import landing_outcomes
 
 
@@ -53,12 +53,6 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
 
 
-def write_days(df: DataFrame, path: str) -> None:
-    """Overwrite the day partitions present in ``df`` and no others."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("day").parquet(path))
-
-
 def intake_batch(batch: DataFrame, batch_id: int, home: Home, settings: Settings,
                  today: date) -> None:
     """One micro-batch: store, touched closed days, re-fold, frozen queue, grown links."""
@@ -151,27 +145,43 @@ def run_landing(stream: DataFrame, home: Home, stamped: DataFrame, owners: DataF
 
 def backfill_tranche(messages: DataFrame, home: Home, settings: Settings, first: date, last: date,
                      tranche: int) -> None:
-    """Fold one block of days of a window and write its day partitions."""
+    """Fold one block of days of a window into the block's own partition."""
     day = local_day(F.col("sent_at"), settings.zone)
     inside = (day.between(F.lit(first), F.lit(last))
               & (tranche_no(day, F.lit(first), settings.tranche_days) == tranche))
     units = fo.fold(messages.filter(inside), settings)["person_days"].drop("primary")
-    write_days(units, home.path("person_days"))
+    write_batch(units, window_path(home, first, last), tranche)
+
+
+def window_path(home: Home, first: date, last: date) -> str:
+    return home.path(f"backfill/days/{first}_{last}")
+
+
+def backfill_cursor(spark: SparkSession, home: Home) -> dict | None:
+    """The saved one-row cursor, or nothing before the first block."""
+    path = home.path("backfill/cursor")
+    return spark.read.parquet(path).first().asDict() if _exists(spark, path) else None
 
 
 def run_backfill(messages: DataFrame, home: Home, settings: Settings, first: date, last: date,
-                 from_tranche: int = 0, stop_before: int | None = None) -> int:
-    """Oldest block first, the cursor saved after each; returns the next block to read.
+                 max_blocks: int | None = None) -> dict:
+    """Oldest block first, the cursor saved after each; the same window resumes where it stopped.
 
-    The loop runs over blocks of days, not over data.  Day partitions are overwritten, so a block
-    cut off half way is simply read again.
+    The loop runs over blocks of days, not over data.  A block cut off half way is read again and
+    replaces its partition.  Another unfinished window is reported as set aside, and the live
+    mark is never touched.
     """
     spark = messages.sparkSession
-    blocks = (last - first).days // settings.tranche_days + 1
-    for n in range(from_tranche, blocks if stop_before is None else min(stop_before, blocks)):
-        backfill_tranche(messages, home, settings, first, last, n)
-        cursor = spark.createDataFrame([(first, last, n + 1, n + 1 >= blocks)],
-                                       "first date, last date, next int, complete boolean")
-        cursor.coalesce(1).write.mode("overwrite").parquet(home.path("backfill"))
-        from_tranche = n + 1
-    return from_tranche
+    start, set_aside = resume_from(backfill_cursor(spark, home), first, last)
+    size = settings.tranche_days
+    blocks, n = (last - first).days // size + 1, (start - first).days // size
+    stop = blocks if max_blocks is None else min(blocks, n + max_blocks)
+    for block in range(n, stop):
+        backfill_tranche(messages, home, settings, first, last, block)
+        following = first + timedelta(days=(block + 1) * size)
+        cursor = spark.createDataFrame(
+            [(first.isoformat(), last.isoformat(), following.isoformat(), block + 1 >= blocks)],
+            "from string, to string, next string, complete boolean")
+        cursor.coalesce(1).write.mode("overwrite").parquet(home.path("backfill/cursor"))
+    return {"resumed_from": start, "set_aside": set_aside, "blocks_read": stop - n,
+            "complete": stop >= blocks}

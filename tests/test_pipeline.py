@@ -71,3 +71,20 @@ def test_intake_batch_twice_is_once(spark):
     whole = folded(spark, BASE)["person_days"].filter(F.col("day") < F.lit(today))
     assert got == {r.key for r in whole.select("key").collect()}
     assert queue.filter(F.col("day") >= F.lit(today)).count() == 0
+
+
+def test_backfill_resumes_and_sets_aside(spark):
+    from dataclasses import replace
+    home, settings = it.Home(tempfile.mkdtemp(prefix="daybook-test-")), replace(SETTINGS, tranche_days=5)
+    messages = adapt(spark, BASE, "messages")
+    window = (dt.date(2024, 1, 1), dt.date(2024, 1, 12))
+    first = it.run_backfill(messages, home, settings, *window, max_blocks=1)
+    assert (first["blocks_read"], first["complete"]) == (1, False)
+    again = it.run_backfill(messages, home, settings, *window)
+    assert again["resumed_from"] == dt.date(2024, 1, 6) and again["complete"]
+    days = spark.read.parquet(it.window_path(home, *window))
+    whole = folded(spark, BASE)["person_days"].filter(F.col("day").between(*map(F.lit, window)))
+    assert sorted(r.key for r in days.collect()) == sorted(r.key for r in whole.collect())
+    it.run_backfill(messages, home, settings, dt.date(2024, 1, 1), dt.date(2024, 1, 20), max_blocks=1)
+    other = it.run_backfill(messages, home, settings, *window, max_blocks=1)
+    assert other["set_aside"] and other["resumed_from"] == window[0]
