@@ -31,15 +31,27 @@ def stores(spark: SparkSession, base: str) -> tuple[DataFrame, ...]:
                  ("store_message", "store_membership", "store_chat", "store_handle"))
 
 
+class Frames(dict):
+    """Named frames, each built when first asked for: a query plans only what it reads."""
+
+    def __init__(self, ready: dict, makers: dict) -> None:
+        super().__init__(ready)
+        self._makers = makers
+
+    def __missing__(self, name: str) -> DataFrame:
+        self[name] = self._makers[name](self)
+        return self[name]
+
+
 def folded(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     """The fold plus the frames hung on it."""
-    f = fo.fold(adapt(spark, base, "messages"), SETTINGS, shared=True)
-    f["contacts"] = adapt(spark, base, "contacts")
-    f["linked"] = tr.labels(f["kept"], f["voices"], f["contacts"])
-    f["openers"] = tr.openers(f["prepared"])
-    f["units"] = tr.unit_records(f["person_days"], f["openers"], f["linked"], f["contacts"])
-    f["unit_links"] = tr.unit_links(f["spoken"], f["linked"])
-    return f
+    return Frames(fo.fold(adapt(spark, base, "messages"), SETTINGS, shared=True), {
+        "contacts": lambda f: adapt(spark, base, "contacts"),
+        "linked": lambda f: tr.labels(f["kept"], f["voices"], f["contacts"]),
+        "openers": lambda f: tr.openers(f["prepared"]),
+        "units": lambda f: tr.unit_records(f["person_days"], f["openers"], f["linked"],
+                                           f["contacts"]),
+        "unit_links": lambda f: tr.unit_links(f["spoken"], f["linked"])})
 
 
 # --- scans ------------------------------------------------------------------------------
