@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.llm.near_copies import near_copies
 from daybook.llm.repetition import repetition_verdicts
 from daybook.llm.token_counts import count_message_tokens
 from daybook.session import configure
@@ -39,3 +40,8 @@ def op6_token_counts(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op9_repetition_rules(spark: SparkSession, base: str) -> DataFrame:
     return repetition_verdicts(documents(spark, base)).withColumnRenamed("rowid", "doc_id")
+
+
+@query
+def op3_near_copies(spark: SparkSession, base: str) -> DataFrame:
+    return near_copies(documents(spark, base)).withColumnRenamed("rowid", "doc_id")

@@ -6,11 +6,10 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.texts import per_row_sum, ragged, text_columns, word_bytes
+from daybook.llm.texts import numbered, per_row_sum, ragged, text_columns, word_bytes
 
 # --- fixed values ---------------------------------------------------------------------------
 SYMBOLS = "#*$%&|<>"
@@ -109,7 +108,7 @@ def repetition_measures(texts: list[str], rules: RepetitionRules) -> dict[str, n
     total = int(starts[-1])
     covered = longest = repeated = np.zeros(len(texts), dtype=np.int64)
     if total:
-        word, names = pd.factorize(np.array(list(chain.from_iterable(words)), dtype=object))
+        word, names = numbered(chain.from_iterable(words))
         codes = row * np.int64(len(names)) + word
         order, levels = suffix_order(codes, row)
         before = neighbour_prefixes(order, levels, row)

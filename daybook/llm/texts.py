@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from typing import Any
 
 import numpy as np
@@ -57,6 +57,16 @@ def word_bytes(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split()
 
 
+def numbered(values: Iterable[Hashable]) -> tuple[np.ndarray, list]:
+    """The number of each value in order of first sight, and the distinct values.
+
+    A plain dictionary: array factorising takes strings that differ after a NUL for equal.
+    """
+    seen: dict = {}
+    codes = np.array([seen.setdefault(v, len(seen)) for v in values], dtype=np.int64)
+    return codes, list(seen)
+
+
 def ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row starts (one more than rows) and the row number of every element."""
     starts = np.zeros(len(lengths) + 1, dtype=np.int64)

@@ -9,12 +9,11 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.texts import per_row_sum, ragged, text_columns
+from daybook.llm.texts import numbered, per_row_sum, ragged, text_columns
 
 # --- fixed values: the split before the merges, as the vocabulary's library reads it ------
 PRE_TOKEN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+"
@@ -148,10 +147,10 @@ def count_tokens(texts: list[str], table: MergeTable) -> tuple[np.ndarray, np.nd
     n_bytes = np.array([len(t) if t.isascii() else len(t.encode()) for t in texts], dtype=np.int64)
     if not pieces:
         return n_bytes, tokens
-    code, distinct = pd.factorize(np.array(pieces, dtype=object))
+    code, distinct = numbered(pieces)
     split = [find(p) for p in distinct]
     unit_starts, _ = ragged(np.fromiter(map(len, split), dtype=np.int64, count=len(split)))
-    pre, names = pd.factorize(np.array(list(chain.from_iterable(split)), dtype=object))
+    pre, names = numbered(chain.from_iterable(split))
     each = merge_counts([w.encode() for w in names], table)
     of_unit = per_row_sum(each[pre], unit_starts)
     starts, _ = ragged(per_text)
