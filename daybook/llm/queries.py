@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.llm.contamination import contained_items
 from daybook.llm.near_copies import near_copies
+from daybook.llm.packing import pack_messages
 from daybook.llm.repetition import repetition_verdicts
 from daybook.llm.token_counts import count_message_tokens
 from daybook.session import configure
@@ -45,3 +47,15 @@ def op9_repetition_rules(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op3_near_copies(spark: SparkSession, base: str) -> DataFrame:
     return near_copies(documents(spark, base)).withColumnRenamed("rowid", "doc_id")
+
+
+@query
+def op5_contained_items(spark: SparkSession, base: str) -> DataFrame:
+    items = spark.read.parquet(f"{base}/benchmark.parquet")
+    return contained_items(documents(spark, base), items).withColumnRenamed("rowid", "doc_id")
+
+
+@query
+def op7_vector_packing(spark: SparkSession, base: str) -> DataFrame:
+    packed = pack_messages(documents(spark, base), public_tokenizers.path(VOCABULARY))
+    return packed.withColumnRenamed("rowid", "doc_id")

@@ -37,7 +37,7 @@ class MergeTable:
     specials: tuple[str, ...]
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in a byte-level vocabulary file."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = (b for b in range(256) if b not in set(plain))
@@ -51,7 +51,7 @@ def load_merges(path: str) -> MergeTable:
         spec = json.load(file)
     vocab = spec["model"]["vocab"]
     symbol = np.zeros(256, dtype=np.int64)
-    for letter, byte in _byte_letters().items():
+    for letter, byte in byte_letters().items():
         symbol[byte] = vocab[letter]
     width = max(vocab.values()) + 1
     merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
