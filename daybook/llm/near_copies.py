@@ -16,7 +16,7 @@ from daybook.llm.texts import text_columns, word_bytes
 from daybook.session import durable
 
 #: Fingerprints in a leaf node that one task step searches; larger nodes are cut deeper.
-LEAF = 512
+LEAF = 8_192
 #: Queries that one task step searches in a leaf; more are dealt to further copies of the leaf.
 QUERIES = 1 << 16
 #: Bits by which an oversized node is cut deeper.
@@ -147,7 +147,9 @@ def linked_fingerprints(fps: DataFrame, radius: int = 2, leaf: int = LEAF) -> Da
     front = fps.select(F.col("fp").alias("q"), F.col("fp").alias("at"), F.lit(0).alias("met"))
     low, open_members, found = 0, fps, []
     while True:
-        front = _spread(front, low, depth, radius).withColumn("node", _prefix("at", depth))
+        # A pair is looked for from one side: the query goes to its own node and to later ones.
+        front = (_spread(front, low, depth, radius).withColumn("node", _prefix("at", depth))
+                 .filter(F.col("node") >= _prefix("q", depth)))
         members = open_members.withColumn("node", _prefix("fp", depth))
         nodes = members.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         done = depth >= 64
@@ -182,7 +184,9 @@ def _search(front: DataFrame, members: DataFrame, nodes: DataFrame, radius: int)
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         i, j = search_leaf(m, q, radius)
         a, b = q[i].view(np.int64), m[j].view(np.int64)
-        return pa.table({"a": a[a < b], "b": b[a < b]})
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        pairs = np.unique(np.stack([low, high], axis=1)[low < high], axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     key = ["node", "copy"]
     return asks.groupBy(*key).cogroup(held.groupBy(*key)).applyInArrow(search, "a long, b long")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from daybook.llm.contamination import contained_items
+from daybook.llm.language import fit_message_language, identify_languages
 from daybook.llm.near_copies import near_copies
 from daybook.llm.packing import pack_messages
 from daybook.llm.repetition import repetition_verdicts
+from daybook.llm.rule_ensemble import fit_rule_ensemble, rate_messages
+from daybook.llm.texts import crc_fold
 from daybook.llm.token_counts import count_message_tokens
 from daybook.session import configure
 
@@ -27,7 +30,7 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def documents(spark: SparkSession, base: str, *more: str) -> DataFrame:
+def documents(spark: SparkSession, base: str, *more: str | Column) -> DataFrame:
     """The documents as message rows: ``rowid, text`` and the named columns."""
     rows = spark.read.parquet(f"{base}/documents.parquet")
     return rows.select(F.col("doc_id").alias("rowid"), "text", *more)
@@ -59,3 +62,22 @@ def op5_contained_items(spark: SparkSession, base: str) -> DataFrame:
 def op7_vector_packing(spark: SparkSession, base: str) -> DataFrame:
     packed = pack_messages(documents(spark, base), public_tokenizers.path(VOCABULARY))
     return packed.withColumnRenamed("rowid", "doc_id")
+
+
+@query
+def op1_rule_ensemble(spark: SparkSession, base: str) -> DataFrame:
+    messages = documents(spark, base)
+    verdicts = (spark.read.parquet(f"{base}/labels.parquet").filter(crc_fold("doc_id", 3) != 1)
+                .select(F.col("doc_id").alias("rowid"), F.col("quality").alias("keep")))
+    rated = rate_messages(messages, fit_rule_ensemble(messages, verdicts))
+    return rated.select(F.col("rowid").alias("doc_id"), (crc_fold("rowid", 3) == 1)
+                        .alias("held_out"), "score", "predicted")
+
+
+@query
+def op2_language(spark: SparkSession, base: str) -> DataFrame:
+    messages = documents(spark, base, F.col("lang").alias("language"))
+    model = fit_message_language(messages.filter(crc_fold("rowid", 3) != 1))
+    told = identify_languages(messages, model)
+    return told.select(F.col("rowid").alias("doc_id"), (crc_fold("rowid", 3) == 1)
+                       .alias("held_out"), "lang_pred", "score", "rejected")
