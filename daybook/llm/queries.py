@@ -14,6 +14,7 @@ from daybook.llm.near_copies import near_copies
 from daybook.llm.packing import pack_messages
 from daybook.llm.repetition import repetition_verdicts
 from daybook.llm.rule_ensemble import fit_rule_ensemble, rate_messages
+from daybook.llm.secret_scan import fit_secret_network, labelled_findings, scan_secrets
 from daybook.llm.texts import crc_fold
 from daybook.llm.token_counts import count_message_tokens
 from daybook.session import configure
@@ -81,3 +82,10 @@ def op2_language(spark: SparkSession, base: str) -> DataFrame:
     told = identify_languages(messages, model)
     return told.select(F.col("rowid").alias("doc_id"), (crc_fold("rowid", 3) == 1)
                        .alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_secret_scan(spark: SparkSession, base: str) -> DataFrame:
+    messages = documents(spark, base)
+    net = fit_secret_network(labelled_findings(messages))
+    return scan_secrets(messages, net).withColumnRenamed("rowid", "doc_id")
