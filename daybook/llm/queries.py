@@ -12,6 +12,7 @@ from daybook.llm.contamination import contained_items
 from daybook.llm.language import fit_message_language, identify_languages
 from daybook.llm.near_copies import near_copies
 from daybook.llm.packing import pack_messages
+from daybook.llm.repeated_passages import remove_repeated_passages
 from daybook.llm.repetition import repetition_verdicts
 from daybook.llm.rule_ensemble import fit_rule_ensemble, rate_messages
 from daybook.llm.secret_scan import fit_secret_network, labelled_findings, scan_secrets
@@ -98,3 +99,8 @@ def op4_suffix_tree(spark: SparkSession, base: str) -> DataFrame:
     scored = score_messages(messages, fit_suffix_tree(messages.filter("learned")))
     return scored.select(F.col("rowid").alias("doc_id"), (~F.col("learned")).alias("held_out"),
                          "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op8_repeated_passages(spark: SparkSession, base: str) -> DataFrame:
+    return remove_repeated_passages(documents(spark, base)).withColumnRenamed("rowid", "doc_id")
