@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.llm.texts import numbered, ragged, steps
+from daybook.llm.texts import numbered, ragged, steps, text_columns
 from daybook.operators.ranking import number_rows
 
 #: Items searched for in one pass over the messages; further items are further passes.
@@ -129,6 +129,24 @@ def _passes(items: DataFrame, item: str) -> Iterator[list[tuple[int, int, str |
         yield [(i, *r) for i, r in enumerate(block)]
 
 
+def free_of_items(messages: DataFrame, items: DataFrame, item: str = "item_id",
+                  shingle: int = 5, least: float = 0.8, text: str = "text") -> DataFrame:
+    """``messages`` with all its columns, without the rows whose body contains an item.
+
+    Containment as in ``contained_items``; decided row by row where the text is read, so nothing
+    is joined or shuffled and rows without an id are judged like any other.
+    """
+    for block in _passes(items, item):
+        index = messages.sparkSession.sparkContext.broadcast(
+            ItemIndex.of([(n, body) for n, _, body in block], shingle, least))
+
+        def work(texts: list[str], index=index) -> dict:
+            hit = {at for at, *_ in index.value.search(texts)}
+            return {"found": [i in hit for i in range(len(texts))]}
+        messages = messages.filter(~text_columns("found boolean", work)(text)["found"])
+    return messages
+
+
 def contained_items(messages: DataFrame, items: DataFrame, item: str = "item_id",
                     shingle: int = 5, least: float = 0.8) -> DataFrame:
     """Which items' word shingles are contained in which message bodies.

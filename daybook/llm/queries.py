@@ -104,3 +104,10 @@ def op4_suffix_tree(spark: SparkSession, base: str) -> DataFrame:
 @query
 def op8_repeated_passages(spark: SparkSession, base: str) -> DataFrame:
     return remove_repeated_passages(documents(spark, base)).withColumnRenamed("rowid", "doc_id")
+
+
+@query
+def pipeline(spark: SparkSession, base: str) -> DataFrame:
+    import corpus_pipeline  # it stands at the top of the repository and imports this package
+
+    return corpus_pipeline.run(spark, base)
