@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from daybook.llm.texts import ragged, text_columns
+from daybook.llm.texts import ragged, steps, text_columns
 
-#: Rows per language that are fitted on at most: the ones whose id hashes lowest.
+#: Rows per language, and in all, that are fitted on at most: those whose id hashes lowest.
 ROWS_PER_LANGUAGE = 600
+ROWS_IN_ALL = 6_000
 BUCKET_BITS = 15
 WIDTH = 16
 SIZES = (2, 3, 4)
@@ -103,6 +104,16 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
     return out
 
 
+def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, share of each) of every text."""
+    bucket, owner, _ = subwords(texts)
+    code, times = np.unique((owner << BUCKET_BITS) | bucket, return_counts=True)
+    starts = np.searchsorted(code >> BUCKET_BITS, np.arange(len(texts) + 1))
+    code = (code & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
+    return [(code[a:b], (times[a:b] / max(1, times[a:b].sum())).astype(np.float32))
+            for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def fit_language(texts: list[str], languages: list[str], epochs: int = 3, rate: float = 0.5,
                  seed: int = 5, spared: float = 0.005) -> LanguageModel | None:
     """Train by stochastic gradient descent and calibrate on a fifth of the texts.
@@ -123,21 +134,17 @@ def fit_language(texts: list[str], languages: list[str], epochs: int = 3, rate:
         parts = _snippets(texts[i], rng)
         examples += parts
         target += [label[i]] * len(parts)
-    bucket, owner, _ = subwords(examples)
-    by = np.argsort(owner, kind="stable")
-    bucket, starts = bucket[by], ragged(np.bincount(owner, minlength=len(examples)))[0]
+    bags = [bag for a, b in steps(examples, 500_000) for bag in _bags(examples[a:b])]
     vectors = rng.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH)).astype(np.float32)
     weights = rng.normal(0, 0.1, (WIDTH, len(names))).astype(np.float32)
     offset = np.zeros(len(names), dtype=np.float32)
     total = epochs * len(examples)
     for step, i in enumerate(np.concatenate([rng.permutation(len(examples))
                                              for _ in range(epochs)])):
-        mine = bucket[starts[i]:starts[i + 1]]
-        if not len(mine):
+        distinct, share = bags[i]
+        if not len(distinct):
             continue
         now = rate * (1 - step / total)
-        distinct, times = np.unique(mine, return_counts=True)
-        share = (times / len(mine)).astype(np.float32)
         mean = share @ vectors[distinct]
         error = _softmax(mean @ weights + offset)
         error[target[i]] -= 1.0
@@ -149,7 +156,9 @@ def fit_language(texts: list[str], languages: list[str], epochs: int = 3, rate:
     checked = np.flatnonzero(held)
     if not len(checked):
         return model
-    z, has = model.logits([texts[i] for i in checked])
+    parts = [model.logits([texts[i] for i in checked[a:b]])
+             for a, b in steps([texts[i] for i in checked], 500_000)]
+    z, has = (np.concatenate(p) for p in zip(*parts, strict=True))
     z, truth = z[has], label[checked][has]
     if not len(z):
         return model
@@ -166,16 +175,19 @@ def fit_message_language(messages: DataFrame, language: str = "language",
                          most: int = ROWS_PER_LANGUAGE) -> LanguageModel | None:
     """Learn from the non-NULL ``language`` of ``messages(rowid, text, language)``.
 
-    At most ``most`` whole bodies per language are used, those whose rowid hashes lowest; the
-    ranking keeps that many per task before anything is shuffled.  None if nothing is labelled.
+    At most ``most`` whole bodies per language are used, those whose rowid hashes lowest, and at
+    most ``ROWS_IN_ALL``, dealt evenly over the languages; that bound lets the chosen ids be
+    broadcast, so no text is shuffled.  The ranking keeps ``most`` per task before its shuffle.
+    None if nothing is labelled.
     """
     known = messages.select("rowid", "text", F.col(language).alias("language")).filter(
         "language IS NOT NULL AND text IS NOT NULL")
     ids = known.select("rowid", "language").withColumn("h", F.xxhash64("rowid"))
     top = (ids.withColumn("n", F.row_number().over(
         W.partitionBy("language").orderBy("h", "rowid"))).filter(F.col("n") <= most)
-        .select("rowid").distinct())
-    rows = known.join(top, "rowid", "left_semi").orderBy(F.xxhash64("rowid"), "text").collect()
+        .orderBy("n", "language", "rowid").limit(ROWS_IN_ALL).select("rowid").distinct())
+    rows = known.join(F.broadcast(top), "rowid", "left_semi").orderBy(
+        F.xxhash64("rowid"), "rowid", F.xxhash64("text")).limit(ROWS_IN_ALL).collect()
     return fit_language([r["text"] for r in rows], [r["language"] for r in rows])
 
 
