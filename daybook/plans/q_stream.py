@@ -6,19 +6,18 @@ Results go to Parquet under the session's checkpoint folder and are read back fr
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from daybook.operators.shape import side_by_side
 from daybook.plans.adapters import ADAPTERS, SETTINGS, adapt
 from daybook.plans.fold_blocks import variant
 from daybook.plans.q_ledger import items_of, owners_of, state_tables
-from daybook.plans.q_messages import day_text, micros, stores
+from daybook.plans.q_messages import day_text, micros
 from daybook.plans.registry import block, query
 from daybook.session import checkpoint_dir
-from daybook.sources import messages as ms
 from daybook.streaming import holds as hd
 from daybook.streaming import intake as it
 from daybook.streaming import windows as wn
@@ -90,21 +89,53 @@ def _(spark, base):
         "day", F.date_format("day", "yyyy-MM-dd"))
 
 
-# --- arrivals: four fifths first, then a fifth that lands on days already folded ---------------------
+# The same fold in a zone five hours behind (all given days lie in its winter).
+block("ny_messages", "SELECT * REPLACE (sent_at - INTERVAL 5 HOUR AS sent_at) FROM messages")
+variant("ny_", "ny_messages")
+
+
+@query("st3_stream_local_days", """
+  SELECT key, ident, CAST(day AS VARCHAR) AS day, turns, their_turns, my_turns, messages, chars,
+    direction
+  FROM ny_person_day WHERE CAST(day + 1 AS TIMESTAMP)
+    <= (SELECT max(sent_at) - INTERVAL 3 DAY FROM ny_messages)""")
+def _(spark, base):
+    settings = replace(SETTINGS, zone="America/New_York")
+    days = wn.stream_chat_days(message_stream(spark, base), settings)
+    return drain(wn.stream_person_days(days, settings), spark).select(
+        "key", "ident", day_text(), "turns", "their_turns", "my_turns", "messages", "chars",
+        "direction")
+
+
+# --- arrivals ---------------------------------------------------------------------------------------
 
 block("early_messages", "SELECT * FROM messages WHERE rowid % 5 <> 0")
 variant("early_", "early_messages")
 
 
-def replay(spark: SparkSession, base: str) -> it.Home:
-    """Two deliveries through the intake: files dropped one after the other."""
+def watched_from_empty(spark: SparkSession) -> it.Home:
+    """An intake whose run before found an empty store, so that all of history is read."""
     home = it.Home(run_folder(spark))
+    nothing = spark.createDataFrame([], "rowid long, sent_at timestamp")
+    it.save_progress(spark, home, it.progress_row(nothing, SETTINGS, TODAY).fillna(0))
+    return home
+
+
+def deliver(spark: SparkSession, home: it.Home, rows: DataFrame, today: date, source: str = "a",
+            bounds: DataFrame | None = None) -> dict:
+    """Drop ``rows`` where the source is watched and run the intake once."""
+    path = home.path(f"arrivals/{source}")
+    rows.write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).parquet(path)
+    return it.run_intake(stream, home, SETTINGS, today, home.path("checkpoint"), bounds)
+
+
+def replay(spark: SparkSession, base: str) -> it.Home:
+    """Two deliveries through the intake: four fifths, then a fifth on days already folded."""
+    home = watched_from_empty(spark)
     messages = adapt(spark, base, "messages")
     for late in (False, True):
-        part = messages.filter((F.col("rowid") % 5 == 0) == late)
-        part.write.mode("append").parquet(home.path("arrivals"))
-        stream = spark.readStream.schema(messages.schema).parquet(home.path("arrivals"))
-        it.run_intake(stream, home, SETTINGS, TODAY, home.path("checkpoint"))
+        deliver(spark, home, messages.filter((F.col("rowid") % 5 == 0) == late), TODAY)
     return home
 
 
@@ -116,6 +147,31 @@ def _(spark, base):
         "key", "ident", day_text(), "turns", "messages", "direction")
 
 
+@query("st1_moving_today", """
+  SELECT key, ident, CAST(day AS VARCHAR) AS day, turns, messages, direction FROM person_day
+  WHERE day < DATE '2024-01-29'""")
+def _(spark, base):
+    """Four runs with ``today`` moving: the first holds rows of an open day only, the third
+    brings none of the day that has closed since."""
+    home, messages = watched_from_empty(spark), adapt(spark, base, "messages")
+    day = F.to_date("sent_at")
+    for rows, today in ((day == "2024-01-20", date(2024, 1, 20)),
+                        (day < "2024-01-20", date(2024, 1, 20)),
+                        (day == "2024-01-21", date(2024, 1, 21)),
+                        (day > "2024-01-21", TODAY)):
+        deliver(spark, home, messages.filter(rows), today)
+    return it.current_person_days(spark, home).select(
+        "key", "ident", day_text(), "turns", "messages", "direction")
+
+
+@query("st1_first_run", """
+  SELECT key, turns, messages FROM person_day WHERE day = DATE '2024-01-19'""")
+def _(spark, base):
+    home = it.Home(run_folder(spark))
+    deliver(spark, home, adapt(spark, base, "messages"), date(2024, 1, 20))
+    return it.current_person_days(spark, home).select("key", "turns", "messages")
+
+
 @query("st5_late_data_frozen_queue", """
   SELECT p.key, coalesce(e.turns, p.turns) AS turns, coalesce(e.messages, p.messages) AS messages,
     coalesce(e.direction, p.direction) AS direction,
@@ -131,14 +187,40 @@ def _(spark, base):
         "key", "turns", "messages", "direction", "links")
 
 
+# The source rebuilt: every second row under a new, lower number.
+block("rebuilt_messages", """
+  SELECT * REPLACE (rowid // 2 AS rowid) FROM messages
+  WHERE rowid % 2 = 0 AND sent_at < TIMESTAMP '2024-01-25 00:00:00'""")
+variant("rebuilt_", "rebuilt_messages")
+
+
+def rebuilt(spark: SparkSession, base: str) -> DataFrame:
+    return (adapt(spark, base, "messages").filter("rowid % 2 = 0 AND sent_at < '2024-01-25'")
+            .withColumn("rowid", F.call_function("div", F.col("rowid"), F.lit(2))))
+
+
 @query("st6_source_reset", """
-  SELECT max(rowid) AS high_rowid, CAST(1000000000 AS BIGINT) AS before, true AS store_reset,
-    true AS read_yesterday_only FROM placed""")
+  SELECT (SELECT max(rowid) FROM rebuilt_messages) AS high_rowid, max(rowid) AS before,
+    (SELECT max(rowid) FROM rebuilt_messages) < max(rowid) AS store_reset,
+    (SELECT max(rowid) FROM rebuilt_messages) < max(rowid) AS read_yesterday_only
+  FROM messages""")
 def _(spark, base):
-    from datetime import datetime
-    message, membership, _, _ = stores(spark, base)
-    bounds = ms.rowid_bounds(message, membership, datetime(2024, 1, 20))
-    return it.source_reset(bounds, 1_000_000_000)
+    home = watched_from_empty(spark)
+    deliver(spark, home, adapt(spark, base, "messages"), date(2024, 1, 20))
+    bounds = rebuilt(spark, base).agg(F.max("rowid").alias("high_rowid"))
+    return it.source_reset(bounds, it.newest_mark(spark, home)["high"])
+
+
+@query("st6_rebuilt_store", """
+  SELECT key, turns, messages FROM rebuilt_person_day WHERE day = DATE '2024-01-24'
+  UNION ALL SELECT key, turns, messages FROM person_day WHERE day < DATE '2024-01-20'""")
+def _(spark, base):
+    """What was read before stays; of the rebuilt store yesterday is read, and only its rows."""
+    home = watched_from_empty(spark)
+    deliver(spark, home, adapt(spark, base, "messages"), date(2024, 1, 20))
+    rows = rebuilt(spark, base)
+    deliver(spark, home, rows, date(2024, 1, 25), "b", rows.agg(F.max("rowid").alias("high_rowid")))
+    return it.current_person_days(spark, home).select("key", "turns", "messages")
 
 
 @query("k6_save_progress", """
@@ -146,9 +228,13 @@ def _(spark, base):
     max(rowid) AS high, count(*) FILTER (WHERE day >= DATE '2024-01-29') AS rows_open_day,
     epoch_us(max(sent_at) FILTER (WHERE day < DATE '2024-01-29')) AS newest_read_at FROM prepared""")
 def _(spark, base):
-    home = it.Home(run_folder(spark))
-    it.save_progress(spark, home, it.progress_row(adapt(spark, base, "messages"), SETTINGS, TODAY))
-    return spark.read.parquet(home.path("progress")).select(
+    """Saved twice; the newest version is read."""
+    home, messages = it.Home(run_folder(spark)), adapt(spark, base, "messages")
+    it.save_progress(spark, home, it.progress_row(messages.filter("rowid % 2 = 0"), SETTINGS, TODAY))
+    it.save_progress(spark, home, it.progress_row(messages, SETTINGS, TODAY))
+    mark = it.newest_mark(spark, home)
+    return spark.read.parquet(home.path("progress")).filter(
+        F.col("batch") == mark["batch"]).select(
         "watermark", "high", "rows_open_day", micros("newest_read_at"))
 
 
@@ -161,7 +247,7 @@ def _(spark, base):
 def _(spark, base):
     home = it.Home(run_folder(spark))
     t = state_tables(spark, base)
-    items = items_of(t["queue"]).drop("seq")
+    items = items_of(t["queue"])
     cards = adapt(spark, base, "cards")
     for _again in range(2):  # the same items delivered twice land once
         items.write.mode("append").parquet(home.path("items"))
@@ -175,7 +261,6 @@ def _(spark, base):
   SELECT key, CAST(day AS VARCHAR) AS day, turns, direction FROM person_day
   WHERE day BETWEEN DATE '2023-12-30' AND DATE '2024-01-28'""")
 def _(spark, base):
-    from dataclasses import replace
     home, settings = it.Home(run_folder(spark)), replace(SETTINGS, tranche_days=10)
     messages = adapt(spark, base, "messages")
     window = (date(2023, 12, 30), date(2024, 1, 28))
@@ -206,14 +291,19 @@ block("released_t", """
 
 
 def _outcomes(spark, base):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass",
-                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
     folder = f"{run_folder(spark)}/events"
     events = adapt(spark, base, "hold_events").withColumnRenamed("at_ts", "at").withColumnRenamed(
         "until_ts", "until")
     events.write.parquet(folder)
     stream = spark.readStream.schema(events.schema).parquet(folder)
-    return drain(hd.hold_and_release(stream, SETTINGS.stale_days), spark)
+    spark.conf.set(provider,
+                   "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return drain(hd.hold_and_release(stream, SETTINGS.stale_days), spark)
+    finally:
+        spark.conf.set(provider, before)
 
 
 @query("st7_hold_release", """
@@ -243,19 +333,6 @@ def _(spark, base):
 @query("st12_stream_counters", """
   SELECT count(*) AS rows, count(DISTINCT day) AS days, count(text) AS readable FROM prepared""")
 def _(spark, base):
-    home = run_folder(spark)
-    stream = message_stream(spark, base).observe(
-        "tally", F.count(F.lit(1)).alias("rows"), F.count("text").alias("readable"),
-        F.min("sent_at").alias("oldest"), F.max("sent_at").alias("newest"))
-    q = (stream.select("rowid", F.to_date("sent_at").alias("day"), "text").writeStream
-         .format("parquet").option("path", f"{home}/out")
-         .option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination()
-    tallies = [p["observedMetrics"]["tally"] for p in q.recentProgress
-               if p["observedMetrics"].get("tally")]
-    counted = spark.createDataFrame([(t["rows"], t["readable"]) for t in tallies],
-                                    "rows bigint, readable bigint")
-    days = spark.read.parquet(f"{home}/out").select("day").distinct().agg(
-        F.count(F.lit(1)).alias("days"))
-    return side_by_side(counted.agg(F.sum("rows").alias("rows"),
-                                    F.sum("readable").alias("readable")), days)
+    home = it.Home(run_folder(spark))
+    it.run_counters(message_stream(spark, base), home, SETTINGS, home.path("checkpoint"))
+    return it.counters(spark, home)

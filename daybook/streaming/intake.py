@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daybook.config import Settings
-from daybook.functions.times import local_day
+from daybook.functions.text import unit_key
+from daybook.functions.times import day_start, local_day
 from daybook.operators import fold as fo
-from daybook.operators.backfill import resume_from, tranche_no
+from daybook.operators.backfill import resume_from
 from daybook.operators.landing import landing_outcomes
 
 
@@ -33,13 +34,14 @@ class Home:
         return f"{self.base}/{table}"
 
 
-def read_before(spark: SparkSession, path: str, like: DataFrame, batch_id: int) -> DataFrame:
-    """Rows that earlier batches wrote to a growing table; none before the first."""
+def read_upto(spark: SparkSession, path: str, schema: T.StructType, batch_id: int,
+              since: int = 0) -> DataFrame:
+    """Rows of a growing table that batches ``since`` .. ``batch_id`` wrote, ``batch`` included."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     if not _exists(spark, path):
-        return spark.createDataFrame([], like.schema)
-    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.LongType())])
-    return (spark.read.schema(schema).parquet(path)
-            .filter(F.col("batch") < batch_id).drop("batch"))
+        return spark.createDataFrame([], full)
+    return (spark.read.schema(full).parquet(path)
+            .filter(F.col("batch").between(since, batch_id)))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -47,49 +49,105 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
     """Write this batch's partition of a growing table; a second run replaces it."""
     (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path))
+
+
+def _table(columns: str) -> T.StructType:
+    """A schema from ``name type`` pairs; unlike DDL it needs no session."""
+    types = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(),
+             "date": T.DateType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType()}
+    pairs = (column.split() for column in columns.split(","))
+    return T.StructType([T.StructField(name, types[kind]) for name, kind in pairs])
+
+
+_STORED = _table("day date, rows long, low_rowid long, high_rowid long, "
+                               "newest timestamp")
+_READ = _table("day date, folded boolean")
+_QUEUE_KEY = _table("key string, day date")
+_LINK = _table("key string, chat_rowid long, day date")
+
+#: Batches of one life of the source are numbered from here on; a rebuilt source starts another.
+GENERATION = 1 << 32
 
 
 def intake_batch(batch: DataFrame, batch_id: int, home: Home, settings: Settings,
-                 today: date) -> None:
-    """One micro-batch: store, touched closed days, re-fold, frozen queue, grown links."""
+                 today: date, generation: int = 0, first_day: date | None = None) -> None:
+    """One micro-batch: store, closed days not read yet, re-fold, frozen queue, grown links.
+
+    Rows of the open day are stored and wait: a day is read by the first batch that finds it
+    closed, whether or not that batch brings rows of it.  What decides is a small table of
+    days per batch: a day is due when it is closed and no batch has read it since it last got
+    rows.  Days before ``first_day`` are set aside unread, as a first run does.
+    """
     spark = batch.sparkSession
-    stamped_in = batch.withColumn("day", local_day(F.col("sent_at"), settings.zone))
-    (stamped_in.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day")
-     .parquet(home.path("store")))
-    # Both sides are partitioned by day, so the touched days prune the store at run time.
-    store = (spark.read.parquet(home.path("store"))
-             .filter((F.col("batch") <= batch_id) & (F.col("day") < F.lit(today))))
-    touched = store.filter(F.col("batch") == batch_id).select("day").distinct()
-    again = store.join(touched, "day", "left_semi").drop("day", "batch")
+    number, since = generation * GENERATION + batch_id, generation * GENERATION
+    rows = batch.withColumn("day", local_day(F.col("sent_at"), settings.zone))
+    write_batch(rows, home.path("store"), number, "day")
+    stored = read_upto(spark, home.path("store"), _without_day(batch, spark), number, number)
+    write_batch(stored.groupBy("day").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("rowid").alias("low_rowid"),
+        F.max("rowid").alias("high_rowid"), F.max("sent_at").alias("newest")),
+        home.path("days_stored"), number)
+    got = (read_upto(spark, home.path("days_stored"), _STORED, number, since)
+           .filter(F.col("day") < F.lit(today)).groupBy("day").agg(F.max("batch").alias("got")))
+    read = (read_upto(spark, home.path("days_read"), _READ, number - 1)
+            .groupBy("day").agg(F.max("batch").alias("read")))
+    due = got.join(read, "day", "left").filter("read IS NULL OR read < got").select(
+        "day", (F.col("day") >= F.lit(first_day) if first_day else F.lit(True)).alias("folded"))
+    write_batch(due, home.path("days_read"), number)
+    touched = (read_upto(spark, home.path("days_read"), _READ, number, number)
+               .filter("folded").select("day"))
+    # Everything below is partitioned by day, so the touched days prune what is read.
+    again = (read_upto(spark, home.path("store"), _without_day(batch, spark), number, since)
+             .join(touched, "day", "left_semi").drop("day", "batch"))
     f = fo.fold(again, settings)
-    write_batch(f["person_days"].drop("primary"), home.path("person_days"), batch_id)
-    write_batch(touched, home.path("days_read"), batch_id)
-    fresh = (spark.read.parquet(home.path("person_days")).filter(F.col("batch") == batch_id)
-             .drop("batch"))
-    queued = read_before(spark, home.path("queue"), fresh, batch_id)
-    write_batch(fresh.join(queued.select("key"), "key", "left_anti"), home.path("queue"), batch_id)
-    links = f["spoken"].select(
-        F.concat("ident", F.lit("|day|"), F.date_format("day", "yyyy-MM-dd")).alias("key"),
-        "chat_rowid").join(fresh.select("key"), "key", "left_semi")
-    have = read_before(spark, home.path("links"), links, batch_id)
-    write_batch(links.join(have, ["key", "chat_rowid"], "left_anti"), home.path("links"), batch_id)
+    units = f["person_days"].drop("primary")
+    write_batch(units, home.path("person_days"), number, "day")
+    fresh = read_upto(spark, home.path("person_days"), units.schema, number, number).drop("batch")
+    queued = (read_upto(spark, home.path("queue"), _QUEUE_KEY, number - 1)
+              .join(touched, "day", "left_semi"))
+    write_batch(fresh.join(queued.select("key"), "key", "left_anti"), home.path("queue"), number,
+                "day")
+    links = f["spoken"].select(unit_key(F.col("ident"), F.col("day")).alias("key"), "chat_rowid",
+                               "day").join(fresh.select("key"), "key", "left_semi")
+    have = (read_upto(spark, home.path("links"), _LINK, number - 1)
+            .join(touched, "day", "left_semi"))
+    write_batch(links.join(have, ["key", "chat_rowid"], "left_anti"), home.path("links"), number,
+                "day")
+
+
+def _without_day(batch: DataFrame, spark: SparkSession) -> T.StructType:
+    """The store's columns: the batch's own and the day it is partitioned by."""
+    return T.StructType([*batch.schema.fields, T.StructField("day", T.DateType())])
 
 
 def current_person_days(spark: SparkSession, home: Home) -> DataFrame:
-    """Each day as the last batch that read it left it."""
-    last = (spark.read.parquet(home.path("days_read")).groupBy("day")
+    """Each day as the last batch that folded it left it."""
+    last = (spark.read.parquet(home.path("days_read")).filter("folded").groupBy("day")
             .agg(F.max("batch").alias("batch")))
     return spark.read.parquet(home.path("person_days")).join(last, ["day", "batch"])
 
 
-def save_progress(spark: SparkSession, home: Home, mark: DataFrame) -> None:
-    """The one-row watermark, written last, after every table of the run."""
-    mark.coalesce(1).write.mode("overwrite").parquet(home.path("progress"))
+_MARK = _table("watermark long, high long, rows_open_day long, "
+                             "newest_read_at timestamp, generation int")
+
+
+def save_progress(spark: SparkSession, home: Home, mark: DataFrame, generation: int = 0) -> None:
+    """Append the one-row mark as a new version, last of all; older versions stay readable."""
+    before = newest_mark(spark, home)
+    version = 0 if before is None else before["batch"] + 1
+    write_batch(mark.withColumn("generation", F.lit(generation)).coalesce(1),
+                home.path("progress"), version)
+
+
+def newest_mark(spark: SparkSession, home: Home) -> dict | None:
+    """The last complete version of the mark, or nothing before the first run."""
+    rows = read_upto(spark, home.path("progress"), _MARK, GENERATION)
+    top = rows.orderBy(F.desc("batch")).first()
+    return None if top is None else top.asDict()
 
 
 def progress_row(messages: DataFrame, settings: Settings, today: date) -> DataFrame:
@@ -102,6 +160,20 @@ def progress_row(messages: DataFrame, settings: Settings, today: date) -> DataFr
         F.max(F.when(~opened, F.col("sent_at"))).alias("newest_read_at"))
 
 
+def stored_progress(spark: SparkSession, home: Home, today: date, generation: int) -> DataFrame:
+    """The same mark from the table of stored days, which stays small."""
+    days = read_upto(spark, home.path("days_stored"), _STORED,
+                     (generation + 1) * GENERATION - 1, generation * GENERATION)
+    opened = F.col("day") >= F.lit(today)
+    return days.agg(
+        F.coalesce(F.min(F.when(opened, F.col("low_rowid"))) - 1, F.max("high_rowid"),
+                   F.lit(0).cast("bigint")).alias("watermark"),
+        F.coalesce(F.max("high_rowid"), F.lit(0).cast("bigint")).alias("high"),
+        F.coalesce(F.sum(F.when(opened, F.col("rows"))), F.lit(0).cast("bigint"))
+        .alias("rows_open_day"),
+        F.max(F.when(~opened, F.col("newest"))).alias("newest_read_at"))
+
+
 def source_reset(bounds: DataFrame, before: int | None) -> DataFrame:
     """Whether the store holds less than a run already read, or nothing was ever read."""
     high, mark = F.col("high_rowid"), F.lit(before).cast("bigint")
@@ -111,28 +183,65 @@ def source_reset(bounds: DataFrame, before: int | None) -> DataFrame:
 
 
 def run_intake(stream: DataFrame, home: Home, settings: Settings, today: date,
-               checkpoint: str) -> None:
-    """Drain what has arrived through ``foreachBatch`` and stop."""
+               checkpoint: str, bounds: DataFrame | None = None) -> dict:
+    """Drain what has arrived through ``foreachBatch``, save the mark and stop.
+
+    A first run, and a run whose source was rebuilt (``bounds`` end below the mark), reads
+    yesterday only; older days are left to the backfill.  A rebuilt source is another
+    generation: its stream begins anew and its rows are not mixed with those stored before.
+    """
+    spark = stream.sparkSession
+    mark = newest_mark(spark, home)
+    before, generation = (None, 0) if mark is None else (mark["high"], mark["generation"])
+    reset = bounds is not None and bool(source_reset(bounds, before).first()["store_reset"])
+    generation += int(reset)
+    first_day = today - timedelta(days=1) if mark is None or reset else None
     query = (stream.writeStream.foreachBatch(
-        lambda df, n: intake_batch(df, n, home, settings, today))
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+        lambda df, n: intake_batch(df, n, home, settings, today, generation, first_day))
+        .option("checkpointLocation", f"{checkpoint}/{generation}")
+        .trigger(availableNow=True).start())
     query.awaitTermination()
+    if _days_due(spark, home, today, generation):
+        # Nothing arrived, but days have closed since: an empty batch reads them.
+        last = spark.read.parquet(home.path("days_stored")).agg(F.max("batch")).first()[0]
+        empty = spark.createDataFrame([], stream.schema)
+        intake_batch(empty, last + 1 - generation * GENERATION, home, settings, today, generation,
+                     first_day)
+    save_progress(spark, home, stored_progress(spark, home, today, generation), generation)
+    return {"before": before, "store_reset": reset, "first_run": mark is None}
+
+
+def _days_due(spark: SparkSession, home: Home, today: date, generation: int) -> bool:
+    """Whether a closed day has rows that no batch has read."""
+    got = read_upto(spark, home.path("days_stored"), _STORED, (generation + 1) * GENERATION - 1,
+                    generation * GENERATION).filter(F.col("day") < F.lit(today))
+    read = read_upto(spark, home.path("days_read"), _READ, (generation + 1) * GENERATION - 1)
+    return got.groupBy("day").agg(F.max("batch").alias("got")).join(
+        read.groupBy("day").agg(F.max("batch").alias("read")), "day", "left").filter(
+        "read IS NULL OR read < got").limit(1).count() > 0
 
 
 def land_batch(items: DataFrame, batch_id: int, home: Home, stamped: DataFrame, owners: DataFrame,
                cards: DataFrame) -> None:
     """Append each landable line once; what earlier batches wrote counts as already there.
 
-    A key that arrives twice in one batch lands once, and a batch that runs again replaces its
-    own partition, so a re-run adds nothing.
+    Of a key that arrives twice in one batch the least row by ``seq`` (or, without one, by all
+    its values) lands, so a batch that runs again lands the same line; it replaces its own
+    partition.  Of what was written before, only the days at hand are read.
     """
     spark = items.sparkSession
-    shape = spark.createDataFrame([], "key string, person_id string, day date, pointer string")
-    written = read_before(spark, home.path("interactions"), shape, batch_id)
+    order = [*(["seq"] if "seq" in items.columns else []),
+             *(c for c in items.columns if c not in ("seq", "key"))]
+    once = (items.filter("key IS NOT NULL").groupBy("key")
+            .agg(F.min(F.struct(*order)).alias("first")).select("key", "first.*").drop("seq")
+            .unionByName(items.filter("key IS NULL").drop("seq")))
+    shape = _table("key string, person_id string, day date, pointer string")
+    written = read_upto(spark, home.path("interactions"), shape, batch_id - 1).drop("batch").join(
+        items.select("day").distinct(), "day", "left_semi").select(*shape.names)
     done = stamped.select("key").unionByName(written.select("key")).distinct()
-    outcomes = landing_outcomes(items.dropDuplicates(["key"]), done, owners, cards, written)
+    outcomes = landing_outcomes(once, done, owners, cards, written)
     write_batch(outcomes.filter("outcome = 'stamped'").select("key", "person_id", "day", "pointer"),
-                home.path("interactions"), batch_id)
+                home.path("interactions"), batch_id, "day")
 
 
 def run_landing(stream: DataFrame, home: Home, stamped: DataFrame, owners: DataFrame,
@@ -145,10 +254,15 @@ def run_landing(stream: DataFrame, home: Home, stamped: DataFrame, owners: DataF
 
 def backfill_tranche(messages: DataFrame, home: Home, settings: Settings, first: date, last: date,
                      tranche: int) -> None:
-    """Fold one block of days of a window into the block's own partition."""
-    day = local_day(F.col("sent_at"), settings.zone)
-    inside = (day.between(F.lit(first), F.lit(last))
-              & (tranche_no(day, F.lit(first), settings.tranche_days) == tranche))
+    """Fold one block of days of a window into the block's own partition.
+
+    The block is a range of instants on the stored column, so a scan reads that range only.
+    """
+    size = settings.tranche_days
+    begin = first + timedelta(days=tranche * size)
+    end = min(begin + timedelta(days=size), last + timedelta(days=1))
+    inside = ((F.col("sent_at") >= day_start(F.lit(begin), settings.zone))
+              & (F.col("sent_at") < day_start(F.lit(end), settings.zone)))
     units = fo.fold(messages.filter(inside), settings)["person_days"].drop("primary")
     write_batch(units, window_path(home, first, last), tranche)
 
@@ -157,10 +271,14 @@ def window_path(home: Home, first: date, last: date) -> str:
     return home.path(f"backfill/days/{first}_{last}")
 
 
+_CURSOR = _table("from string, to string, next string, complete boolean")
+
+
 def backfill_cursor(spark: SparkSession, home: Home) -> dict | None:
-    """The saved one-row cursor, or nothing before the first block."""
-    path = home.path("backfill/cursor")
-    return spark.read.parquet(path).first().asDict() if _exists(spark, path) else None
+    """The newest version of the saved cursor, or nothing before the first block."""
+    top = read_upto(spark, home.path("backfill/cursor"), _CURSOR, GENERATION).orderBy(
+        F.desc("batch")).first()
+    return None if top is None else top.asDict()
 
 
 def run_backfill(messages: DataFrame, home: Home, settings: Settings, first: date, last: date,
@@ -172,7 +290,9 @@ def run_backfill(messages: DataFrame, home: Home, settings: Settings, first: dat
     mark is never touched.
     """
     spark = messages.sparkSession
-    start, set_aside = resume_from(backfill_cursor(spark, home), first, last)
+    saved = backfill_cursor(spark, home)
+    version = 0 if saved is None else saved["batch"] + 1
+    start, set_aside = resume_from(saved, first, last)
     size = settings.tranche_days
     blocks, n = (last - first).days // size + 1, (start - first).days // size
     stop = blocks if max_blocks is None else min(blocks, n + max_blocks)
@@ -181,7 +301,25 @@ def run_backfill(messages: DataFrame, home: Home, settings: Settings, first: dat
         following = first + timedelta(days=(block + 1) * size)
         cursor = spark.createDataFrame(
             [(first.isoformat(), last.isoformat(), following.isoformat(), block + 1 >= blocks)],
-            "from string, to string, next string, complete boolean")
-        cursor.coalesce(1).write.mode("overwrite").parquet(home.path("backfill/cursor"))
+            _CURSOR)
+        write_batch(cursor.coalesce(1), home.path("backfill/cursor"), version + block - n)
     return {"resumed_from": start, "set_aside": set_aside, "blocks_read": stop - n,
             "complete": stop >= blocks}
+
+
+def run_counters(stream: DataFrame, home: Home, settings: Settings, checkpoint: str) -> None:
+    """Drain a message stream and leave one tally row per batch and day."""
+    def tally(df: DataFrame, n: int) -> None:
+        write_batch(df.groupBy(local_day(F.col("sent_at"), settings.zone).alias("day")).agg(
+            F.count(F.lit(1)).alias("rows"), F.count("text").alias("readable")),
+            home.path("tally"), n)
+    query = (stream.writeStream.foreachBatch(tally).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+
+
+def counters(spark: SparkSession, home: Home) -> DataFrame:
+    """Rows, days and readable bodies over all batches, however many there were."""
+    return spark.read.parquet(home.path("tally")).agg(
+        F.sum("rows").alias("rows"), F.countDistinct("day").alias("days"),
+        F.sum("readable").alias("readable"))

@@ -12,26 +12,22 @@ from pyspark.sql import functions as F
 
 from daybook.config import OWNER, UNKNOWN, Settings
 from daybook.functions.text import is_shortcode, unit_key
+from daybook.functions.times import local_time
 from daybook.operators.fold import direction, prepare
 
 SLICE = "10 seconds"
 
-#: Rows of one slice, ordered, folded to runs of one speaker each.
+#: Rows of one slice, ordered, each marked where it opens a turn; one pass over the rows.
 _RUNS = """
-  aggregate(rows, cast(array() AS array<struct<speaker:string,first_at:timestamp,
-      messages:bigint,chars:bigint>>), (runs, r) ->
-    CASE WHEN size(runs) > 0 AND element_at(runs, -1).speaker = r.speaker THEN
-      concat(slice(runs, 1, size(runs) - 1), array(named_struct(
-        'speaker', r.speaker, 'first_at', element_at(runs, -1).first_at,
-        'messages', element_at(runs, -1).messages + 1, 'chars', element_at(runs, -1).chars + r.chars)))
-    ELSE concat(runs, array(named_struct('speaker', r.speaker, 'first_at', r.sent_at,
-        'messages', 1L, 'chars', r.chars))) END)"""
+  transform(rows, (r, i) -> named_struct('speaker', r.speaker, 'first_at', r.sent_at,
+    'opens', CASE WHEN i > 0 AND rows[i - 1].speaker = r.speaker THEN 0L ELSE 1L END,
+    'chars', r.chars))"""
 
 _PER_SPEAKER = """
   transform(array_distinct(transform(runs, r -> r.speaker)), s -> named_struct('speaker', s,
-    'opens', cast(size(filter(runs, r -> r.speaker = s)) AS bigint),
+    'opens', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.opens),
     'first_at', array_min(transform(filter(runs, r -> r.speaker = s), r -> r.first_at)),
-    'messages', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.messages),
+    'messages', cast(size(filter(runs, r -> r.speaker = s)) AS bigint),
     'chars', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.chars)))"""
 
 #: Speakers whose turn ran on over a slice boundary, once per boundary.
@@ -54,9 +50,13 @@ _VOICES = """
 
 def stream_chat_days(messages: DataFrame, settings: Settings, delay: str = "3 days") -> DataFrame:
     """Conversation-days as a stream, with the turn count and each speaker's share."""
-    rows = prepare(messages, settings).withWatermark("sent_at", delay)
+    # Windows are cut on the local instant, so a day is the configured zone's; an hour lived
+    # twice at a clock change stays well inside the watermark's delay.
+    rows = (prepare(messages, settings)
+            .withColumn("local_at", local_time(F.col("sent_at"), settings.zone))
+            .withWatermark("local_at", delay))
     blocked = F.coalesce(F.col("participant").isin(*settings.never_ingest), F.lit(False))
-    slices_ = (rows.groupBy(F.window("sent_at", SLICE), "chat_rowid").agg(
+    slices_ = (rows.groupBy(F.window("local_at", SLICE), "chat_rowid").agg(
         F.sort_array(F.collect_list(F.struct("sent_at", "date_raw", "rowid", "speaker", "chars")))
         .alias("rows"),
         F.min(F.struct("sent_at", "date_raw", "rowid", "is_group")).alias("head"),
