@@ -5,17 +5,16 @@ with equal text ahead, a shift at which both are sampled.  Residues do that for
 places but sample a fixed share of every byte; here the sample is the least k-gram hash of each
 window, which does it for all pairs whose next ``WINDOW`` bytes are equal, with one sampled place
 in about 85 bytes.  The steps are those of the algorithm: the sampled places are named by their
-triples (what the window holds before, at and after them), the names are sorted and adjacent ones
-compared; where a name is not decided by its triple, the search goes on one level down, over
-the remaining suffixes that lead to that sampled place, again by sorting and comparing neighbours.
+triples (what the windows hold before, at and after them), the names are sorted and neighbours
+compared; where a name is not decided by its triple, the work recurses on shorter runs of windows,
+named by what all of them hold, and at last on the remaining suffixes that lead to the sampled
+place, one window each, again by sorting and comparing neighbours.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,15 +27,16 @@ from daybook.llm.texts import ragged
 WINDOW = 200
 #: Bytes of the k-gram that a sampled place is chosen by.
 GRAM = 32
-#: Text bytes of one group, and of one vectorised step.
-GROUP_BYTES = 12_000_000
-STEP_BYTES = 2_000_000
-#: Names that a bucket is asked for, about.
+#: Windows of a shorter run: those whose distance to the sampled place falls into one block.
+BLOCK = 16
+#: Text bytes of one group, and names that one bucket is asked for, about.
+GROUP_BYTES = 4_000_000
 BUCKET_NAMES = 1_000_000
-_PLACE = 28
-#: How a sampled place stands: its text is met once, every window of it is repeated, or it must
-#: be looked at window by window.
+_PLACE = np.uint64(32)
+#: How a name stands: what it stands for is met once, every window of it is repeated, or it must
+#: be looked at one level down.
 ONCE, ALL, SOME = 0, 1, 2
+PLACES, RUNS, WINDOWS = 0, 1, 2
 
 _ASK = "grp long, level int, bucket long, a binary, b binary, n binary"
 _TOLD = "grp long, level int, bucket long, told binary"
@@ -48,82 +48,85 @@ def _mix(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(29))
 
 
-def _blocks(data: np.ndarray, seed: int) -> dict[int, np.ndarray]:
-    """Hashes of all blocks of 1, 2, 4 … 128 bytes by doubling; entry i is the block from i."""
-    out = {1: _mix(data.astype(np.uint64) + np.uint64(seed))}
-    size = 1
+def _blocks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all blocks of ``GRAM`` and of 128 bytes, by doubling; entry i begins at i."""
+    h, size, gram = _mix(data.astype(np.uint64) + np.uint64(0x51ED270B)), 1, None
     while size < 128:
-        h = out[size]
-        odd = np.uint64(2 * seed + size * 0x632BE5AB | 1)
-        out[2 * size] = _mix(h[:-size] * odd + h[size:]) if len(h) > size else h[:0]
+        h = _mix(h[:-size] * np.uint64(2 * size * 0x632BE5AB + 0x1B873593) + h[size:]) \
+            if len(h) > size else h[:0]
         size *= 2
-    return out
+        gram = h if size == GRAM else gram
+    return gram, h
+
+
+class Group:
+    """The sampled places of a group's texts and the names of all levels.
 
+    A run is a stretch of neighbouring windows that choose the same place; windows never cross
+    texts.  Level ``PLACES`` names a run by the k-gram at its place, level ``RUNS`` its blocks by
+    the bytes that all windows of a block hold, level ``WINDOWS`` by the window itself.
+    """
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.starts, of = ragged(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        n = max(0, len(data) - WINDOW + 1)
+        with np.errstate(over="ignore"):
+            gram, self.long = _blocks(data)
+            start = np.flatnonzero(np.arange(n) + WINDOW <= self.starts[of[:n] + 1])
+            chosen = self._chosen(gram, n)[start]
+            head = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1])
+                                        | (start[1:] != start[:-1] + 1)][:len(start)])
+            self.first = start[head]
+            self.last = start[np.r_[head[1:], len(start)][:len(head)] - 1]
+            self.at = chosen[head]
+            self.gram = gram[self.at]
 
-@dataclass
-class Sample:
-    """Sampled places of a step: one entry per place and run of windows that choose it."""
-
-    name: np.ndarray      # hash of the k-gram at the place
-    triple: np.ndarray    # hash of all that its windows hold, and where the place lies in it
-    first: np.ndarray     # first and last window start
-    last: np.ndarray
-    a: np.ndarray         # two hashes of the window from each place of the step
-    b: np.ndarray
-
-    def windows(self, rows: np.ndarray) -> np.ndarray:
-        """Start places of all windows of the given entries."""
-        sizes = self.last[rows] - self.first[rows] + 1
-        starts, of = ragged(sizes)
-        return self.first[rows][of] + np.arange(len(of)) - starts[of]
-
-
-def sample(texts: list[bytes]) -> Sample:
-    """The cover of a step's texts; windows never cross texts."""
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    n = len(data) - WINDOW + 1
-    none = np.zeros(0, dtype=np.uint64)
-    if n <= 0:
-        return Sample(none, none, none.astype(np.int64), none.astype(np.int64), none, none)
-    with np.errstate(over="ignore"):
-        x, y = _blocks(data, 0x51ED270B), _blocks(data, 0x2545F491)
-        gram = x[GRAM]
-        a, b = (_mix(_mix(h[128][:n] * np.uint64(3) + h[64][128:128 + n]) * np.uint64(5)
-                     + h[8][192:192 + n]) for h in (x, y))
-        # Least truncated hash of each window, the last of equal ones; the place rides below.
-        low = np.uint64((1 << _PLACE) - 1)
-        key = (gram & ~low) | (low - np.arange(len(gram), dtype=np.uint64))
+    @staticmethod
+    def _chosen(gram: np.ndarray, n: int) -> np.ndarray:
+        """Place of the least (truncated) hash of each window, the last of equal ones."""
         wide = WINDOW - GRAM + 1
-        fill = -len(key) % wide
-        rows = np.concatenate([key, np.full(fill, ~np.uint64(0))]).reshape(-1, wide)
+        low = np.uint64((1 << 32) - 1)
+        key = ((gram >> _PLACE) << _PLACE) | (low - np.arange(len(gram), dtype=np.uint64))
+        rows = np.concatenate([key, np.full(-len(key) % wide, ~np.uint64(0))]).reshape(-1, wide)
         ahead = np.minimum.accumulate(rows, axis=1).ravel()
         behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(behind[:n], ahead[wide - 1:wide - 1 + n])
-        place = (low - (least & low)).astype(np.int64)
-        starts, of = ragged(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)))
-        inside = np.arange(n) + WINDOW <= starts[of[:n] + 1]
-        start = np.flatnonzero(inside)
-        if not len(start):
-            return Sample(none, none, none.astype(np.int64), none.astype(np.int64), none, none)
-        chosen = place[start]
-        head = np.flatnonzero(np.r_[True, (chosen[1:] != chosen[:-1])
-                                    | (start[1:] != start[:-1] + 1)])
-        first, last = start[head], start[np.r_[head[1:], len(start)] - 1]
-        at = chosen[head]
-        triple = _mix(_mix(a[first] * np.uint64(7) + a[last]) + _mix(
-            (last - first).astype(np.uint64) * np.uint64(1 << 20) + (at - first).astype(np.uint64)))
-        return Sample(gram[at], triple, first, last, a, b)
-
-
-def _steps(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    start = held = 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > STEP_BYTES:
-            yield start, i
-            start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield start, len(texts)
+        return (low - (least & low)).astype(np.int64)
+
+    def piece(self, start: np.ndarray, size: int) -> np.ndarray:
+        """Hash of ``size`` bytes (128 to 256) from each start: two blocks that cover them."""
+        return _mix(self.long[start] * np.uint64(3) + self.long[start + size - 128])
+
+    def _hull(self, first: np.ndarray, last: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Hash of all that the windows ``first`` .. ``last`` hold, and where the place is."""
+        where = ((last - first) << 20 | (at - first)).astype(np.uint64)
+        return _mix(_mix(self.piece(first, WINDOW) * np.uint64(7) + self.piece(last, WINDOW))
+                    + _mix(where))
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        with np.errstate(over="ignore"):
+            return self.gram, self._hull(self.first, self.last, self.at)
+
+    def runs(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first, last, name, triple) of the blocks of the given runs."""
+        far, near = self.at[rows] - self.first[rows], self.at[rows] - self.last[rows]
+        low = near // BLOCK
+        starts, of = ragged(far // BLOCK - low + 1)
+        block = low[of] + np.arange(len(of)) - starts[of]
+        at = self.at[rows][of]
+        first = np.maximum(at - BLOCK * block - BLOCK + 1, self.first[rows][of])
+        last = np.minimum(at - BLOCK * block, self.last[rows][of])
+        with np.errstate(over="ignore"):
+            core = self.piece(at - BLOCK * block, WINDOW - BLOCK + 1)
+            name = _mix(core + _mix(self.gram[rows][of] + block.astype(np.uint64)))
+            return first, last, name, self._hull(first, last, at)
+
+    @staticmethod
+    def windows(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of all windows of the given runs, and the run of each."""
+        starts, of = ragged(last - first + 1)
+        return first[of] + np.arange(len(of)) - starts[of], of
 
 
 def _named(names: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -131,9 +134,9 @@ def _named(names: np.ndarray, triples: np.ndarray) -> tuple[np.ndarray, ...]:
     and the entry of each row."""
     order = np.lexsort((triples, names))
     n, t = names[order], triples[order]
-    new = np.r_[True, n[1:] != n[:-1]] if len(n) else np.zeros(0, dtype=bool)
+    new = np.r_[True, n[1:] != n[:-1]][:len(n)]
     head = np.flatnonzero(new)
-    tail = np.r_[head[1:], len(n)] - 1 if len(head) else head
+    tail = np.r_[head[1:], len(n)][:len(head)] - 1
     of = np.empty(len(n), dtype=np.int64)
     of[order] = np.cumsum(new) - 1
     alone = np.where(t[head] == t[tail], np.maximum(t[head], np.uint64(1)), np.uint64(0))
@@ -144,7 +147,7 @@ def _sorted_pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct (a, b) in order, how often each (2 at most), and the entry of each row."""
     order = np.lexsort((b, a))
     x, y = a[order], b[order]
-    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])] if len(x) else np.zeros(0, dtype=bool)
+    new = np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])][:len(x)]
     head = np.flatnonzero(new)
     of = np.empty(len(x), dtype=np.int64)
     of[order] = np.cumsum(new) - 1
@@ -193,62 +196,58 @@ class Passages:
         return [(t or "").encode("utf-8", "surrogatepass")
                 for t in group.column("text").to_pylist()]
 
-    @staticmethod
-    def _places(texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        found = [sample(texts[i:j]) for i, j in _steps(texts)]
-        empty = np.zeros(0, dtype=np.uint64)
-        return _named(np.concatenate([empty, *(s.name for s in found)]),
-                      np.concatenate([empty, *(s.triple for s in found)]))
-
-    def ask_places(self, group: pa.Table) -> pa.Table:
-        """Level 0: each distinct name of the group with its triple."""
+    def ask(self, level: int, group: pa.Table, told: pa.Table | None = None) -> pa.Table:
+        """What a group asks at a level, given the answers of the levels above."""
+        none = [np.zeros(0, np.uint64)] * 2
         if not group.num_rows:
-            return _asked(0, 0, self.buckets, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.uint8))
-        names, triples, n, _ = self._places(self.texts(group))
-        return _asked(group.column("grp")[0].as_py(), 0, self.buckets, names, triples, n)
-
-    def _windows(self, texts: list[bytes], told: pa.Table):
-        """Per step: (first text, last text, sample, rows all of whose windows repeat, starts of
-        the windows to be looked at), by the answers of level 0."""
-        names, _, _, of = self._places(texts)
-        state = _answers(told, 0, self.buckets, names)[of]
-        at = 0
-        for i, j in _steps(texts):
-            s = sample(texts[i:j])
-            mine = state[at:at + len(s.name)]
-            at += len(s.name)
-            yield i, j, s, np.flatnonzero(mine == ALL), s.windows(np.flatnonzero(mine == SOME))
-
-    def ask_windows(self, group: pa.Table, told: pa.Table) -> pa.Table:
-        """Level 1: the windows that lead to places whose triples differ."""
-        a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        grp = group.column("grp")[0].as_py() if group.num_rows else 0
-        for _, _, s, _, open_ in self._windows(self.texts(group), told):
-            a.append(s.a[open_])
-            b.append(s.b[open_])
-        x, y, n, _ = _sorted_pairs(np.concatenate(a), np.concatenate(b))
-        return _asked(grp, 1, self.buckets, x, y, n)
+            return _asked(0, level, self.buckets, *none, np.zeros(0, np.uint8))
+        work = Group(self.texts(group))
+        grp = group.column("grp")[0].as_py()
+        if level == PLACES:
+            return _asked(grp, level, self.buckets, *_named(*work.places())[:3])
+        first, last, name, triple, _ = self._runs(work, told)
+        if level == RUNS:
+            return _asked(grp, level, self.buckets, *_named(name, triple)[:3])
+        starts, of = work.windows(first, last)
+        with np.errstate(over="ignore"):
+            return _asked(grp, level, self.buckets,
+                          *_sorted_pairs(name[of], work.piece(starts, WINDOW))[:3])
+
+    def _runs(self, work: Group, told: pa.Table) -> tuple[np.ndarray, ...]:
+        """(first, last, name, triple, repeated starts) by the answers at hand.
+
+        The runs returned are those still open at the deepest level answered; the starts are the
+        windows that are known to be repeated so far.
+        """
+        names, _, _, of = _named(*work.places())
+        state = _answers(told, PLACES, self.buckets, names)[of]
+        hits = [work.windows(work.first[state == ALL], work.last[state == ALL])[0]]
+        first, last, name, triple = work.runs(np.flatnonzero(state == SOME))
+        if RUNS in set(told.column("level").to_pylist()):
+            names, _, _, of = _named(name, triple)
+            state = _answers(told, RUNS, self.buckets, names)[of]
+            hits.append(work.windows(first[state == ALL], last[state == ALL])[0])
+            first, last, name, triple = (v[state == SOME] for v in (first, last, name, triple))
+        return first, last, name, triple, np.concatenate(hits)
 
     def remove(self, group: pa.Table, told: pa.Table) -> pa.Table:
         """The result rows of a group, by all answers."""
         texts = self.texts(group)
-        parts = list(self._windows(texts, told))
-        empty = np.zeros(0, np.uint64)
-        x, _, _, of = _sorted_pairs(np.concatenate([empty, *(s.a[o] for *_, s, _, o in parts)]),
-                                    np.concatenate([empty, *(s.b[o] for *_, s, _, o in parts)]))
-        again = _answers(told, 1, self.buckets, x)[of] == ALL
-        out, at = [], 0
-        for i, j, s, every, open_ in parts:
-            hit = np.concatenate([s.windows(every), open_[again[at:at + len(open_)]]])
-            at += len(open_)
-            starts, _ = ragged(np.fromiter(map(len, texts[i:j]), dtype=np.int64, count=j - i))
-            edge = np.zeros(starts[-1] + 1, dtype=np.int64)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + WINDOW, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            out += [_result(t, gone[a:b]) for t, a, b in zip(
-                texts[i:j], starts[:-1], starts[1:], strict=True)]
-        columns = list(zip(*out, strict=True)) if out else [[]] * 4
+        work = Group(texts)
+        first, last, name, _, hits = self._runs(work, told)
+        starts, of = work.windows(first, last)
+        if len(starts):
+            with np.errstate(over="ignore"):
+                x, _, _, row = _sorted_pairs(name[of], work.piece(starts, WINDOW))
+            again = _answers(told, WINDOWS, self.buckets, x)[row] == ALL
+            hits = np.concatenate([hits, starts[again]])
+        edge = np.zeros(work.starts[-1] + 1, dtype=np.int64)
+        np.add.at(edge, hits, 1)
+        np.add.at(edge, hits + WINDOW, -1)
+        gone = np.cumsum(edge[:-1]) > 0
+        out = [_result(t, gone[a:b]) for t, a, b in zip(
+            texts, work.starts[:-1], work.starts[1:], strict=True)]
+        columns = list(zip(*out, strict=True))
         return pa.table({
             "rowid": group.column("rowid"),
             **{name: pa.array(c, pa.int64()) for name, c in zip(
@@ -268,8 +267,8 @@ def _result(text: bytes, gone: np.ndarray) -> tuple[int, int, int, str]:
 def answer(bucket: pa.Table) -> pa.Table:
     """Sort all that a bucket is asked for, compare neighbours, and answer in the order asked.
 
-    A name (level 0) is met once, or always with the same triple, or with several triples; a
-    window (level 1) is met once or again.
+    A name is met once, or always with the same triple, or with several triples; a window is met
+    once or again.
     """
     level = bucket.column("level")[0].as_py()
     a, b, n = ([np.frombuffer(v, dtype=t) for v in bucket.column(c).to_pylist()]
@@ -279,12 +278,12 @@ def answer(bucket: pa.Table) -> pa.Table:
     order = np.lexsort((b, a))
     x, y = a[order], b[order]
     new = np.r_[True, x[1:] != x[:-1]]
-    if level:
+    if level == WINDOWS:
         new |= np.r_[True, y[1:] != y[:-1]]
     head = np.flatnonzero(new)
     times = np.add.reduceat(n[order], head)
     told = np.where(times < 2, ONCE, ALL)
-    if not level:
+    if level != WINDOWS:
         tail = np.r_[head[1:], len(x)] - 1
         told = np.where((times >= 2) & ((y[head] == 0) | (y[head] != y[tail])), SOME, told)
     out = np.empty(len(a), dtype=np.uint8)
@@ -304,9 +303,10 @@ def remove_repeated_passages(messages: DataFrame) -> DataFrame:
     kept_sha256``.
 
     Bodies are dealt by hash into groups.  A group asks for each of its distinct names once, in
-    buckets of the name, so a passage that stands everywhere is one entry per group.  Both
-    rounds of questions and the removal use one shuffle of the texts; nothing but hashes and
-    answers moves besides.  Windows are compared by 128 bits of hash.
+    buckets of the name, so a passage that stands everywhere is one entry per group.  All rounds
+    of questions and the removal use one shuffle of the texts; nothing but hashes and answers
+    moves besides.  Windows are compared by 128 bits of hash: their own 64 and those of their
+    place and block.
 
     NULL and short bodies lose nothing; repeated rows are copies of each other; an empty table
     gives an empty table; bodies are read whole.
@@ -320,10 +320,13 @@ def remove_repeated_passages(messages: DataFrame) -> DataFrame:
 
     # Plain functions: Spark tells key-taking ones by their number of arguments.
     def ask_places(group: pa.Table) -> pa.Table:
-        return work.ask_places(group)
+        return work.ask(PLACES, group)
+
+    def ask_runs(group: pa.Table, told: pa.Table) -> pa.Table:
+        return work.ask(RUNS, group, told)
 
     def ask_windows(group: pa.Table, told: pa.Table) -> pa.Table:
-        return work.ask_windows(group, told)
+        return work.ask(WINDOWS, group, told)
 
     def remove(group: pa.Table, told: pa.Table) -> pa.Table:
         return work.remove(group, told)
@@ -331,9 +334,11 @@ def remove_repeated_passages(messages: DataFrame) -> DataFrame:
     def told(asked: DataFrame) -> DataFrame:
         return asked.groupBy("level", "bucket").applyInArrow(answer, _TOLD)
 
-    places = told(rows.groupBy("grp").applyInArrow(ask_places, _ASK))
-    windows = told(rows.groupBy("grp").cogroup(places.groupBy("grp"))
-                   .applyInArrow(ask_windows, _ASK))
-    return (rows.groupBy("grp").cogroup(places.union(windows).groupBy("grp"))
-            .applyInArrow(remove, "rowid long, n_bytes long, n_removed long, n_spans long, "
-                                  "kept_sha256 string"))
+    def beside(answers: DataFrame):
+        return rows.groupBy("grp").cogroup(answers.groupBy("grp"))
+
+    answers = told(rows.groupBy("grp").applyInArrow(ask_places, _ASK))
+    for ask in (ask_runs, ask_windows):
+        answers = answers.union(told(beside(answers).applyInArrow(ask, _ASK)))
+    return beside(answers).applyInArrow(
+        remove, "rowid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

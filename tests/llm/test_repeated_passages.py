@@ -57,8 +57,7 @@ def test_many_groups_buckets_and_steps_agree(bodies, monkeypatch):
     check(rp.remove_repeated_passages(bodies(*texts)).collect(), texts, range(len(texts)))
 
 
-def test_steps_inside_a_group(monkeypatch):
-    monkeypatch.setattr(rp, "STEP_BYTES", 3_000)
+def test_levels_inside_one_group():
     import pyarrow as pa
     texts = corpus(3)
     work = rp.Passages(3)
@@ -67,13 +66,14 @@ def test_steps_inside_a_group(monkeypatch):
     def told(asked):
         rows = asked.to_pylist()
         keys = sorted({(r["level"], r["bucket"]) for r in rows})
-        return pa.concat_tables([rp.answer(pa.Table.from_pylist(
+        return [rp.answer(pa.Table.from_pylist(
             [r for r in rows if (r["level"], r["bucket"]) == k], schema=asked.schema))
-            for k in keys])
+            for k in keys]
 
-    places = told(work.ask_places(group))
-    windows = told(work.ask_windows(group, places))
-    rows = work.remove(group, pa.concat_tables([places, windows])).to_pylist()
+    answers = told(work.ask(rp.PLACES, group))
+    for level in (rp.RUNS, rp.WINDOWS):
+        answers += told(work.ask(level, group, pa.concat_tables(answers)))
+    rows = work.remove(group, pa.concat_tables(answers)).to_pylist()
     assert [tuple(r.values())[1:] for r in rows] == brute(texts)
 
 
