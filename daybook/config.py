@@ -32,6 +32,8 @@ SAMPLE_ROWS = 2_000
 HEALTHY_RATE = 0.90
 LEASE_HOURS = 24
 RECENT_DAYS = 7
+REOPENED = "re-opened: fresh texts after it was dismissed"
+NOTHING_NEW = "Texts: nothing new to file."
 # --- end of fixed values --------------------------------------------------------------
 
 #: Configured lists travel inside the plan as literals, so their length is checked.

@@ -22,11 +22,12 @@ RIGHT = r"(?![0-9A-Za-z])"
 NEAR = r"[^0-9\n.!?;]{0,24}?"
 NEAR_WIDE = r"[^0-9\n.!?;]{0,32}?"
 NOT_URL = r"(?<![=/&?#._~-])"
-NOT_A_SECRET_CODE = "".join(f"(?<!{word})" for word in (
-    "zip ", "zip-", "area ", "area-", "dress ", "error ", "promo ", "postal ", "country ",
-    "source ", "barcode ", "bar ", "qr ", "morse ", "coupon ", "referral ", "discount ",
-    "routing ", "tax ", "sort ", "swift ", "status ", "color ", "colour ", "cpt ", "icd ",
-    "ada ", "procedure ", "diagnosis ", "billing ", "npi ", "exit "))
+NOT_A_SECRET_CODE = (
+    r"(?<!zip )(?<!zip-)(?<!area )(?<!area-)(?<!dress )(?<!error )(?<!promo )"
+    r"(?<!postal )(?<!country )(?<!source )(?<!barcode )(?<!bar )(?<!qr )(?<!morse )"
+    r"(?<!coupon )(?<!referral )(?<!discount )(?<!routing )(?<!tax )(?<!sort )"
+    r"(?<!swift )(?<!status )(?<!color )(?<!colour )(?<!cpt )(?<!icd )(?<!ada )"
+    r"(?<!procedure )(?<!diagnosis )(?<!billing )(?<!npi )(?<!exit )")
 OTP_QUALIFIER = (
     r"(?:verification|verify|verifying|security|one[\s-]?time|single[\s-]?use|login|log[\s-]?in|"
     r"sign[\s-]?in|signin|access|confirmation|confirm|authentication|authorisation|"

@@ -7,12 +7,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.redaction import RULES, redact, redaction_spans, rule_name
-from daybook.operators.shape import side_by_side
-from daybook.session import spread
+from daybook.operators.shape import look_up, side_by_side
 
 # --- fixed values: audit patterns --------------------------------------------------------
-REACTION_VERBS = ("Liked", "Loved", "Emphasized", "Laughed at", "Disliked", "Questioned")
-REACTION_WORDS = ("Gefällt", "ein Herz")
+REACTIONS = ('Liked "', 'Loved "', 'Emphasized "', 'Laughed at "', 'Disliked "', 'Questioned "',
+             "Liked “", "Loved “", "Emphasized “", "Laughed at “", "Disliked “", "Questioned “",
+             "Gefällt", "ein Herz")
+DENIED = "denylist: "
+EMAIL_RULE = "built-in: email address"
+HOME_RULE = "built-in: home-folder path"
+PHONE_RULE = "built-in: US phone number"
 REACTED = r"^Reacted .{1,16} to [\"“]"
 OTHER_BREAKS = r"[\x0b\x0c\x1c\x1d\x1e\x85  ]"
 LINE_SHAPE = r"^(\d{2}:\d{2})  (.+?): (.*)$"
@@ -28,7 +32,7 @@ US_PHONE = (r"(?<!\d)(?:\+?1[\s.-]?)?\(?([2-9]\d{2})\)?[\s.-]?([2-9]\d{2})[\s.-]
 
 def corpus_spans(corpus: DataFrame) -> DataFrame:
     """(doc_id, rule, start, length) of every redaction span, one row each."""
-    return (spread(corpus.select("doc_id", "text"))
+    return (corpus
             .select("doc_id", F.explode(redaction_spans("text")).alias("s"))
             .select("doc_id", rule_name(F.col("s.rule_no")).alias("rule"),
                     F.col("s.start").alias("start"), (-F.col("s.neg_len")).alias("length")))
@@ -36,7 +40,7 @@ def corpus_spans(corpus: DataFrame) -> DataFrame:
 
 def redact_corpus(corpus: DataFrame) -> DataFrame:
     """The corpus with every secret-shaped span replaced; a map-only job."""
-    return spread(corpus.select("doc_id", "text")).select("doc_id", redact("text").alias("text"))
+    return corpus.select("doc_id", redact("text").alias("text"))
 
 
 def redaction_rates(corpus: DataFrame) -> DataFrame:
@@ -51,7 +55,7 @@ def redaction_rates(corpus: DataFrame) -> DataFrame:
     per_rule = [F.struct(F.lit(rule).alias("rule"), of(no).alias("n"))
                 for no, rule in enumerate(RULES)]
     anything = F.struct(F.lit("(any)").alias("rule"), F.size("spans").alias("n"))
-    rows = (spread(corpus.select("text")).select(redaction_spans("text").alias("spans"))
+    rows = (corpus.select(redaction_spans("text").alias("spans"))
             .select(F.explode(F.array(*per_rule, anything)).alias("r")))
     return (rows.groupBy("r.rule").agg(
         F.count_if(F.col("r.n") > 0).alias("bodies_hit"), F.sum("r.n").alias("spans"),
@@ -62,44 +66,47 @@ def redaction_rates(corpus: DataFrame) -> DataFrame:
 def leak_scan(documents: DataFrame, terms: DataFrame) -> DataFrame:
     """(doc_id, line, rule) for every line holding something that must not leave.
 
-    Deny terms are matched through their first word, on (line, word) rows that carry no text.
-    A one-word term is then already decided; only the lines that open a longer term are looked
-    at again.  The text itself is never returned.
+    One pass: a line becomes rows of its words, its symbols and the built-in rules it breaks.
+    A deny term is met through its first word, or its first symbol if it has no word; a one-word
+    term is then decided, any other is looked for in the line at hand.  The text itself is never
+    returned.
     """
-    alnum = r"[\p{L}\p{N}]+"
-    lines = spread(documents.select("doc_id", "text")).select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    words = lines.select("doc_id", "line", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("body"), F.lit(f"({alnum})"), 1))).alias("word"))
-    wanted = (terms.select(F.lower("term").alias("term")).distinct()
-              .withColumn("word", F.regexp_extract("term", f"({alnum})", 1)))
-    single = words.join(wanted.filter("term = word"), "word").select("doc_id", "line", "term")
-    whole = F.expr(r"lower(body) RLIKE concat('(?<![\\p{L}\\p{N}])\\Q', term, "
-                   r"'\\E(?![\\p{L}\\p{N}])')")
-    longer = (words.join(wanted.filter("term <> word"), "word").select("doc_id", "line", "term")
-              .join(lines, ["doc_id", "line"]).filter(whole).select("doc_id", "line", "term"))
-    denied = single.unionByName(longer).select(
-        "doc_id", "line", F.concat(F.lit("denylist: "), "term").alias("rule"))
-
-    def every(pattern: str, group: int) -> F.Column:
-        return F.regexp_extract_all("body", F.lit(pattern), group)
+    alnum, symbol = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}\s]"
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    wanted = terms.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+    first = F.regexp_extract("term", f"({alnum})", 1)
+    wanted = wanted.select(
+        "term", F.when(first != "", first).otherwise(F.substring("term", 1, 1)).alias("word"),
+        F.regexp_replace("term", f"({symbol})", r"\\$1").alias("quoted"))
+
+    def every(pattern: str, group: int, body: str = "body") -> F.Column:
+        return F.regexp_extract_all(body, F.lit(pattern), group)
 
     email = F.exists(every(EMAIL, 2), lambda d: ~d.rlike(ALLOWED_DOMAINS))
     home = F.exists(every(HOME_PATH, 1), lambda n: ~F.lower(n).isin(*HOME_PLACEHOLDERS))
     phone = F.exists(F.arrays_zip(every(US_PHONE, 2).alias("mid"), every(US_PHONE, 3).alias("end")),
                      lambda n: ~((n["mid"] == "555") & n["end"].startswith("01")))
-    built_in = lines.select("doc_id", "line", F.explode(F.filter(F.array(
-        F.when(F.col("body").contains("@") & email, "built-in: email address"),
-        F.when(home, "built-in: home-folder path"),
-        F.when(F.col("body").rlike("[0-9]{4}") & phone, "built-in: US phone number")),
-        lambda r: r.isNotNull())).alias("rule"))
-    return denied.unionByName(built_in)
+    broken = F.filter(F.array(
+        F.when(F.col("body").contains("@") & email, EMAIL_RULE),
+        F.when(home, HOME_RULE),
+        F.when(F.col("body").rlike("[0-9]{4}") & phone, PHONE_RULE)), lambda r: r.isNotNull())
+    words = F.array_distinct(F.concat(
+        F.regexp_extract_all(F.lower("body"), F.lit(f"({alnum})"), 1),
+        F.regexp_extract_all("body", F.lit(f"({symbol})"), 1)))
+    none = F.lit(None).cast("string")
+    rows = lines.select("doc_id", "line", "body", F.explode(F.concat(
+        F.transform(words, lambda w: F.struct(w.alias("word"), none.alias("rule"))),
+        F.transform(broken, lambda r: F.struct(none.alias("word"), r.alias("rule")))))
+        .alias("e")).select("doc_id", "line", "body", "e.*")
+    met = look_up(rows, wanted, "word", "doc_id", "line", "rule")
+    whole = F.expr(r"lower(body) RLIKE concat('(?<![\\p{L}\\p{N}])', quoted, '(?![\\p{L}\\p{N}])')")
+    plain = (F.col("term") == F.col("word")) & F.col("word").rlike(f"^{alnum}$")
+    return met.filter(F.col("rule").isNotNull() | plain | whole).select(
+        "doc_id", "line", F.coalesce("rule", F.concat(F.lit(DENIED), "term")).alias("rule"))
 
 
 def transcript_audit(files: DataFrame) -> DataFrame:
     """Per invariant, how many transcripts break it."""
-    markers = [f'{v} "' for v in REACTION_VERBS] + [f"{v} “" for v in REACTION_VERBS]
-    markers += list(REACTION_WORDS)
     named = F.regexp_extract("path", FILE_SHAPE, 2)
     day = F.concat_ws("-", named, F.regexp_extract("path", FILE_SHAPE, 3),
                       F.regexp_extract("path", FILE_SHAPE, 4))
@@ -120,7 +127,7 @@ def transcript_audit(files: DataFrame) -> DataFrame:
 
     def reaction(body: F.Column) -> F.Column:
         hit = body.rlike(REACTED)
-        for marker in markers:
+        for marker in REACTIONS:
             hit = hit | body.contains(marker)
         return hit
 

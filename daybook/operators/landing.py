@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from daybook.config import SUMMARY_MAX, Settings
 from daybook.functions.text import ARROW_OPEN, safe_topic, strip, word_text
+from daybook.operators.shape import look_up
 
 # --- fixed values: what a card line may not hold -------------------------------------------
 LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -71,10 +72,12 @@ def landing_outcomes(items: DataFrame, stamped: DataFrame, owners: DataFrame, ca
         return df.select(*on).distinct().withColumn(name, F.lit(True))
 
     seen = (with_line.join(mark(stamped, ["key"], "is_stamped"), "key", "left")
-            .join(mark(owners, ["person_id"], "is_owner"), "person_id", "left")
-            .join(mark(cards, ["person_id"], "has_card"), "person_id", "left")
-            .join(mark(interactions, ["person_id", "pointer"], "is_present"),
-                  ["person_id", "pointer"], "left"))
+            .withColumn("_pair", F.concat_ws("\x01", "person_id", "pointer")))
+    seen = look_up(seen, mark(owners, ["person_id"], "is_owner"), "person_id", "key", "pointer")
+    seen = look_up(seen, mark(cards, ["person_id"], "has_card"), "person_id", "key", "pointer")
+    present = mark(interactions.withColumn("_pair", F.concat_ws("\x01", "person_id", "pointer")),
+                   ["_pair"], "is_present")
+    seen = look_up(seen, present, "_pair", "key").drop("_pair")
     outcome = (F.when(F.col("key").isNull(), "no key")
                .when(F.col("is_stamped"), "skipped")
                .when(F.col("person_id").isNull(), "refused: no person")

@@ -22,13 +22,15 @@ REMOVES = {"drop_intent": ("stamped",), "stamp_done": ("queue", "failures"),
 def apply_change_log(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Current state of the six keyed tables as (tbl, key, op, record).
 
-    Operations of committed runs count; of any other run only stamp intents do.  Each
+    ``log`` and ``runs`` name a run's stretch of the log by ``segment``, the position where it
+    begins: a run id used twice is two stretches, and one does not commit the other.
+    Operations of committed stretches count; of any other only stamp intents do.  Each
     operation becomes its effects, and the newest set and newest removal per key are two MAX
     aggregates that combine map-side, so a key written a billion times costs one row per task.
     """
-    committed = runs.filter("committed").select("run")
-    counted = (log.join(committed, "run", "left_semi").unionByName(
-        log.filter("op = 'stamp_intent'").join(committed, "run", "left_anti")))
+    committed = runs.filter("committed").select("segment")
+    counted = (log.join(committed, "segment", "left_semi").unionByName(
+        log.filter("op = 'stamp_intent'").join(committed, "segment", "left_anti")))
     kinds = {op: [(t, True) for t in tables] for op, tables in SETS.items()}
     for op, tables in REMOVES.items():
         kinds.setdefault(op, []).extend((t, False) for t in tables)
@@ -46,11 +48,12 @@ def apply_change_log(log: DataFrame, runs: DataFrame) -> DataFrame:
         | ((F.col("tbl") == "stamped") & (F.col("last_set.op") == "stamp_done"))))
     released = (counted.filter("op = 'release'").groupBy(F.col("key").alias("ident"))
                 .agg(F.max("seq").alias("released_at")))
-    held_out = (alive.withColumn("ident", F.when(F.col("tbl") == "held", key_ident(F.col("key"))))
-                .join(released, "ident", "left"))
-    return (held_out.filter(F.col("released_at").isNull()
-                            | (F.col("released_at") < F.col("last_set.seq")))
-            .select("tbl", "key", "last_set.op", "last_set.record"))
+    held = (alive.filter("tbl = 'held'").withColumn("ident", key_ident(F.col("key")))
+            .join(released, "ident", "left")
+            .filter(F.col("released_at").isNull()
+                    | (F.col("released_at") < F.col("last_set.seq"))))
+    columns = ("tbl", "key", "last_set.op", "last_set.record")
+    return alive.filter("tbl <> 'held'").select(*columns).union(held.select(*columns))
 
 
 def unseen_units(units: DataFrame, stamped: DataFrame, queue: DataFrame,

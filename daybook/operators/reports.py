@@ -7,7 +7,8 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.config import (HEADLINE_MAX, HEALTHY_RATE, ITEM_MAX, ONE_TO_ONE_STYLE, Settings)
+from daybook.config import (HEADLINE_MAX, HEALTHY_RATE, ITEM_MAX, NOTHING_NEW, ONE_TO_ONE_STYLE,
+                            Settings)
 from daybook.functions.text import cap_line, normalise_handle, scrub_line, strip
 from daybook.operators.backfill import estimate, tranche_no
 from daybook.operators.shape import side_by_side
@@ -129,7 +130,7 @@ def brief_row(counts: DataFrame) -> DataFrame:
                                           F.lit(" waiting for a summary"))),
         F.when(c("review") > 0, F.concat(_many(c("review"), "number"), F.lit(" to review")))))
     headline = F.when(F.size(parts) > 0, F.concat(F.lit("Texts: "), F.array_join(parts, ", "))
-                      ).otherwise("Texts: nothing new to file.")
+                      ).otherwise(NOTHING_NEW)
     items = F.array(
         F.when(c("failures") > 0, F.concat(_many(c("failures"), "day"),
                                            F.lit(" could not be filed and will be tried again."))),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from daybook.functions.text import key_ident, only_digits, word_list, word_text
+from daybook.operators.shape import look_up
 from daybook.session import durable
 
 SUFFIX_MIN = 7
@@ -235,9 +236,9 @@ def identifier_to_person(asked: DataFrame, identifiers: DataFrame, ties: DataFra
 def enrich_names(records: DataFrame, cards: DataFrame, contacts: DataFrame,
                  masked: Column) -> DataFrame:
     """Display name: the card's, else the contact's, else the stored one, else a masked handle."""
-    return (records.join(cards.select("person_id", F.col("name").alias("card_name")),
-                         "person_id", "left")
-            .join(contacts.select("ident", F.col("name").alias("contact_name")), "ident", "left")
+    named = look_up(records, cards.select("person_id", F.col("name").alias("card_name")),
+                    "person_id", "ident")
+    return (named.join(contacts.select("ident", F.col("name").alias("contact_name")), "ident", "left")
             .withColumn("shown_name", F.coalesce("card_name", "contact_name", "stored_name", masked))
             .drop("card_name", "contact_name"))
 

@@ -7,10 +7,11 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.config import RECENT_DAYS
+from daybook.config import RECENT_DAYS, REOPENED
 from daybook.functions.text import valid_identifier
 from daybook.operators.ranking import number_rows
 from daybook.operators.resolve import name_matches
+from daybook.operators.shape import look_up
 
 # --- fixed values: section order and the created-person log line ---------------------------------
 SECTIONS = ("attach", "known", "new", "bare", "not_a_number", "ambiguous")
@@ -38,7 +39,7 @@ def reopen(proposals: DataFrame, justified: DataFrame, today: date) -> tuple[Dat
                .withColumn("status", F.when(F.col("_r"), "pending").otherwise(F.col("status")))
                .drop("_r"))
     rows = justified.select("proposal_id", F.lit("pending").alias("action"),
-                            F.lit("re-opened: fresh texts after it was dismissed").alias("detail"),
+                            F.lit(REOPENED).alias("detail"),
                             F.lit(today).alias("created"))
     return changed, rows
 
@@ -85,16 +86,19 @@ def decision_inputs(resolved: DataFrame, identifiers: DataFrame, proposals: Data
     made = accepted_persons(proposals, log, slugs)
     rec_named = name_matches(record.select("ident", F.col("record_name").alias("name")), cards)
     single = rec_named.filter("candidates = 1").select("ident", F.col("lo").alias("record_attach"))
-    return (resolved.join(record, "ident", "left").join(states, "proposal_id", "left")
-            .join(made, "proposal_id", "left").join(dismissed, "ident", "left")
-            .join(pending, "ident", "left").join(single, "ident", "left")
-            .join(days.select("proposal_id", F.col("dismissed_on").alias("own_day")),
-                  "proposal_id", "left")
-            .join(days.select(F.col("proposal_id").alias("dismissed_id"),
-                              F.col("dismissed_on").alias("other_day")), "dismissed_id", "left")
-            .join(owners.select("person_id", F.lit(True).alias("is_owner")), "person_id", "left")
-            .join(owners.select(F.col("person_id").alias("new_person"),
-                                F.lit(True).alias("new_is_owner")), "new_person", "left"))
+    out = (resolved.join(record, "ident", "left").join(dismissed, "ident", "left")
+           .join(pending, "ident", "left").join(single, "ident", "left"))
+    # All of these keys are mostly NULL, so the rows without one are spread by identifier.
+    for table, key in (
+            (states, "proposal_id"), (made, "proposal_id"),
+            (days.select("proposal_id", F.col("dismissed_on").alias("own_day")), "proposal_id"),
+            (days.select(F.col("proposal_id").alias("dismissed_id"),
+                         F.col("dismissed_on").alias("other_day")), "dismissed_id"),
+            (owners.select("person_id", F.lit(True).alias("is_owner")), "person_id"),
+            (owners.select(F.col("person_id").alias("new_person"),
+                           F.lit(True).alias("new_is_owner")), "new_person")):
+        out = look_up(out, table, key, "ident")
+    return out
 
 
 def decide_identifiers(inputs: DataFrame, today: date, *, emit: bool = False,

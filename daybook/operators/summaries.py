@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.operators.landing import summary_problem
+from daybook.operators.ranking import number_rows
 
 # --- fixed values: the claim document ----------------------------------------------------------
 CLAIM_FORMAT = 1
@@ -55,19 +55,15 @@ def claim_counts(ready: DataFrame, limit: int) -> DataFrame:
                 F.col("waiting") - F.col("claimed") - F.col("no_transcript"), F.lit(0))))
 
 
-def claim_batches(queue: DataFrame, limit: int, salt: int | None = None) -> DataFrame:
-    """All claimable days cut into documents of ``limit`` units.
+def claim_batches(queue: DataFrame, limit: int) -> DataFrame:
+    """All claimable days, oldest first, cut into documents of ``limit`` units.
 
-    Days are numbered inside hash buckets, never in one global window, so a document is
-    (bucket, batch) and no task sees more than its bucket.
+    The total order comes from range partitions, so it is the same on any cluster, only the
+    last document can be short, and no task sees more than its range.
     """
-    salt = salt or int(queue.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("key"), F.lit(salt))
-    order = W.partitionBy("bucket").orderBy("day", "key")
-    return (queue.withColumn("bucket", bucket)
-            .withColumn("no", F.row_number().over(order) - 1)
-            .withColumn("batch", F.floor(F.col("no") / limit).cast("bigint"))
-            .withColumn("unit_id", unit_id(F.col("no") % limit)))
+    return (number_rows(queue, [F.col("day"), F.col("key")], "no")
+            .withColumn("batch", F.floor((F.col("no") - 1) / limit).cast("bigint"))
+            .withColumn("unit_id", unit_id((F.col("no") - 1) % limit)))
 
 
 def unit_id(index: Column) -> Column:
@@ -86,6 +82,11 @@ def claim_documents(units: DataFrame) -> DataFrame:
         .alias("document"))
 
 
+def write_claim_documents(documents: DataFrame, path: str) -> None:
+    """The claims of a run as one table; writing the same claims again changes nothing."""
+    documents.write.mode("overwrite").parquet(path)
+
+
 DOCUMENT = ("format INT, kind STRING, claim_id STRING, units ARRAY<STRUCT<id: STRING, key: STRING,"
             "day: STRING, links: ARRAY<STRING>>>, summaries MAP<STRING, STRING>")
 

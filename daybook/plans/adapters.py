@@ -86,10 +86,11 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
                THEN concat('user', CAST(c_custkey AS STRING), '@example.com') END AS email
         FROM customer"""),
     "contacts": (("customer",), """
-        SELECT concat('+1555', lpad(CAST(c_custkey AS STRING), 7, '0')) AS ident,
+        SELECT concat(CASE WHEN c_custkey % 3 = 0 AND c_custkey % 7 <> 0 THEN '+1555'
+            ELSE '+1666' END, lpad(CAST(c_custkey AS STRING), 7, '0')) AS ident,
           CASE WHEN c_custkey % 6 = 0 THEN concat('Contact ', CAST(c_custkey AS STRING))
                ELSE c_name END AS name
-        FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 <> 0"""),
+        FROM customer"""),
     "raw_contacts": (("supplier", "customer"), """
         SELECT 0 AS store_rank, 0 AS kind_rank, s_suppkey AS row_no,
           CASE WHEN s_suppkey % 4 <> 0 THEN concat(' ', s_name, ' ') END AS first_name,
@@ -131,11 +132,12 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
           CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'pending'
             ELSE 'dismissed' END AS status,
           CASE WHEN o_orderkey % 41 = 0 THEN '{broken' ELSE concat('{"kind":"phone","identifier":"',
-            '+1555', lpad(CAST(o_custkey AS STRING), 7, '0'), '","name":"Name ',
+            CASE WHEN o_custkey % 5 = 0 THEN '+1666' ELSE '+1555' END,
+            lpad(CAST(o_custkey AS STRING), 7, '0'), '","name":"Name ',
             CAST(o_custkey AS STRING), '","person":"prs_',
             lpad(CAST(o_custkey AS STRING), 8, '0'), '"}') END AS payload,
           CAST(o_orderdate AS DATE) AS created
-        FROM orders WHERE o_custkey % 5 <> 0"""),
+        FROM orders"""),
     "proposal_log": (("orders",), """
         SELECT o_orderkey * 2 AS log_id, o_orderkey AS proposal_id,
           CASE o_orderstatus WHEN 'P' THEN 'dismissed' ELSE 'accepted' END AS action,
@@ -166,7 +168,8 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
                       count(*) AS turns
                     FROM orders GROUP BY o_custkey, o_orderdate) AS o) AS d"""),
     "ledger_identifiers": (("customer", "orders", "supplier"), """
-        SELECT concat('+1555', lpad(CAST(custkey AS STRING), 7, '0')) AS ident,
+        SELECT concat(CASE WHEN custkey % 10 = 9 THEN '+1666' ELSE '+1555' END,
+            lpad(CAST(custkey AS STRING), 7, '0')) AS ident,
           CASE k9 WHEN 0 THEN 'held' WHEN 1 THEN 'accepted' WHEN 2 THEN 'pending'
             WHEN 3 THEN 'attach_pending' WHEN 4 THEN 'dismissed' WHEN 5 THEN 'ambiguous'
             WHEN 6 THEN 'dismissed' WHEN 7 THEN 'attach_pending' ELSE 'accepted' END AS state,
@@ -183,8 +186,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM (SELECT c_custkey AS custkey, CAST(floor(c_custkey / 3) AS BIGINT) % 9 AS k9,
                 concat('prs_', lpad(CAST(c_custkey AS STRING), 8, '0')) AS person_id, first_order
               FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_order
-                FROM orders GROUP BY o_custkey) AS o ON o_custkey = c_custkey
-              WHERE c_custkey % 10 <> 9) AS c
+                FROM orders GROUP BY o_custkey) AS o ON o_custkey = c_custkey) AS c
         UNION ALL
         SELECT concat('9', lpad(CAST(s_suppkey AS STRING), 15, '0')), 'held', 'new',
           CAST(NULL AS BIGINT), CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING),
@@ -244,18 +246,18 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
             WHEN conv_id % 12 = 1 THEN concat('  ', CAST(turn AS STRING), ' agreed [mtg: x')
             WHEN conv_id % 12 = 2 THEN concat('we met — fine ', CAST(turn AS STRING))
             WHEN conv_id % 12 = 3 THEN concat('see (→ x ', CAST(turn AS STRING))
-            WHEN conv_id % 12 = 4 THEN concat('Texts (3): ', substr(replace(text, CHR(10), ' '), 1, 40))
+            WHEN conv_id % 12 = 4 THEN concat('Texts (3): ', replace(text, CHR(10), ' '))
             WHEN conv_id % 12 = 5 THEN '   '
             WHEN conv_id % 12 = 6 THEN concat('bad', CHR(7), 'bell')
-            WHEN conv_id % 12 = 7 THEN substr(replace(text, CHR(10), ' '), 1, 20)
-            WHEN conv_id % 12 = 8 THEN substr(replace(concat(text, text, text), CHR(10), ' '), 1, 450)
+            WHEN conv_id % 12 = 7 THEN replace(text, CHR(10), ' ')
+            WHEN conv_id % 12 = 8 THEN replace(concat(text, text, text), CHR(10), ' ')
             WHEN conv_id % 12 = 9 THEN text
-            ELSE substr(replace(text, CHR(10), ' '), 5, 90) END AS summary,
+            ELSE concat('we said ', replace(text, CHR(10), ' ')) END AS summary,
           concat('Texts (', CAST(turn + 3 AS STRING), '): ',
-            substr(replace(text, CHR(10), ' '), 1, 79), '…') AS topic
+            replace(text, CHR(10), ' ')) AS topic
         FROM conversations"""),
     "change_log": (("lineitem",), """
-        SELECT seq, run, op, CASE WHEN op IN ('claim', 'release_claim')
+        SELECT seq, run, l_orderkey AS segment, op, CASE WHEN op IN ('claim', 'release_claim')
             THEN concat('claim-', CAST(CAST(floor(l_orderkey / 40) AS BIGINT) AS STRING))
             WHEN op IN ('set_identifier', 'release') THEN ident
             ELSE concat(ident, '|day|', CAST(day AS STRING)) END AS key, ident,
@@ -273,7 +275,8 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
                       l_orderkey, l_linenumber, l_partkey, min(l_suppkey) AS l_suppkey
                     FROM lineitem GROUP BY l_orderkey, l_linenumber, l_partkey) AS l) AS o"""),
     "runs": (("lineitem",), """
-        SELECT DISTINCT l_orderkey % 50 AS run, l_orderkey % 50 % 7 <> 0 AS committed
+        SELECT DISTINCT l_orderkey AS segment, l_orderkey % 50 AS run,
+          (l_orderkey % 50 + CAST(floor(l_orderkey / 50) AS BIGINT)) % 7 <> 0 AS committed
         FROM lineitem"""),
     "links_seen": (("ledger_days",), """
         SELECT key, 0 AS pos, link, TRUE AS queued FROM ledger_days WHERE state = 'queued'
@@ -306,7 +309,7 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
                 WHEN 4 THEN '"u77": "nobody asked"' ELSE '' END, '}') END, '}') END AS document
         FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN topic
                 ELSE concat('we agreed on plan ', CAST(seq AS STRING)) END AS said
-              FROM ledger_days WHERE seq % 2 = 0) AS d"""),
+              FROM ledger_days) AS d"""),
     "holders": (("ledger_days",), """
         SELECT key, CASE WHEN seq % 7 = 0 THEN 'claim-other'
           ELSE concat('claim-', CAST(seq AS STRING)) END AS claim_id

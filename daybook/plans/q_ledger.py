@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from daybook.operators import ledger as lg
 from daybook.operators import summaries as sm
 from daybook.plans.adapters import SETTINGS, adapt
 from daybook.plans.registry import block, query
+from daybook.session import checkpoint_dir
 
 NOW = date(1998, 1, 1)
 
@@ -60,7 +62,7 @@ def items_of(queue):
 
 
 block("counted", """
-  SELECT c.* FROM change_log c JOIN runs r ON r.run = c.run
+  SELECT c.* FROM change_log c JOIN runs r ON r.segment = c.segment
   WHERE r.committed OR c.op = 'stamp_intent'""")
 
 
@@ -346,22 +348,45 @@ def _(spark, base):
     return sm.claim_counts(_ready(spark, base), SETTINGS.claim_limit)
 
 
-@query("k3_write_claim_batch")
+#: A handle of the given tables as a list shows it.
+MASKED = "'…' || right(regexp_replace(ident, '[^0-9]', '', 'g'), 4)"
+
+block("batched_t", """
+  SELECT *, CAST(floor((no - 1) / 15) AS BIGINT) AS batch,
+    'u' || lpad(CAST((no - 1) % 15 + 1 AS VARCHAR), 2, '0') AS unit_id
+  FROM (SELECT *, row_number() OVER (ORDER BY day, key) AS no FROM ready_t
+        WHERE NOT is_held AND has_transcript)""")
+
+
+def _batches(spark, base):
+    return sm.claim_batches(_ready(spark, base).filter("NOT is_held AND has_transcript"),
+                            SETTINGS.claim_limit)
+
+
+@query("k3_write_claim_batch", f"""
+  SELECT claim_id, '{{"format":1,"kind":"summary-claim","claim_id":"' || claim_id || '","units":['
+    || string_agg('{{"id":"' || unit_id || '","key":"' || key || '","name":"' || name
+      || '","day":"' || CAST(day AS VARCHAR) || '","direction":"' || direction || '","link":"'
+      || link || '","mechanical_topic":"' || topic || '"}}', ',' ORDER BY unit_id)
+    || '],"summaries":{{}}}}' AS document
+  FROM (SELECT *, 'claim-' || lpad(CAST(batch AS VARCHAR), 6, '0') AS claim_id,
+          coalesce(person_id, {MASKED}) AS name FROM batched_t) GROUP BY claim_id""")
 def _(spark, base):
-    batches = sm.claim_batches(_ready(spark, base).filter("NOT is_held AND has_transcript"),
-                               SETTINGS.claim_limit)
-    units = batches.select(
-        F.format_string("claim-%02d-%06d", "bucket", "batch").alias("claim_id"), "unit_id", "key",
+    """Written to Parquet and read back; a second write leaves the same documents."""
+    units = _batches(spark, base).select(
+        F.format_string("claim-%06d", "batch").alias("claim_id"), "unit_id", "key",
         F.coalesce("person_id", mask_tail(F.col("ident"))).alias("name"),
         F.date_format("day", "yyyy-MM-dd").alias("day"), "direction", "link", "topic")
-    return sm.claim_documents(units)
+    path = f"{checkpoint_dir(spark)}/claims-{uuid.uuid4().hex}"
+    for _again in range(2):
+        sm.write_claim_documents(sm.claim_documents(units), path)
+    return spark.read.parquet(path)
 
 
-@query("w9_unit_ids")
+@query("w9_unit_ids", """
+  SELECT unit_id, count(*) AS documents FROM batched_t GROUP BY unit_id""")
 def _(spark, base):
-    batches = sm.claim_batches(_ready(spark, base).filter("NOT is_held AND has_transcript"),
-                               SETTINGS.claim_limit)
-    return batches.groupBy("unit_id").agg(F.count(F.lit(1)).alias("documents"))
+    return _batches(spark, base).groupBy("unit_id").agg(F.count(F.lit(1)).alias("documents"))
 
 
 @query("x13_parse_summary_docs", """
@@ -375,7 +400,7 @@ def _(spark, base):
 block("good_doc", """
   SELECT l.*, 'claim-' || l.seq AS claim_id, CASE WHEN l.seq % 3 = 0 THEN topic
     ELSE 'we agreed on plan ' || l.seq END AS said
-  FROM ledger_days l WHERE l.seq % 2 = 0 AND l.seq % 11 > 6""")
+  FROM ledger_days l WHERE l.seq % 11 > 6""")
 
 
 @query("j16_summaries_to_units", """

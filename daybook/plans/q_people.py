@@ -152,7 +152,7 @@ def _(spark, base):
   SELECT {slug('name')} AS slug, count(*) AS rows, count(DISTINCT name) AS labels
   FROM (SELECT name FROM contact_rows UNION ALL SELECT name FROM cards
         UNION ALL SELECT replace(name, '#', ' (') || ')' FROM cards
-        UNION ALL SELECT substr(url, 1, 90) FROM pages) GROUP BY 1""")
+        UNION ALL SELECT url FROM pages) GROUP BY 1""")
 def _(spark, base):
     raw = adapt(spark, base, "raw_contacts").filter(
         F.col("raw").contains("@") == (F.col("kind_rank") == 1)).select(X.display_name(
@@ -160,7 +160,7 @@ def _(spark, base):
     cards = adapt(spark, base, "cards").select("name")
     wild = cards.select(F.concat(F.replace("name", F.lit("#"), F.lit(" (")), F.lit(")"))
                         .alias("name"))
-    urls = adapt(spark, base, "pages").select(F.substring("url", 1, 90).alias("name"))
+    urls = adapt(spark, base, "pages").select(F.col("url").alias("name"))
     names = (raw.unionByName(cards).unionByName(wild).unionByName(urls)
              .groupBy("name").agg(F.count(F.lit(1)).alias("rows")))
     return (names.groupBy(X.slug_label(F.col("name")).alias("slug"))
