@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 # --- fixed values: output vocabulary and thresholds ---------------------------------
 OWNER = "(me)"
 UNKNOWN = "(unknown)"
@@ -36,16 +39,16 @@ REOPENED = "re-opened: fresh texts after it was dismissed"
 NOTHING_NEW = "Texts: nothing new to file."
 # --- end of fixed values --------------------------------------------------------------
 
-#: Configured lists travel inside the plan as literals, so their length is checked.
-MAX_LITERAL_LIST = 1_000
-
-
 @dataclass(frozen=True)
 class Settings:
-    """What a run is told: whose handles are the owner's, who is never recorded, the floor."""
+    """What a run is told: whose handles are the owner's, who is never recorded, the floor.
 
-    own_handles: tuple[str, ...]
-    never_ingest: tuple[str, ...] = ()
+    Both lists may be given as values or as a table with a column ``ident``; they are joined
+    either way, so neither has a limit.
+    """
+
+    own_handles: tuple[str, ...] | DataFrame
+    never_ingest: tuple[str, ...] | DataFrame = ()
     zone: str = "UTC"
     min_turns: int = 2
     min_senders: int = 2
@@ -58,10 +61,15 @@ class Settings:
     slice_seconds: int = 300
 
     def __post_init__(self) -> None:
-        if not self.own_handles:
+        own = self.own_handles
+        if own.isEmpty() if isinstance(own, DataFrame) else not own:
             raise ValueError("own_handles is empty: the owner's own messages would be filed "
                              "as somebody else's, so the run is refused")
-        for name in ("own_handles", "never_ingest"):
-            if len(getattr(self, name)) > MAX_LITERAL_LIST:
-                raise ValueError(f"{name} holds more than {MAX_LITERAL_LIST} entries; pass it "
-                                 "as a table instead")
+
+
+def listing(spark: SparkSession, handles: tuple[str, ...] | DataFrame) -> DataFrame:
+    """A configured list as a table of distinct ``ident``."""
+    if isinstance(handles, DataFrame):
+        return handles.select("ident").filter("ident IS NOT NULL").distinct()
+    values = F.array(*map(F.lit, dict.fromkeys(handles))).cast("array<string>")
+    return spark.range(1).select(F.explode(values).alias("ident"))

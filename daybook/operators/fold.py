@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from daybook.config import (I_REACHED_OUT, MUTUAL, OWNER, THEY_REACHED_OUT, UNKNOWN, Settings)
+from daybook.config import (I_REACHED_OUT, MUTUAL, OWNER, THEY_REACHED_OUT, UNKNOWN, Settings,
+                            listing)
 from daybook.functions.text import is_shortcode, normalise_handle, sanitise_body, unit_key
 from daybook.functions.times import local_day
 from daybook.session import durable
@@ -25,21 +26,22 @@ def order_key() -> Column:
     return F.struct(*ORDER)
 
 
-def speaker_key(is_from_me: Column, ident: Column, own: tuple[str, ...]) -> Column:
+def speaker_key(is_from_me: Column, ident: Column, is_own: Column) -> Column:
     """Who spoke.  The flag decides first: on an outbound row the handle is the recipient."""
-    mine = F.coalesce(is_from_me, F.lit(False)) | F.coalesce(ident.isin(*own), F.lit(False))
+    mine = F.coalesce(is_from_me, F.lit(False)) | is_own
     return F.when(mine, F.lit(OWNER)).otherwise(F.coalesce(ident, F.lit(UNKNOWN)))
 
 
 def prepare(messages: DataFrame, settings: Settings) -> DataFrame:
     """Row-level work, all of it narrow: identity, speaker, local day, slice, body length."""
-    ident = normalise_handle(F.col("handle_raw"))
+    own = listing(messages.sparkSession, settings.own_handles).select(
+        F.col("ident").alias("_own"))
+    is_own = F.col("_own").isNotNull()
     return (messages
-            .withColumn("ident", ident)
-            .withColumn("speaker", speaker_key(F.col("is_from_me"), F.col("ident"),
-                                               settings.own_handles))
-            .withColumn("participant", F.when(~F.coalesce(
-                F.col("ident").isin(*settings.own_handles), F.lit(True)), F.col("ident")))
+            .withColumn("ident", normalise_handle(F.col("handle_raw")))
+            .join(own, F.col("ident") == F.col("_own"), "left")
+            .withColumn("speaker", speaker_key(F.col("is_from_me"), F.col("ident"), is_own))
+            .withColumn("participant", F.when(~is_own, F.col("ident"))).drop("_own")
             .withColumn("day", local_day(F.col("sent_at"), settings.zone))
             .withColumn("slice", F.floor(F.unix_timestamp("sent_at")
                                          / settings.slice_seconds).cast("bigint"))
@@ -79,9 +81,10 @@ def voices(prepared: DataFrame) -> DataFrame:
 
 def speakers(voice: DataFrame, settings: Settings) -> DataFrame:
     """One row per (chat, day, speaker), with what the conversation-day needs to know of it."""
-    blocked = (F.col("participant").isin(*settings.never_ingest) if settings.never_ingest
-               else F.lit(False))
-    return voice.groupBy("chat_rowid", "day", "speaker").agg(
+    never = listing(voice.sparkSession, settings.never_ingest).select(
+        F.col("ident").alias("_never"))
+    blocked = F.col("_never").isNotNull()
+    return voice.join(never, F.col("participant") == F.col("_never"), "left").groupBy("chat_rowid", "day", "speaker").agg(
         F.sum("turns").alias("turns"), F.sum("messages").alias("messages"),
         F.sum("chars").alias("chars"), F.min("first_at").alias("first_at"),
         F.coalesce(F.max(blocked), F.lit(False)).alias("blocked"),

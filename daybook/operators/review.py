@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from daybook.config import RECENT_DAYS, REOPENED
+from daybook.config import RECENT_DAYS, REOPENED, listing
 from daybook.functions.text import valid_identifier
 from daybook.operators.ranking import number_rows
 from daybook.operators.resolve import name_matches
@@ -314,7 +314,7 @@ def apply_wrong_matches(checks: DataFrame, queue: DataFrame, stamped: DataFrame)
         .withColumn("reason", F.lit("wrong_match")))
 
 
-def exclude_plan(wanted: DataFrame, own: tuple[str, ...], listed: DataFrame,
+def exclude_plan(wanted: DataFrame, own: tuple[str, ...] | DataFrame, listed: DataFrame,
                  identifiers: DataFrame, queue: DataFrame, held: DataFrame,
                  stamped: DataFrame) -> DataFrame:
     """Per identifier of an excluded person: what changes, what is dropped, what is set aside."""
@@ -324,7 +324,8 @@ def exclude_plan(wanted: DataFrame, own: tuple[str, ...], listed: DataFrame,
     listed_flag = listed.select("ident").distinct().withColumn("_listed", F.lit(True))
     record = identifiers.select("ident", "state", "hold_reason")
     aside = F.col("state").isNotNull() & ~F.col("state").isin("accepted", "dismissed")
-    return (wanted.select("ident").distinct().filter(~F.col("ident").isin(*own))
+    return (wanted.select("ident").distinct()
+            .join(listing(wanted.sparkSession, own), "ident", "left_anti")
             .join(listed_flag, "ident", "left").join(record, "ident", "left")
             .join(q, "ident", "left").join(h, "ident", "left")
             .select("ident", F.when(F.col("_listed"), "unchanged").otherwise("change").alias("plan"),

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from daybook.config import (NO_WORDS, OWNER, TAIL_LINES, UNKNOWN_LABEL, UNNAMED_GROUP_LABEL,
-                            UNREADABLE, Settings)
+from daybook.config import (NO_WORDS, OWNER, TAIL_LINES, UNKNOWN, UNKNOWN_LABEL,
+                            UNNAMED_GROUP_LABEL, UNREADABLE, Settings)
 from daybook.functions.redaction import redacted_line
 from daybook.functions.text import cut_opener, safe_topic, sanitise_body, slug_label, topic_line
 from daybook.functions.times import local_time
@@ -56,22 +56,26 @@ def transcript_link(day: Column, slug: Column, chat: Column) -> Column:
 
 
 def transcript_lines(prepared: DataFrame, linked: DataFrame, spoke: DataFrame,
-                     contacts: DataFrame, settings: Settings) -> DataFrame:
+                     contacts: DataFrame, settings: Settings, *keep: str) -> DataFrame:
     """Every message of the linked conversation-days as one redacted line.
 
     Names and links meet at (chat, day, speaker) first, so the messages are joined once and on a
-    key that spreads: never on the speaker alone, where the owner would be a third of all rows.
+    key that spreads.  The owner and the unknown, who have no contact and are most of the rows,
+    stay out of the join on the speaker alone.
     """
-    names = (spoke.select("chat_rowid", "day", "speaker")
-             .join(linked.select("chat_rowid", "day", "link"), ["chat_rowid", "day"])
-             .join(contact_names(contacts).withColumnRenamed("ident", "speaker"), "speaker", "left"))
+    present = (spoke.select("chat_rowid", "day", "speaker")
+               .join(linked.select("chat_rowid", "day", "link"), ["chat_rowid", "day"]))
+    nobody = F.col("speaker").isin(OWNER, UNKNOWN)
+    names = (present.filter(~nobody).join(
+        contact_names(contacts).withColumnRenamed("ident", "speaker"), "speaker", "left")
+        .unionByName(present.filter(nobody).withColumn("contact", F.lit(None).cast("string"))))
     named = prepared.join(names, ["chat_rowid", "day", "speaker"])
     who = (F.when(F.col("speaker") == OWNER, "Me")
            .otherwise(F.coalesce("contact", "ident", F.lit("Unknown"))))
     shown = (F.when(F.col("text").isNull(), UNREADABLE).otherwise(F.coalesce(
         F.nullif(redacted_line("text"), F.lit("")), F.lit(NO_WORDS))))
     clock = F.date_format(local_time(F.col("sent_at"), settings.zone), "HH:mm")
-    return named.select("chat_rowid", "day", "link", "slice", *ORDER,
+    return named.select("chat_rowid", "day", "link", "slice", *ORDER, *keep,
                         F.concat(clock, F.lit("  "), who, F.lit(": "), shown).alias("line"))
 
 
@@ -97,16 +101,23 @@ def write_transcripts(parts: DataFrame, path: str) -> None:
      .option("partitionOverwriteMode", "dynamic").partitionBy("year", "day").parquet(path))
 
 
-def tails(lines: DataFrame, keep: int = TAIL_LINES) -> DataFrame:
+def tails(prepared: DataFrame, linked: DataFrame, spoke: DataFrame, contacts: DataFrame,
+          settings: Settings, keep: int = TAIL_LINES) -> DataFrame:
     """The last ``keep`` lines of each transcript and how many earlier lines were cut.
 
-    Slices are cut to ``keep`` lines first, so the second numbering sees a bounded group.
+    The rows are chosen on their keys alone; only those kept are joined with their bodies,
+    redacted and rendered.  Slices are cut to ``keep`` rows first, so the second numbering sees a
+    bounded group.
     """
     in_slice = W.partitionBy("chat_rowid", "day", "slice").orderBy(*_descending())
     in_day = W.partitionBy("chat_rowid", "day").orderBy(*_descending())
-    totals = lines.groupBy("chat_rowid", "day").agg(F.count(F.lit(1)).alias("lines"))
-    return (lines.withColumn("back", F.row_number().over(in_slice)).filter(F.col("back") <= keep)
+    last = (prepared.select("chat_rowid", "day", "slice", *ORDER)
+            .withColumn("back", F.row_number().over(in_slice)).filter(F.col("back") <= keep)
             .withColumn("back", F.row_number().over(in_day)).filter(F.col("back") <= keep)
+            .select("chat_rowid", "rowid", "back"))
+    rows = prepared.join(last, ["chat_rowid", "rowid"])
+    totals = spoke.groupBy("chat_rowid", "day").agg(F.sum("messages").alias("lines"))
+    return (transcript_lines(rows, linked, spoke, contacts, settings, "back")
             .groupBy("chat_rowid", "day").agg(
                 F.min("link").alias("link"),
                 F.array_join(F.transform(F.sort_array(
@@ -119,13 +130,15 @@ def tails(lines: DataFrame, keep: int = TAIL_LINES) -> DataFrame:
 def openers(prepared: DataFrame) -> DataFrame:
     """First message of each conversation-day that carries words, redacted, then cut.
 
-    Redaction never turns words into nothing, so the first body is chosen on the cheap
-    sanitised text and only that one row per conversation-day is redacted.
+    The first instant is a hash aggregate of a plain value; only rows of that instant, few and
+    mostly one, are compared with their bodies.  Redaction never turns words into nothing, so
+    only the one row per conversation-day is redacted.
     """
-    worded = (prepared.filter(F.col("chars") > 0)
-              .groupBy("chat_rowid", "day")
-              .agg(F.min(F.struct(*ORDER, "text")).alias("first")))
-    return worded.select("chat_rowid", "day",
+    worded = prepared.filter(F.col("chars") > 0).select("chat_rowid", "day", *ORDER, "text")
+    first = worded.groupBy("chat_rowid", "day").agg(F.min("sent_at").alias("sent_at"))
+    chosen = (worded.join(first.hint("shuffle_hash"), ["chat_rowid", "day", "sent_at"])
+              .groupBy("chat_rowid", "day").agg(F.min(F.struct(*ORDER, "text")).alias("first")))
+    return chosen.select("chat_rowid", "day",
                          cut_opener(redacted_line("first.text")).alias("opener"))
 
 

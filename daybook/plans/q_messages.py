@@ -348,7 +348,9 @@ def _(spark, base):
     string_agg(line, chr(10) ORDER BY line_no) FILTER (WHERE line_no > n - 40) AS shown
   FROM (SELECT *, count(*) OVER (PARTITION BY link) AS n FROM line) GROUP BY link""")
 def _(spark, base):
-    return tr.tails(_lines(spark, base)).select("link", "cut", "shown")
+    f = folded(spark, base)
+    return tr.tails(f["prepared"], f["linked"], f["speakers"], f["contacts"], SETTINGS).select(
+        "link", "cut", "shown")
 
 
 @query("t1_message_order", """

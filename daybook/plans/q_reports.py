@@ -230,8 +230,7 @@ def _(spark, base):
     WHERE e.pos <= 5)""")
 def _(spark, base):
     f = folded(spark, base)
-    shown = tr.tails(tr.transcript_lines(f["prepared"], f["linked"], f["speakers"], f["contacts"],
-                               SETTINGS))
+    shown = tr.tails(f["prepared"], f["linked"], f["speakers"], f["contacts"], SETTINGS)
     days = f["person_days"].select(F.col("ident").alias("person_id"), "ident", "key", "day",
                                    F.lit("on_card").alias("state"), F.lit(0).alias("seq"))
     picked = sh.newest_first(days).select("person_id", "ident", "day", "pos")
@@ -249,10 +248,10 @@ def _(spark, base):
     f = folded(spark, base)
     days, people = sh.open_day_with(f, date(2024, 1, 30))
     linked = tr.labels(days, f["voices"], f["contacts"])
-    lines = tr.transcript_lines(f["prepared"].filter("day = DATE '2024-01-30'"), linked,
-                                f["speakers"], f["contacts"], SETTINGS)
+    shown = tr.tails(f["prepared"].filter("day = DATE '2024-01-30'"), linked, f["speakers"],
+                     f["contacts"], SETTINGS)
     return (people.join(days.select("chat_rowid", "messages"), "chat_rowid")
-            .join(tr.tails(lines).select("chat_rowid", "cut"), "chat_rowid")
+            .join(shown.select("chat_rowid", "cut"), "chat_rowid")
             .select("ident", "chat_rowid", "messages", "cut"))
 
 

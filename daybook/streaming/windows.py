@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from daybook.config import OWNER, UNKNOWN, Settings
+from daybook.config import OWNER, UNKNOWN, Settings, listing
 from daybook.functions.text import is_shortcode, unit_key
 from daybook.functions.times import local_time
 from daybook.operators.fold import direction, prepare
@@ -55,7 +55,10 @@ def stream_chat_days(messages: DataFrame, settings: Settings, delay: str = "3 da
     rows = (prepare(messages, settings)
             .withColumn("local_at", local_time(F.col("sent_at"), settings.zone))
             .withWatermark("local_at", delay))
-    blocked = F.coalesce(F.col("participant").isin(*settings.never_ingest), F.lit(False))
+    never = listing(messages.sparkSession, settings.never_ingest).select(
+        F.col("ident").alias("_never"))
+    rows = rows.join(never, F.col("participant") == F.col("_never"), "left")
+    blocked = F.col("_never").isNotNull()
     slices_ = (rows.groupBy(F.window("local_at", SLICE), "chat_rowid").agg(
         F.sort_array(F.collect_list(F.struct("sent_at", "date_raw", "rowid", "speaker", "chars")))
         .alias("rows"),
