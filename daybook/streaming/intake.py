@@ -124,11 +124,17 @@ def _without_day(batch: DataFrame, spark: SparkSession) -> T.StructType:
     return T.StructType([*batch.schema.fields, T.StructField("day", T.DateType())])
 
 
+_UNITS = _table("ident string, day date, key string, chats long, is_group boolean, turns long, "
+                "their_turns long, my_turns long, messages long, chars long, direction string, "
+                "outbound boolean")
+_ANY = (1 << 63) - 1
+
+
 def current_person_days(spark: SparkSession, home: Home) -> DataFrame:
-    """Each day as the last batch that folded it left it."""
-    last = (spark.read.parquet(home.path("days_read")).filter("folded").groupBy("day")
+    """Each day as the last batch that folded it left it; none before the first closed day."""
+    last = (read_upto(spark, home.path("days_read"), _READ, _ANY).filter("folded").groupBy("day")
             .agg(F.max("batch").alias("batch")))
-    return spark.read.parquet(home.path("person_days")).join(last, ["day", "batch"])
+    return read_upto(spark, home.path("person_days"), _UNITS, _ANY).join(last, ["day", "batch"])
 
 
 _MARK = _table("watermark long, high long, rows_open_day long, "
