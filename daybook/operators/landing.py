@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from daybook.config import SUMMARY_MAX, Settings
 from daybook.functions.text import ARROW_OPEN, safe_topic, strip, word_text
 from daybook.operators.shape import look_up
+from daybook.session import durable
+from daybook.sources.tables import read_upto, write_batch
 
 # --- fixed values: what a card line may not hold -------------------------------------------
 LINE_BREAKS = r"[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
@@ -94,8 +96,10 @@ def limit_landing(outcomes: DataFrame, limit: int) -> DataFrame:
     """Only the first ``limit`` items that would be stamped, in (day, key) order, are; the rest
     of the walk order after the last of them remains for the next run.
 
-    The cut is one (day, key) value found with a distributed top-k, not a global numbering.
+    The cut is one (day, key) value found with a distributed top-k, not a global numbering.  The
+    outcomes are checkpointed, so finding the cut does not work the gates out twice.
     """
+    outcomes = durable(outcomes)
     order = F.struct("day", "key")
     first = (outcomes.filter("outcome = 'stamped'").select(order.alias("at"))
              .orderBy("at").limit(limit))
@@ -125,3 +129,37 @@ def project_changed(interactions: DataFrame, touched: DataFrame) -> DataFrame:
     return interactions.join(touched.select("person_id").distinct(), "person_id", "left_semi")
 
 
+#: Parts of the projected table; a person's rows lie in one, and a part is rewritten whole.
+PROJECTED_PARTS = 64
+
+
+def copy_first_touch(cards: DataFrame, path: str, touched: DataFrame, run: int) -> None:
+    """Add the cards of persons touched for the first time to the table of first copies.
+
+    Insert if absent: a card that an earlier run copied keeps that copy, and a run done again
+    replaces its own part with the same rows.
+    """
+    spark = cards.sparkSession
+    write_batch(first_touch(cards, read_upto(spark, path, cards.schema, run - 1), touched), path,
+                run)
+
+
+def land_copied(outcomes: DataFrame, copies: DataFrame) -> DataFrame:
+    """No copy, no line: lines of persons whose card was not copied first stay behind."""
+    copied = copies.select("person_id").distinct().withColumn("_copied", F.lit(True))
+    return (look_up(outcomes, copied, "person_id", "key", "pointer")
+            .withColumn("outcome", F.when(
+                (F.col("outcome") == "stamped") & F.col("_copied").isNull(), "failure: no copy")
+                .otherwise(F.col("outcome"))).drop("_copied"))
+
+
+def _part(person: str) -> Column:
+    return F.pmod(F.xxhash64(person), F.lit(PROJECTED_PARTS)).cast("int")
+
+
+def write_projection(interactions: DataFrame, touched: DataFrame, path: str) -> None:
+    """Rewrite exactly the parts of the projected table that hold a touched person."""
+    parts = touched.select(_part("person_id").alias("part")).distinct()
+    (interactions.withColumn("part", _part("person_id")).join(parts, "part", "left_semi")
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part")
+     .parquet(path))

@@ -11,6 +11,7 @@ from daybook.config import (HEADLINE_MAX, HEALTHY_RATE, ITEM_MAX, NOTHING_NEW, O
                             Settings)
 from daybook.functions.text import cap_line, normalise_handle, scrub_line, strip
 from daybook.operators.backfill import estimate, tranche_no
+from daybook.operators.ranking import number_rows
 from daybook.operators.shape import side_by_side
 
 
@@ -43,6 +44,14 @@ def own_handle_evidence(message: DataFrame, membership: DataFrame, chat: DataFra
                     F.col("labelled").isNotNull().alias("labelled")))
 
 
+def rank_own_handles(evidence: DataFrame) -> DataFrame:
+    """Candidates in the order they are offered: most sent from, most chats, most addressed,
+    those a profile names first, then by handle."""
+    return number_rows(evidence, [F.col("messages").desc(), F.col("conversations").desc(),
+                                  F.col("addressed").desc(), F.col("labelled").desc(),
+                                  F.col("handle").asc()], "rank")
+
+
 def decode_health(sample: DataFrame) -> DataFrame:
     """Share of a sample whose body holds words; healthy at nine in ten."""
     readable = F.count_if(F.length(strip(F.col("text"))) > 0)

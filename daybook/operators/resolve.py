@@ -6,6 +6,7 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,10 +172,13 @@ def match_people(queries: DataFrame, people: DataFrame) -> DataFrame:
     the query's rarest word alone: a word that names half the directory is never the join key
     while a rarer one exists.
     """
-    asked, known = _tokens(queries, "query_id", "query"), _tokens(people, "person_id", "name")
+    asked = durable(_tokens(queries, "query_id", "query"))
+    known = durable(_tokens(people, "person_id", "name"))
+    # Only two letters or more open a longer word, so a lone letter never stands for a prefix.
     opening = known.select("person_id", F.explode(F.array_distinct(F.flatten(F.transform(
-        "words", lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w)), lambda n: F.substring(w, F.lit(1), n)))))
+        "words", lambda w: F.when(F.length(w) < 2, F.array(w)).otherwise(F.transform(
+            F.sequence(F.lit(2), F.greatest(F.length(w), F.lit(2))),
+            lambda n: F.substring(w, F.lit(1), n))))))
         ).alias("opening"))
     frequency = opening.groupBy("opening").agg(F.count(F.lit(1)).alias("people"))
     rarest = (asked.select("query_id", F.explode(F.array_distinct("words")).alias("opening"))
@@ -190,10 +194,9 @@ def match_people(queries: DataFrame, people: DataFrame) -> DataFrame:
             .when(F.forall("q", lambda w: (F.length(w) >= 2)
                            & F.exists("n", lambda h: h.startswith(w))), 1).otherwise(0))
     scored = pairs.withColumn("tier", tier).filter("tier > 0")
-    best = (scored.groupBy("query_id", "tier").agg(F.count(F.lit(1)).alias("matches"))
-            .groupBy("query_id").agg(F.max(F.struct("tier", "matches")).alias("b"))
-            .select("query_id", "b.tier", "b.matches"))
-    return (scored.join(best, ["query_id", "tier"])
+    return (scored.withColumn("top", F.max("tier").over(W.partitionBy("query_id")))
+            .filter(F.col("tier") == F.col("top"))
+            .withColumn("matches", F.count(F.lit(1)).over(W.partitionBy("query_id")))
             .select("query_id", "person_id", "name", "tier",
                     F.when(F.col("matches") > 1, "ambiguous").otherwise("one").alias("status")))
 

@@ -12,12 +12,16 @@ from daybook.functions.text import valid_identifier
 from daybook.operators.ranking import number_rows
 from daybook.operators.resolve import name_matches
 from daybook.operators.shape import look_up
+from daybook.session import durable
 
 # --- fixed values: section order and the created-person log line ---------------------------------
 SECTIONS = ("attach", "known", "new", "bare", "not_a_number", "ambiguous")
 CREATED = r"^created person ([a-z0-9][a-z0-9-]*) from new_stub$"
 # --- end of fixed values -----------------------------------------------------------------------------
 
+#: Why every step of a batch is refused whose list is not the one shown.
+LIST_CHANGED = "the list has changed"
+
 
 def dismissal_days(log: DataFrame) -> DataFrame:
     """The latest logged dismissal day of each proposal."""
@@ -258,24 +262,52 @@ def listing_fingerprint(ranked: DataFrame) -> DataFrame:
                                        *[f"s{i}" for i in range(4)]), 256).alias("token"))
 
 
-def decisions_to_listing(decisions: DataFrame, ranked: DataFrame) -> DataFrame:
-    """Each decision with its row and the reason it must be refused (NULL when it may go on)."""
+def decisions_to_listing(decisions: DataFrame, ranked: DataFrame, cards: DataFrame) -> DataFrame:
+    """Each decision with its row and the reason it must be refused (NULL when it may go on).
+
+    A given name that is already a card's sends the row to that card, never to a second one.
+    """
     per_label = decisions.groupBy("label").agg(F.count_distinct("action").alias("actions"))
     joined = decisions.withColumnRenamed("name", "decided_name").join(per_label, "label").join(
         ranked.select("label", "ident", "section", "target", "can_accept", "needs_name"),
         "label", "left")
+    named = name_matches(decisions.filter("name IS NOT NULL").select(
+        F.col("name").alias("ident"), "name").distinct(), cards).select(
+        F.col("ident").alias("decided_name"), F.col("candidates").alias("cards_named"),
+        F.col("lo").alias("named_card"))
+    joined = look_up(joined, named, "decided_name", "label", "action")
     c, accept = F.col, F.col("action") == "accept"
     refusal = _case([
         (c("ident").isNull(), F.lit("no such row")),
         (c("actions") > 1, F.lit("accepted and dismissed")),
+        (~accept & c("decided_name").isNotNull(), F.lit("the name is for a row not added")),
         (accept & c("decided_name").isNotNull() & ~c("section").isin("new", "bare"),
          F.lit("the row already has a card")),
         (accept & ~c("can_accept") & ~c("needs_name"), F.lit("cannot be accepted")),
-        (accept & c("needs_name") & c("decided_name").isNull(), F.lit("needs a name"))])
+        (accept & c("needs_name") & c("decided_name").isNull(), F.lit("needs a name")),
+        (accept & (c("cards_named") > 1), F.lit("several cards have that name"))])
+    attach = F.when(accept & (c("cards_named") == 1), c("named_card"))
     return (joined.withColumn("refusal", refusal)
+            .withColumn("target", F.coalesce("target", attach))
             .select("label", "action", "decided_name", "ident", "section", "target", "refusal"))
 
 
+def whole_batch(steps: DataFrame, ranked: DataFrame, token: str) -> DataFrame:
+    """The steps of one batch, all of them refused if any is or if the list has changed.
+
+    ``token`` is the fingerprint of the list that was shown.  The batch's own reason, that of
+    its first refused row, is one value found by a top-1 and set beside every step.
+    """
+    batch = durable(steps)
+    first = (batch.filter("refusal IS NOT NULL").orderBy("label", "action").limit(1)
+             .agg(F.max("refusal"))).scalar()
+    now = listing_fingerprint(ranked).agg(F.max("token")).scalar()
+    return (batch.withColumn("_first", first).withColumn("_now", now)
+            .withColumn("refusal", F.when(F.col("_now") != token, LIST_CHANGED)
+                        .otherwise(F.coalesce("refusal", "_first")))
+            .drop("_first", "_now"))
+
+
 def dismiss_below(ranked: DataFrame, row: int) -> DataFrame:
     """A dismissal for every row under ``row``."""
     return ranked.filter(F.col("label") > row).select(

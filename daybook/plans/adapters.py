@@ -316,7 +316,8 @@ ADAPTERS: dict[str, tuple[tuple[str, ...], str]] = {
         FROM ledger_days WHERE seq % 7 IN (0, 1)"""),
     "decisions": (("labels",), """
         SELECT doc_id + 1 AS label, 'accept' AS action,
-          CASE WHEN doc_id % 3 = 0 THEN concat('Jane ', CAST(doc_id AS STRING)) END AS name
+          CASE WHEN doc_id % 6 = 0 THEN concat('Customer#', lpad(CAST(doc_id + 1 AS STRING), 9, '0'))
+            WHEN doc_id % 3 = 0 THEN concat('Jane ', CAST(doc_id AS STRING)) END AS name
         FROM labels WHERE quality = 1
         UNION ALL
         SELECT doc_id + 1, 'dismiss', CAST(NULL AS STRING) FROM labels

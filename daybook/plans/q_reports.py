@@ -27,7 +27,7 @@ from daybook.sources import people as pp
 FIRST, LAST = date(2024, 1, 1), date(2024, 1, 28)
 
 
-@query("a9_own_handle_evidence", f"""
+block("own_evidence", f"""
   SELECT handle, CAST(coalesce(sum(n) FILTER (WHERE kind = 1), 0) AS BIGINT) AS messages,
     CAST(coalesce(sum(n) FILTER (WHERE kind = 2), 0) AS BIGINT) AS conversations,
     CAST(coalesce(sum(n) FILTER (WHERE kind = 3), 0) AS BIGINT) AS addressed,
@@ -41,12 +41,26 @@ FIRST, LAST = date(2024, 1, 1), date(2024, 1, 28)
     UNION ALL SELECT unnest(regexp_extract_all(
         regexp_extract(text, '\\*\\*Email[^~]*', 0), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{{2,}}')),
       4, 1 FROM profile_text) WHERE raw IS NOT NULL) WHERE handle IS NOT NULL GROUP BY handle""")
-def _(spark, base):
+
+
+def _evidence(spark, base):
     message, membership, chat, _ = stores(spark, base)
     return rp.own_handle_evidence(message, membership, chat, pp.labelled_addresses(
         adapt(spark, base, "profile_text")))
 
 
+@query("a9_own_handle_evidence", "SELECT * FROM own_evidence")
+def _(spark, base):
+    return _evidence(spark, base)
+
+
+@query("t5_own_handle_ranking", """
+  SELECT handle, row_number() OVER (ORDER BY messages DESC, conversations DESC, addressed DESC,
+    labelled DESC, handle) AS rank FROM own_evidence""")
+def _(spark, base):
+    return rp.rank_own_handles(_evidence(spark, base)).select("handle", "rank")
+
+
 @query("a11_decode_health", """
   SELECT count(*) AS sampled, count(*) FILTER (WHERE length(trim(text)) > 0) AS readable,
     count(*) FILTER (WHERE length(trim(text)) > 0) / count(*) AS rate,

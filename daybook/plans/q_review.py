@@ -268,7 +268,8 @@ def _(spark, base):
 
 
 block("step", """
-  SELECT d.label, d.action, d.name AS decided_name, r.ident, r.section, r.target,
+  SELECT d.label, d.action, d.name AS decided_name, r.ident, r.section,
+    coalesce(r.target, CASE WHEN d.action = 'accept' THEN k.person_id END) AS target,
     CASE WHEN r.ident IS NULL THEN 'no such row'
       WHEN (SELECT count(DISTINCT e.action) FROM decisions e WHERE e.label = d.label) > 1
         THEN 'accepted and dismissed'
@@ -276,12 +277,13 @@ block("step", """
         THEN 'the row already has a card'
       WHEN d.action = 'accept' AND NOT r.can_accept AND NOT r.needs_name THEN 'cannot be accepted'
       WHEN d.action = 'accept' AND r.needs_name AND d.name IS NULL THEN 'needs a name' END AS refusal
-  FROM decisions d LEFT JOIN ranked r ON r.label = d.label""")
+  FROM decisions d LEFT JOIN ranked r ON r.label = d.label LEFT JOIN cards k ON k.name = d.name""")
 
 
 def steps(spark, base):
     f = ranked(spark, base)
-    f["steps"] = rv.decisions_to_listing(adapt(spark, base, "decisions"), f["ranked"])
+    f["steps"] = rv.decisions_to_listing(adapt(spark, base, "decisions"), f["ranked"],
+                                         adapt(spark, base, "cards"))
     return f
 
 
@@ -291,6 +293,24 @@ def _(spark, base):
     return steps(spark, base)["steps"]
 
 
+@query("j17_whole_batch", """
+  SELECT 'all' AS batch, label, action, coalesce(refusal, (SELECT arg_min(refusal, label * 2
+      + CASE action WHEN 'accept' THEN 0 ELSE 1 END) FROM step WHERE refusal IS NOT NULL)) AS refusal
+  FROM step
+  UNION ALL SELECT 'good', label, action, NULL FROM step WHERE refusal IS NULL
+  UNION ALL SELECT 'late', label, action, 'the list has changed' FROM step WHERE refusal IS NULL""")
+def _(spark, base):
+    """One batch with refusals, one without, and one made for a list that has changed since."""
+    f = steps(spark, base)
+    good = f["steps"].filter("refusal IS NULL")
+    token = rv.listing_fingerprint(f["ranked"]).first()["token"]
+    batches = [rv.whole_batch(rows, f["ranked"], code).select(
+        F.lit(name).alias("batch"), "label", "action", "refusal")
+        for name, rows, code in (("all", f["steps"], token), ("good", good, token),
+                                 ("late", good, "another list"))]
+    return batches[0].unionByName(batches[1]).unionByName(batches[2])
+
+
 @query("t7_dismiss_below", """
   SELECT label, ident FROM ranked WHERE label > 40""")
 def _(spark, base):

@@ -1,10 +1,33 @@
-"""Parquet tables by name, with only the columns asked for."""
+"""Parquet tables: given ones by name, and growing ones written batch by batch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, base: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{base}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def read_upto(spark: SparkSession, path: str, schema: T.StructType, batch_id: int,
+              since: int = 0) -> DataFrame:
+    """Rows of a growing table that batches ``since`` .. ``batch_id`` wrote, ``batch`` included."""
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], full)
+    return (spark.read.schema(full).parquet(path)
+            .filter(F.col("batch").between(since, batch_id)))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
+def write_batch(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
+    """Write this batch's partition of a growing table; a second run replaces it."""
+    (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path))

@@ -24,7 +24,7 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
     class HoldProcessor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.person = handle.getValueState("person", "resolved boolean")
+            self.person = handle.getValueState("person", "resolved_ms long")
             self.held = handle.getMapState("held", "key string", "at_ms long")
             self.queued = handle.getMapState("queued", "key string", "due_ms long")
             self.leases = handle.getMapState("leases", "key string", "until_ms long")
@@ -38,14 +38,20 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
             out.append((ident, key, "queued", pd.Timestamp(at_ms, unit="ms")))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-            ident, out = key[0], []
-            events = pd.concat(list(rows)).sort_values(["at", "rank", "key"])
+            # A day goes out on the later of its own time and the resolution's, whichever comes
+            # first, so the pieces of a batch are taken one by one, in any order.
+            for piece in rows:
+                yield self._take(key[0], piece.sort_values(["at", "rank", "key"]))
+
+        def _take(self, ident: str, events: pd.DataFrame) -> pd.DataFrame:
+            out = []
             for e in events.itertuples():
                 at_ms = int(e.at.timestamp() * 1000)
                 if e.kind == "resolved":
-                    self.person.update((True,))
-                    for (held_key,), _ in list(self.held.iterator()):
-                        self._queue(ident, held_key, at_ms, out)
+                    if not self.person.exists():
+                        self.person.update((at_ms,))
+                    for (held_key,), (held_ms,) in list(self.held.iterator()):
+                        self._queue(ident, held_key, max(at_ms, held_ms), out)
                     self.held.clear()
                 elif e.kind == "lease":
                     known = self.leases.getValue((e.key,)) if self.leases.containsKey((e.key,)) \
@@ -53,10 +59,10 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
                     until = int(e.until.timestamp() * 1000)
                     self.leases.updateValue((e.key,), (max(known[0], until),))
                 elif self.person.exists():
-                    self._queue(ident, e.key, at_ms, out)
+                    self._queue(ident, e.key, max(at_ms, self.person.get()[0]), out)
                 elif not self.held.containsKey((e.key,)):
                     self.held.updateValue((e.key,), (at_ms,))
-            yield pd.DataFrame(out, columns=["ident", "key", "outcome", "at"])
+            return pd.DataFrame(out, columns=["ident", "key", "outcome", "at"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             # A lease that ended before the watermark blocks nothing any more, so what counts is
@@ -72,6 +78,8 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
                     self.handle.registerTimer(until)
                     continue
                 self.queued.removeKey((unit,))
+                if self.leases.containsKey((unit,)):  # nothing asks for it any more
+                    self.leases.removeKey((unit,))
                 out.append((key[0], unit, "stale", pd.Timestamp(now, unit="ms")))
             yield pd.DataFrame(out, columns=["ident", "key", "outcome", "at"])
 

@@ -22,6 +22,7 @@ from daybook.functions.times import day_start, local_day
 from daybook.operators import fold as fo
 from daybook.operators.backfill import resume_from
 from daybook.operators.landing import landing_outcomes
+from daybook.sources.tables import read_upto, write_batch
 
 
 @dataclass(frozen=True)
@@ -34,27 +35,6 @@ class Home:
         return f"{self.base}/{table}"
 
 
-def read_upto(spark: SparkSession, path: str, schema: T.StructType, batch_id: int,
-              since: int = 0) -> DataFrame:
-    """Rows of a growing table that batches ``since`` .. ``batch_id`` wrote, ``batch`` included."""
-    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
-    if not _exists(spark, path):
-        return spark.createDataFrame([], full)
-    return (spark.read.schema(full).parquet(path)
-            .filter(F.col("batch").between(since, batch_id)))
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-
-
-def write_batch(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
-    """Write this batch's partition of a growing table; a second run replaces it."""
-    (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch", *by).parquet(path))
-
-
 def _table(columns: str) -> T.StructType:
     """A schema from ``name type`` pairs; unlike DDL it needs no session."""
     types = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(),

@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from daybook.operators import transcripts as tr
 from daybook.plans.adapters import SETTINGS, adapt
 from daybook.plans.q_messages import folded
+from daybook.sources.tables import exists
 from daybook.streaming import intake as it
 from tools.check import TABLES, table_of
 
@@ -62,7 +63,7 @@ def test_intake_batch_twice_is_once(spark):
     today = dt.date(2024, 1, 20)
     for batch in (0, 1, 1, 0):  # the last two are re-runs of what already happened
         part = messages.filter(F.col("rowid") % 2 == batch)
-        if batch == 0 and it._exists(spark, home.path("queue")):
+        if batch == 0 and exists(spark, home.path("queue")):
             continue
         it.intake_batch(part, batch, home, SETTINGS, today)
     queue = spark.read.parquet(home.path("queue"))
