@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from daybook.llm.texts import ragged, steps, text_columns
+from daybook.llm.texts import steps, text_columns
 
 #: Rows per language, and in all, that are fitted on at most: those whose id hashes lowest.
 ROWS_PER_LANGUAGE = 600
@@ -27,41 +27,39 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
-def subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, text number) of every subword, and which texts hold a letter.
+def subwords(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """(bucket, text number) of every subword, one pair of arrays per length, and which texts
+    hold a letter.
 
     A subword is 2 to 4 consecutive letters of a word, lower-cased, its ends marked.
     """
+    if not texts:
+        return [], np.zeros(0, dtype=bool)
     lowered = [t.lower() for t in texts]
     lengths = np.fromiter((len(t) + 1 for t in lowered), dtype=np.int64, count=len(texts))
-    _, row = ragged(lengths)
+    row = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     joined = "\n".join(lowered) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[code] if len(texts) else np.zeros(0, dtype=bool)
-    code, row = (code, row) if len(texts) else (code[:0], row)
+    letter = _letters()[code]
     has = np.bincount(row[letter], minlength=len(texts)) > 0
-    keep = letter | np.r_[False, letter[:-1]][:len(letter)] | np.r_[letter[1:], False][:len(letter)]
+    keep = letter | np.r_[False, letter[:-1]] | np.r_[letter[1:], False]
     symbol = np.where(letter, code, 0)[keep].astype(np.uint64)
     row, inner = row[keep], letter[keep]
-    buckets, owners = [], []
+    out = []
     for size in SIZES:
         n = len(symbol) - size + 1
         if n <= 0:
             continue
         mixed = symbol[:n].copy()
-        whole = np.ones(n, dtype=bool)
+        whole = inner[:n] | inner[size - 1:size - 1 + n]
         for k in range(1, size):
-            mixed = mixed * np.uint64(0x100000001B3) + symbol[k:k + n]
+            mixed *= np.uint64(0x100000001B3)
+            mixed += symbol[k:k + n]
             if k < size - 1:
                 whole &= inner[k:k + n]
-        whole &= inner[:n] | inner[size - 1:size - 1 + n]
-        middle = row[1:n + 1]
         mixed = (mixed[whole] + np.uint64(size)) * np.uint64(0x9E3779B97F4A7C15)
-        buckets.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
-        owners.append(middle[whole])
-    if not buckets:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), has
-    return np.concatenate(buckets), np.concatenate(owners), has
+        out.append(((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32), row[1:n + 1][whole]))
+    return out, has
 
 
 @dataclass(frozen=True)
@@ -75,11 +73,15 @@ class LanguageModel:
     reject_below: float
 
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        bucket, owner, has = subwords(texts)
-        total = np.bincount(owner, minlength=len(texts)).clip(min=1)
-        sums = np.stack([np.bincount(owner, weights=self.table[bucket, k], minlength=len(texts))
-                         for k in range(len(self.languages))], axis=1)
-        return sums / total[:, None] + self.offset, has
+        found, has = subwords(texts)
+        total = np.zeros(len(texts))
+        sums = np.zeros((len(texts), len(self.languages)))
+        for bucket, owner in found:
+            total += np.bincount(owner, minlength=len(texts))
+            for k in range(len(self.languages)):
+                sums[:, k] += np.bincount(owner, weights=self.table[bucket, k],
+                                          minlength=len(texts))
+        return sums / np.maximum(total, 1)[:, None] + self.offset, has
 
     def probabilities(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         z, has = self.logits(texts)
@@ -106,8 +108,11 @@ def _snippets(text: str, rng: np.random.Generator) -> list[str]:
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets, share of each) of every text."""
-    bucket, owner, _ = subwords(texts)
-    code, times = np.unique((owner << BUCKET_BITS) | bucket, return_counts=True)
+    found, _ = subwords(texts)
+    code, times = np.unique(np.concatenate(
+        [np.zeros(0, dtype=np.int64),
+         *((owner.astype(np.int64) << BUCKET_BITS) | bucket for bucket, owner in found)]),
+        return_counts=True)
     starts = np.searchsorted(code >> BUCKET_BITS, np.arange(len(texts) + 1))
     code = (code & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
     return [(code[a:b], (times[a:b] / max(1, times[a:b].sum())).astype(np.float32))

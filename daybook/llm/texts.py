@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from daybook.session import checkpoint_dir
 
 #: Code points that one vectorised step works on at most; a longer text is a step of its own.
-STEP_CHARS = 3_000_000
+STEP_CHARS = 1_000_000
 
 
 def crc_fold(ident: str | Column, folds: int) -> Column:
