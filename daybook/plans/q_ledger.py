@@ -262,6 +262,16 @@ def _(spark, base):
     return _landing(spark, base, items).select("seq", "key", "outcome")
 
 
+@query("k4_no_copy_no_line", f"""
+  SELECT seq, key, CASE WHEN outcome = 'stamped' AND CAST(substr(person_id, 5) AS BIGINT) % 2 = 1
+    THEN 'failure: no copy' ELSE outcome END AS outcome
+  FROM (SELECT i.*, {_OUTCOME} AS outcome FROM item_t i)""")
+def _(spark, base):
+    copies = adapt(spark, base, "cards").filter("CAST(substr(person_id, 5) AS BIGINT) % 2 = 0")
+    items = items_of(state_tables(spark, base)["queue"])
+    return la.land_copied(_landing(spark, base, items), copies).select("seq", "key", "outcome")
+
+
 @query("p9_stale_landing", f"""
   SELECT seq, CASE WHEN done >= 200 THEN 'remaining' ELSE outcome END AS outcome FROM (
     SELECT *, count(*) FILTER (WHERE outcome = 'stamped') OVER (ORDER BY day, key
