@@ -96,3 +96,16 @@ def test_scan_adds_to_the_base_and_takes_nothing_away(bodies):
     assert rows[8]["spans"] == "learned:7:31" and rows[8]["n_assign"] == 0
     assert rows[0]["spans"] == "" and rows[0]["base_sha256"] == rows[8]["base_sha256"]
     assert sc.scan_secrets(messages.limit(0), net).count() == 0
+
+
+def test_threshold_follows_recall_under_one_half():
+    rows, label = sc.made_findings(300, seed=2)
+    secret = [r for r, s in zip(rows, label) if s]
+    rng = np.random.default_rng(4)
+    # A third of what looks like a secret is one: no finding can score far over a third.
+    label = (rng.random(3 * len(secret)) < 0.33).astype(float)
+    net = sc.fit_network(secret * 3, label)
+    assert 0 < net.threshold < 0.5 and 0.2 < net.precision < 0.5
+    held = np.random.default_rng(3).random(len(label)) < 0.2
+    score = net.probability([r for r, h in zip(secret * 3, held) if h])
+    assert (score[label[held] == 1] >= net.threshold).mean() >= 0.98
