@@ -14,6 +14,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from daybook.llm.texts import steps
 from daybook.llm.token_counts import PRE_TOKEN, byte_letters
@@ -56,10 +57,24 @@ def _encoder(path: str) -> tuple[tiktoken.Encoding, dict[str, int]]:
                              special_tokens=special), special
 
 
+@lru_cache(maxsize=2)
+def _whole_encoder(path: str) -> Tokenizer:
+    """The library's own encoder: slower, but without a limit on a run of blanks."""
+    return Tokenizer.from_file(path)
+
+
 def token_ids(text: str, path: str, end: int = 0) -> np.ndarray:
-    """Ids of the whole text, special strings as their own ids, then ``end``."""
+    """Ids of the whole text, special strings as their own ids, then ``end``.
+
+    A text that the fast encoder refuses, such as one with a million blanks in a row, is encoded
+    by the slower one, which gives the same ids.
+    """
     encoding, special = _encoder(path)
-    ids = encoding.encode_to_numpy(text, allowed_special=set(special), disallowed_special=())
+    try:
+        ids = encoding.encode_to_numpy(text, allowed_special=set(special), disallowed_special=())
+    except ValueError:
+        ids = np.array(_whole_encoder(path).encode(text, add_special_tokens=False).ids,
+                       dtype=np.uint32)
     return np.append(ids, np.uint32(end)).astype("<u4")
 
 

@@ -60,3 +60,9 @@ def test_cut_and_empty(bodies):
     assert pack_messages(bodies().limit(0), PATH).count() == 0
     rows = pack_messages(bodies("a b", "a b", rowids=[3, 3]), PATH).collect()
     assert sorted(r["offset"] for r in rows) == [0, 3]
+
+
+def test_over_a_million_blanks_in_a_row(bodies):
+    texts = ["a" + " " * 1_200_000 + "b <|endoftext|>", "after it"]
+    rows = pack_messages(bodies(*texts), PATH).collect()
+    check_packing(rows, texts, 2048)
