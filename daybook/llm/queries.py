@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from daybook.llm.contamination import contained_items
 from daybook.llm.language import fit_message_language, identify_languages
+from daybook.llm.middles import fill_in_middle, restore_messages
 from daybook.llm.near_copies import near_copies
 from daybook.llm.packing import pack_messages
 from daybook.llm.repeated_passages import remove_repeated_passages
@@ -106,6 +107,51 @@ def op8_repeated_passages(spark: SparkSession, base: str) -> DataFrame:
     return remove_repeated_passages(documents(spark, base)).withColumnRenamed("rowid", "doc_id")
 
 
+@query
+def op11_fill_in_middle(spark: SparkSession, base: str) -> DataFrame:
+    samples = restore_messages(fill_in_middle(documents(spark, base)))
+    return samples.select(F.col("rowid").alias("doc_id"), "n", "form", "prefix_chars",
+                          "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                          F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLES["op11_fill_in_middle"] = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS d,
+         regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS units
+  FROM documents),
+cut AS (
+  SELECT doc_id, text, units, len(units)::BIGINT AS n,
+         ('0x' || substr(d, 1, 8))::BIGINT % (len(units) + 1) AS c1,
+         ('0x' || substr(d, 9, 8))::BIGINT % (len(units) + 1) AS c2,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>')
+                OR contains(text, '<M>') OR ('0x' || substr(d, 17, 8))::BIGINT % 100 >= 100
+              THEN 'plain'
+              WHEN ('0x' || substr(d, 25, 8))::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn),
+pieces AS (
+  SELECT doc_id, text, n, form,
+         coalesce(array_to_string(units[1:least(c1, c2)], ''), '') AS p,
+         coalesce(array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS m,
+         coalesce(array_to_string(units[greatest(c1, c2) + 1:n], ''), '') AS s
+  FROM cut),
+samples AS (
+  SELECT doc_id, n, form, length(p) AS prefix_chars, length(m) AS middle_chars,
+         CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                   ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output
+  FROM pieces)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN prefix_chars END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN middle_chars END AS middle_chars,
+       sha256(output) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN output
+         WHEN 'psm' THEN split_part(substr(output, 4), '<S>', 1) || split_part(output, '<M>', 2)
+                         || split_part(split_part(output, '<S>', 2), '<M>', 1)
+         ELSE split_part(split_part(output, '<P>', 2), '<M>', 1) || split_part(output, '<M>', 2)
+              || split_part(substr(output, 4), '<P>', 1) END) AS restored_sha256
+FROM samples
+"""
+
+
 @query
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     import corpus_pipeline  # it stands at the top of the repository and imports this package
