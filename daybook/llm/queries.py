@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from daybook.llm.close_vectors import close_vectors
 from daybook.llm.contamination import contained_items
 from daybook.llm.language import fit_message_language, identify_languages
 from daybook.llm.middles import fill_in_middle, restore_messages
@@ -152,6 +153,11 @@ FROM samples
 """
 
 
+@query
+def op12_close_vectors(spark: SparkSession, base: str) -> DataFrame:
+    return close_vectors(spark.read.parquet(f"{base}/embeddings.parquet"))
+
+
 @query
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     import corpus_pipeline  # it stands at the top of the repository and imports this package
