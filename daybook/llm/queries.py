@@ -18,6 +18,7 @@ from daybook.llm.repeated_passages import remove_repeated_passages
 from daybook.llm.repetition import repetition_verdicts
 from daybook.llm.rule_ensemble import fit_rule_ensemble, rate_messages
 from daybook.llm.secret_scan import fit_secret_network, labelled_findings, scan_secrets
+from daybook.llm.spelling import message_words, spelling_variants
 from daybook.llm.suffix_tree import fit_suffix_tree, score_messages
 from daybook.llm.texts import crc_fold
 from daybook.llm.token_counts import count_message_tokens
@@ -158,6 +159,18 @@ def op12_close_vectors(spark: SparkSession, base: str) -> DataFrame:
     return close_vectors(spark.read.parquet(f"{base}/embeddings.parquet"))
 
 
+@query
+def op13_spelling_variants(spark: SparkSession, base: str) -> DataFrame:
+    words = message_words(documents(spark, base))
+    drawn = F.crc32(F.concat(F.coalesce(F.col("rowid").cast("string"), F.lit("")), F.lit(":"),
+                             "word").cast("binary"))
+    slip = "concat(left(word, cast(h % length(word) AS int)), " \
+           "substring(word, cast(h % length(word) AS int) + 2))"
+    slipped = words.withColumn("h", drawn).select(
+        F.expr(f"if(h % 199 = 0, {slip}, word)").alias("word"))
+    return spelling_variants(slipped)
+
+
 @query
 def pipeline(spark: SparkSession, base: str) -> DataFrame:
     import corpus_pipeline  # it stands at the top of the repository and imports this package
