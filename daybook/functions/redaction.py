@@ -1,5 +1,10 @@
 """Secret-shaped spans in a body, found and replaced inside the JVM.
 
+Most of a text can't be part of a hit.  One cheap pass finds the anchors (four digits in a row, the
+beginnings of the secret nouns), a window is cut around each, and the patterns run on the windows
+alone.  A window ends where no hit can reach across: at the end of a sentence that no open quote
+spans, or after more words than any pattern takes.
+
 Every pattern has three parts: what leads up to the secret (group 1), the secret (group 2)
 and, where a match must also read on, what follows (group 3).  ``regexp_replace`` brackets
 the secret with two private-use characters, so the pieces of a ``split`` on them give exact
@@ -80,7 +85,16 @@ PATTERNS: tuple[tuple[str, str, str, str], ...] = (
 # --- end of fixed values ----------------------------------------------------------------
 
 OPEN, CLOSE = "\ue000", "\ue001"
-#: Nothing can hit without four digits in a row or a secret noun; tested first, on the raw text.
+#: Every hit holds four digits in a row or the beginning of a secret noun.
+#: One class of first characters comes before anything else, so other places cost one test.
+_ANCHOR = r"(?U)[\dpPcC](?:(?<=\d)\d{3,}|(?<=\b[pPcC])(?iu:ass|in|omb|ode))"
+#: Characters looked at on either side of an anchor, and the words among them that are more than
+#: any hit spans (at most 48 runs of white space, of any length); with fewer, all is looked at.
+_REACH, _WORDS = 600, 64
+#: The end of a sentence with no quote in the 42 characters before it: of all patterns only a quoted
+#: value, 40 characters long at most, spans such a place.  So many are always left next to an anchor.
+_SENTENCE_END = r"[.!?;](?<![\"'].{0,42})\s"
+_NEXT_END, _LAST_END = rf"(?s)^.{{43,}}?{_SENTENCE_END}", rf"(?s)^.{{43,}}{_SENTENCE_END}"
 _NUMERIC_GATE = r"(?U)\d{4}"
 _NOUN_GATE = r"(?iU)pass|pin|comb|code"
 #: Per pattern, what its text must hold, as a test on the lower-cased copy ``f`` (words) or by a
@@ -156,9 +170,56 @@ def _settled(body: str) -> str:
         a -> a.hits) END)[0]"""
 
 
-def _gated(body: str, work: str, rest: str) -> str:
-    return (f"CASE WHEN {body} RLIKE {_text(_NUMERIC_GATE)} OR {body} RLIKE {_text(_NOUN_GATE)} "
-            f"THEN {work} ELSE {rest} END")
+def _reach(near: str, kept: str) -> str:
+    """How much of a piece of text ``p`` belongs to the window of the anchor at one end of it.
+
+    ``near`` is the part next to the anchor that is looked at, ``kept`` the length of ``t``, which
+    is that part, up to a sentence end (that of all of it, or 0, if there is none).
+    """
+    chosen = f"""CASE WHEN k BETWEEN 1 AND length(t) - 1 THEN k
+      WHEN length(p) <= {_REACH} OR regexp_count(t, '\\\\S\\\\s') < {_WORDS} THEN length(p)
+      ELSE {_REACH} END"""
+    return _bound(near, "t", _bound(kept, "k", chosen))
+
+
+def _marked(body: str) -> str:
+    """The sentinel-free body with its anchors bracketed."""
+    return f"regexp_replace({body}, {_text(_ANCHOR)}, {_text(f'{OPEN}$0{CLOSE}')})"
+
+
+def _windows(marked: str) -> str:
+    """Disjoint (start, size) windows of the unbracketed text that hold every anchor and every hit.
+
+    Split at its anchors, the text is pieces and anchors in turn.  A piece is cut where the reach of
+    the anchor before it ends and where that of the anchor behind it begins, if they don't meet.
+    """
+    onward = _reach(f"left(p, {_REACH})", f"length(regexp_extract(t, {_text(_NEXT_END)}, 0))")
+    back = _reach(f"right(p, {_REACH})", f"length(regexp_replace(t, {_text(_LAST_END)}, ''))")
+    windows = "array<struct<start:int,size:int>>"
+    return f"""aggregate(transform(split({marked}, {_text(f"[{OPEN}{CLOSE}]")}, -1), (p, i) ->
+        CASE WHEN i % 2 = 1 THEN named_struct('n', length(p), 'onward', -1, 'back', 0)
+          ELSE named_struct('n', length(p), 'onward', CASE WHEN i > 0 THEN {onward} ELSE 0 END,
+            'back', {back}) END),
+      named_struct('at', 0, 'start', 0, 'open', false, 'cut', cast(array() AS {windows})),
+      (w, p) -> named_struct('at', w.at + p.n,
+        'start', CASE WHEN p.onward < 0 OR p.onward + p.back >= p.n AND w.open THEN w.start
+          ELSE w.at + p.n - p.back END,
+        'open', p.onward < 0 OR p.onward + p.back >= p.n AND w.open,
+        'cut', CASE WHEN w.open AND p.onward >= 0 AND p.onward + p.back < p.n
+          THEN concat(w.cut, array(named_struct('start', w.start,
+            'size', w.at + p.onward - w.start))) ELSE w.cut END),
+      w -> CASE WHEN w.open THEN concat(w.cut, array(named_struct('start', w.start,
+        'size', w.at - w.start))) ELSE w.cut END)"""
+
+
+def _found(body: str) -> str:
+    """Winning spans of a sentinel-free body: those of its windows, moved to their places."""
+    inside = _bound(f"substring({body}, win.start + 1, win.size)", "x", _settled("x"))
+    moved = f"""flatten(transform({_windows('m')}, win -> transform({inside}, hit ->
+      named_struct('start', hit.start + win.start, 'neg_len', hit.neg_len,
+        'rule_no', hit.rule_no))))"""
+    return _bound(_marked(body), "m", f"CASE WHEN contains(m, {_text(OPEN)}) THEN {moved} "
+                                      f"ELSE cast(array() AS {SPAN_TYPE}) END")
 
 
 def _bound(value: str, name: str, work: str) -> str:
@@ -167,13 +228,16 @@ def _bound(value: str, name: str, work: str) -> str:
 
 
 def _plain(body: str) -> str:
-    return f"translate({body}, {_text(OPEN + CLOSE)}, {_text(chr(0xe002) * 2)})"
+    """The body without the two brackets; the copy is made only where there are any."""
+    return (f"CASE WHEN contains({body}, {_text(OPEN)}) OR contains({body}, {_text(CLOSE)}) "
+            f"THEN translate({body}, {_text(OPEN + CLOSE)}, {_text(chr(0xe002) * 2)}) "
+            f"ELSE {body} END")
 
 
 def redaction_spans(column: str) -> Column:
     """The winning, non-overlapping spans of a body: array of (start, neg_len, rule_no)."""
-    work = _bound(_plain(column), "b", _settled("b"))
-    return F.expr(_gated(column, work, f"cast(array() AS {SPAN_TYPE})"))
+    return F.expr(f"coalesce({_bound(_plain(column), 'b', _found('b'))}, "
+                  f"cast(array() AS {SPAN_TYPE}))")
 
 
 def rule_name(rule_no: Column) -> Column:
@@ -181,12 +245,12 @@ def rule_name(rule_no: Column) -> Column:
 
 
 def redact_sql(body: str) -> str:
-    spans = _bound(_plain(body), "b", _settled("b"))
-    rebuilt = f"""aggregate({spans}, named_struct('at', 0, 'out', cast('' AS string)),
-      (a, s) -> named_struct('at', s.start - s.neg_len, 'out', concat(a.out,
-        substring({body}, a.at + 1, s.start - a.at), {_text(REDACTION)})),
-      a -> concat(a.out, substring({body}, a.at + 1, length({body}))))"""
-    return _gated(body, rebuilt, body)
+    rebuilt = f"""CASE WHEN size(hits) = 0 THEN {body} ELSE
+      aggregate(hits, named_struct('at', 0, 'out', cast('' AS string)),
+        (a, s) -> named_struct('at', s.start - s.neg_len, 'out', concat(a.out,
+          substring({body}, a.at + 1, s.start - a.at), {_text(REDACTION)})),
+        a -> concat(a.out, substring({body}, a.at + 1, length({body})))) END"""
+    return _bound(_bound(_plain(body), "b", _found("b")), "hits", rebuilt)
 
 
 def redact(column: str) -> Column:

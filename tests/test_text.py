@@ -1,5 +1,7 @@
 """Column jobs on hand-made values."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from daybook.functions import redaction as R
@@ -84,3 +86,48 @@ def test_summary_rules(spark):
                           "x" * 401, "see (→ y", None], job) == [
         None, "restates the line", "restates the line", "empty", "line break", "em dash",
         "too long", "link opening", "not text"]
+
+
+def secretive(seed, n):
+    """Random texts of what the rules are made of, sentence ends, quotes and long fillers."""
+    rng = random.Random(seed)
+    bits = ["verification", "security", "one time", "code", "pass code", "PIN", "pins", "token",
+            "your", "acme", "is", "is your", ":", "=", "are", "for", "to", "the", "door", "gate",
+            "wi-fi", "combination", "password", "enter", "reply with", "verify", "log in", "G-",
+            "4821", "48291", "2026", "4111111111111111", "4111 1111 1111 1111", "hunter2", "ends in",
+            "ending with", "last four digits", "last 4", "****", "•••", "[redacted]", "zip", "error",
+            "٤٨٢١٩", "paſs", "compass", "shopping", "don't", '"a b. c d"', "'x! y? z'", '"', "'",
+            ".", "!", "?", ";", ",", "-", "\n", "  ", "\t\n ", " " * 90, " ", "\x00", "é", "漢", "😀",
+            "", ""]
+    fill = ["word ", "and so on. ", "what now? ", "x" * 700 + " ", "a " * 70, "lorem ipsum dolor " * 40,
+            "no ends here, " * 60, "\n" * 30, "y" * 50 + ". "]
+    out = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(1, 6)):
+            parts += [rng.choice(bits) + rng.choice(["", " ", " ", " "])
+                      for _ in range(rng.randint(1, 12))]
+            parts += [rng.choice(fill) for _ in range(rng.randint(0, 3))]
+        out.append("".join(parts))
+    return out
+
+
+def test_windows_give_what_whole_texts_give(spark):
+    quoted = 'the password is "' + "q. " * 12 + 'e" 4821 and so. ' * 3
+    far = "your verification" + " " * 5_000 + "code is" + "\n" * 9 + "482193"
+    texts = [*secretive(1, 2_500), quoted, far, "x. " * 400 + far, far + " y. " * 400 + quoted,
+             "4821. " * 500, "pin " * 500, "", None, "password is " + "a" * 100_000 + "1"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, v string")
+    whole = F.expr(R._bound(R._plain("v"), "b", R._settled("b")))
+    rows = df.select("i", R.redaction_spans("v").alias("cut"), whole.alias("whole")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r["cut"] == r["whole"], texts[r["i"]]
+    assert sum(bool(r["cut"]) for r in rows) > 300
+
+
+def test_windows_leave_most_of_a_text_out(spark):
+    text = "An ordinary sentence of some words. " * 500
+    text += "The door code is 4821 today. " + text + "No end here and no secret " * 300
+    size = F.expr(f"aggregate({R._windows(R._marked('v'))}, 0, (n, w) -> n + w.size)")
+    assert 0 < column(spark, [text], size, "string")[0] < 400
