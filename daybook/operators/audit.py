@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.redaction import RULES, redact, redaction_spans, rule_name
-from daybook.operators.shape import look_up, side_by_side
+from daybook.operators.shape import side_by_side
+from daybook.session import durable
 
 # --- fixed values: audit patterns --------------------------------------------------------
 REACTIONS = ('Liked "', 'Loved "', 'Emphasized "', 'Laughed at "', 'Disliked "', 'Questioned "',
@@ -26,9 +29,15 @@ EMAIL = (r"(?<![A-Za-z0-9._%+-])([A-Za-z0-9._%+-]+)@((?:[A-Za-z0-9-]+\.)+[A-Za-z
          r"(?![A-Za-z0-9-])")
 HOME_PATH = r"(?i)(?<![A-Za-z0-9_])[/\\](?:Users|home)[/\\]([A-Za-z0-9._-]+)"
 HOME_PLACEHOLDERS = ("you", "yourname", "your-name", "your_name", "username", "example", "shared")
+HOME_SIGN = r"(?i)[/\\](?:Users|home)[/\\]"
+TERM_LETTER, TERM_SYMBOL = r"[\p{L}\p{N}]", r"[^\p{L}\p{N}\s]"
 US_PHONE = (r"(?<!\d)(?:\+?1[\s.-]?)?\(?([2-9]\d{2})\)?[\s.-]?([2-9]\d{2})[\s.-]?(\d{4})(?!\d)")
 # --- end of fixed values -----------------------------------------------------------------
 
+TERM_WORD = f"{TERM_LETTER}+"
+#: Bytes of deny terms that are sent to every task at once.
+INDEX_BYTES = 32_000_000
+
 
 def corpus_spans(corpus: DataFrame) -> DataFrame:
     """(doc_id, rule, start, length) of every redaction span, one row each."""
@@ -63,46 +72,83 @@ def redaction_rates(corpus: DataFrame) -> DataFrame:
         .filter("bodies_hit > 0"))
 
 
-def leak_scan(documents: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, line, rule) for every line holding something that must not leave.
+def _term_index(terms: DataFrame) -> DataFrame:
+    """(term, word, plain): every deny term once, met through one word of it, its anchor.
 
-    One pass: a line becomes rows of its words, its symbols and the built-in rules it breaks.
-    A deny term is met through its first word, or its first symbol if it has no word; a one-word
-    term is then decided, any other is looked for in the line at hand.  The text itself is never
-    returned.
+    The anchor is the word that fewest terms hold, then the longest, then the first by name; a term
+    without a word is met through its first symbol.  ``plain`` terms are nothing but their anchor.
     """
-    alnum, symbol = r"[\p{L}\p{N}]+", r"[^\p{L}\p{N}\s]"
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    wanted = terms.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
-    first = F.regexp_extract("term", f"({alnum})", 1)
-    wanted = wanted.select(
-        "term", F.when(first != "", first).otherwise(F.substring("term", 1, 1)).alias("word"),
-        F.regexp_replace("term", f"({symbol})", r"\\$1").alias("quoted"))
-
-    def every(pattern: str, group: int, body: str = "body") -> F.Column:
-        return F.regexp_extract_all(body, F.lit(pattern), group)
-
-    email = F.exists(every(EMAIL, 2), lambda d: ~d.rlike(ALLOWED_DOMAINS))
+    clean = terms.select(F.lower(F.trim("term")).alias("term")).filter("term <> ''").distinct()
+    words = F.array_distinct(F.regexp_extract_all("term", F.lit(TERM_WORD), 0))
+    held = clean.select("term", F.explode_outer(words).alias("word"))
+    held = held.withColumn("word", F.coalesce("word", F.substring("term", 1, 1)))
+    shared = held.groupBy("word").agg(F.count(F.lit(1)).alias("holders"))
+    rarest = F.min(F.struct("holders", (-F.length("word")).alias("less"), "word"))
+    return (held.join(shared, "word").groupBy("term").agg(rarest.alias("anchor"))
+            .select("term", "anchor.word",
+                    ((F.col("term") == F.col("anchor.word"))
+                     & F.col("term").rlike(f"^{TERM_WORD}$")).alias("plain")))
+
+
+def _broken_rules(lines: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """(doc_id, line, rule) of the built-in rules; a line without their signs is passed over."""
+    def every(pattern: str, group: int) -> F.Column:
+        return F.regexp_extract_all("body", F.lit(pattern), group)
+
+    known = [a.lower() for a in allowed]
+    email = F.exists(every(EMAIL, 0), lambda a: ~F.lower(a).isin(*known)
+                     & ~F.substring_index(a, "@", -1).rlike(ALLOWED_DOMAINS))
     home = F.exists(every(HOME_PATH, 1), lambda n: ~F.lower(n).isin(*HOME_PLACEHOLDERS))
     phone = F.exists(F.arrays_zip(every(US_PHONE, 2).alias("mid"), every(US_PHONE, 3).alias("end")),
                      lambda n: ~((n["mid"] == "555") & n["end"].startswith("01")))
-    broken = F.filter(F.array(
+    rule = F.explode(F.array_compact(F.array(
         F.when(F.col("body").contains("@") & email, EMAIL_RULE),
-        F.when(home, HOME_RULE),
-        F.when(F.col("body").rlike("[0-9]{4}") & phone, PHONE_RULE)), lambda r: r.isNotNull())
-    words = F.array_distinct(F.concat(
-        F.regexp_extract_all(F.lower("body"), F.lit(f"({alnum})"), 1),
-        F.regexp_extract_all("body", F.lit(f"({symbol})"), 1)))
-    none = F.lit(None).cast("string")
-    rows = lines.select("doc_id", "line", "body", F.explode(F.concat(
-        F.transform(words, lambda w: F.struct(w.alias("word"), none.alias("rule"))),
-        F.transform(broken, lambda r: F.struct(none.alias("word"), r.alias("rule")))))
-        .alias("e")).select("doc_id", "line", "body", "e.*")
-    met = look_up(rows, wanted, "word", "doc_id", "line", "rule")
-    whole = F.expr(r"lower(body) RLIKE concat('(?<![\\p{L}\\p{N}])', quoted, '(?![\\p{L}\\p{N}])')")
-    plain = (F.col("term") == F.col("word")) & F.col("word").rlike(f"^{alnum}$")
-    return met.filter(F.col("rule").isNotNull() | plain | whole).select(
-        "doc_id", "line", F.coalesce("rule", F.concat(F.lit(DENIED), "term")).alias("rule"))
+        F.when(F.col("body").rlike(HOME_SIGN) & home, HOME_RULE),
+        F.when(F.col("body").rlike("[0-9]{4}") & phone, PHONE_RULE))))
+    return (lines.filter(F.col("body").rlike(f"@|[0-9]{{4}}|{HOME_SIGN}"))
+            .select("doc_id", "line", rule.alias("rule")))
+
+
+def leak_scan(documents: DataFrame, terms: DataFrame, allowed: Sequence[str] = (),
+              index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """(doc_id, line, rule) for every line holding something that must not leave.
+
+    The deny terms are an index by anchor word.  A line is asked for its distinct words where it is
+    read: a term that is one word is then decided, any other is looked for in the line at hand.  So
+    neither texts nor words are ever shuffled, however common a word is, and the text itself is
+    never returned.  The index is sent to the tasks in slices of at most ``index_bytes``; if it
+    takes more than one, terms whose anchor occurs in no document are left out first.
+
+    ``allowed`` are single addresses that may leave, whatever their domain.  A list without any term
+    is refused; a NULL document or a blank term gives no row.
+    """
+    index = durable(_term_index(terms))
+    told = index.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term") + 64).alias("bytes"),
+                     F.max(~F.col("word").rlike(TERM_WORD)).alias("symbols")).first()
+    if not told["n"]:
+        raise ValueError("the list of terms is empty")
+    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    token = f"{TERM_WORD}|{TERM_SYMBOL}" if told["symbols"] else TERM_WORD
+    folded = lines.select("doc_id", "line", F.lower("body").alias("body"))
+    words = folded.select("doc_id", "line", "body", F.array_distinct(
+        F.regexp_extract_all("body", F.lit(token), 0)).alias("words"))
+    size = told["bytes"]
+    if size > index_bytes:
+        seen = words.select(F.explode("words").alias("word")).distinct()
+        index = durable(index.join(seen, "word", "left_semi"))
+        size = index.agg(F.sum(F.octet_length("term") + 64)).first()[0] or 0
+    # An outer explode, because the optimizer would take the words twice to test a plain one first.
+    asked = words.select("doc_id", "line", "body", F.explode_outer("words").alias("word"))
+    quoted = F.regexp_replace("term", f"({TERM_SYMBOL})", r"\\$1")
+    whole = F.col("body").contains(F.col("term")) & F.rlike("body", F.concat(
+        F.lit(f"(?<!{TERM_LETTER})"), quoted, F.lit(f"(?!{TERM_LETTER})")))
+    hits, slices = _broken_rules(lines, allowed), -(-size // index_bytes)
+    for i in range(slices):
+        mine = index.filter(F.pmod(F.xxhash64("term"), F.lit(slices)) == i)
+        met = asked.join(F.broadcast(mine), "word").filter(F.col("plain") | whole)
+        hits = hits.union(met.select(
+            "doc_id", "line", F.concat(F.lit(DENIED), "term").alias("rule")))
+    return hits
 
 
 def transcript_audit(files: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """What once had a cap, a switch or a fixed zone, past its old limit."""
 
 import datetime as dt
+import random
+import re
 import tempfile
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from daybook.config import Settings
@@ -117,6 +120,47 @@ def test_denied_terms_without_a_letter(spark):
                     (2, 0, "denylist: acme corp"), (3, 0, "built-in: home-folder path")}
 
 
+def leaks(docs, terms, **more):
+    return sorted(tuple(r) for r in au.leak_scan(docs, terms, **more).collect())
+
+
+def test_deny_terms_equal_a_plain_search_whatever_the_slices(spark):
+    rng, words = random.Random(3), ["ann", "anna", "lee", "o'neil", "x.y", "é", "٤", "new york", "#"]
+    texts = ["\n".join("".join(rng.choice(words) + rng.choice([" ", "-", ".", "", "  "])
+                               for _ in range(rng.randint(0, 6))) for _ in range(3))
+             for _ in range(200)]
+    listed = sorted({rng.choice(words) + rng.choice(["", " ", "-", " lee"]) for _ in range(25)}
+                    | {"nobody here", "ann lee", "Ann Lee", "  ANN "})
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(999, None)],
+                                 "doc_id long, text string")
+    terms = spark.createDataFrame([(t,) for t in [*listed, None, " "]], "term string")
+    want = sorted({(i, n, f"denylist: {t.strip().lower()}") for i, text in enumerate(texts)
+                   for n, line in enumerate(text.split("\n")) for t in listed
+                   if re.search(rf"(?<![^\W_]){re.escape(t.strip().lower())}(?![^\W_])", line.lower())})
+    assert leaks(docs, terms) == want and len(want) > 100
+    assert leaks(docs, terms, index_bytes=200) == want
+
+
+def test_leak_scan_refuses_no_terms_and_lets_named_addresses_pass(spark):
+    docs = spark.createDataFrame(
+        [(1, "mail Desk@Firm.net now"), (2, "desk@firm.net and me@firm.net"), (3, "a@sub.example.org")],
+        "doc_id long, text string")
+    terms = spark.createDataFrame([("nobody",)], "term string")
+    rule = "built-in: email address"
+    assert leaks(docs, terms) == [(1, 0, rule), (2, 0, rule)]
+    assert leaks(docs, terms, allowed=["desk@firm.NET"]) == [(2, 0, rule)]
+    for none in ([], [(" ",)], [(None,)]):
+        with pytest.raises(ValueError, match="empty"):
+            au.leak_scan(docs, spark.createDataFrame(none, "term string"))
+
+
+def test_leak_scan_shuffles_no_text(spark):
+    docs = spark.createDataFrame([(1, "one two")], "doc_id long, text string")
+    terms = spark.createDataFrame([("two",), ("one two",)], "term string")
+    plan = au.leak_scan(docs, terms)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hash" not in plan and plan.count("BroadcastExchange") == 1
+
+
 def test_open_days_are_read_when_they_close_even_if_nothing_arrives(spark):
     folder = tempfile.mkdtemp(prefix="daybook-test-") + uuid.uuid4().hex
     home, settings = it.Home(folder), Settings(OWN)
