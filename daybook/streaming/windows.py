@@ -1,8 +1,10 @@
-"""The fold as chained streaming aggregates: slices → conversation-days → person-days.
+"""The fold as chained streaming aggregates: slices → longer segments → conversation-days → person-days.
 
 Append mode emits a day only once the watermark has passed its end, so the open day is held
-back by the engine itself.  Nothing but ten seconds of one conversation are ever gathered into
-a row: they become a small summary, and a day is at most 8,640 of those.
+back by the engine itself.  Nothing but ten seconds of one conversation are ever gathered as
+messages.  They become a segment (who spoke first, who spoke last, sums per speaker), and segments
+merge: a speaker who ends one and begins the next has one turn less.  A level merges at most 30, so
+a row holds at most 30 times the speakers of its stretch, whatever was written in it.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ from daybook.functions.text import is_shortcode, unit_key
 from daybook.functions.times import local_time
 from daybook.operators.fold import direction, prepare
 
+#: What is gathered as messages, and the longer stretches it is merged to, each of at most 30.
 SLICE = "10 seconds"
+STRETCHES = ("5 minutes", "2 hours", "1 day")
 
 #: Rows of one slice, ordered, each marked where it opens a turn; one pass over the rows.
 _RUNS = """
@@ -24,28 +28,49 @@ _RUNS = """
     'chars', r.chars))"""
 
 _PER_SPEAKER = """
-  transform(array_distinct(transform(runs, r -> r.speaker)), s -> named_struct('speaker', s,
-    'opens', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.opens),
-    'first_at', array_min(transform(filter(runs, r -> r.speaker = s), r -> r.first_at)),
-    'messages', cast(size(filter(runs, r -> r.speaker = s)) AS bigint),
-    'chars', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.chars)))"""
-
-#: Speakers whose turn ran on over a slice boundary, once per boundary.
-_JOINED = """
-  filter(transform(slices, (s, i) -> CASE WHEN i > 0 AND slices[i - 1].tail = s.head
-    THEN s.head END), x -> x IS NOT NULL)"""
+  map_from_entries(transform(array_distinct(transform(runs, r -> r.speaker)), s -> struct(s,
+    named_struct('turns', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.opens),
+      'first_at', array_min(transform(filter(runs, r -> r.speaker = s), r -> r.first_at)),
+      'messages', cast(size(filter(runs, r -> r.speaker = s)) AS bigint),
+      'chars', aggregate(filter(runs, r -> r.speaker = s), 0L, (n, r) -> n + r.chars)))))"""
+
+#: Ordered segments as one.  Maps are merged by key, so the work grows with the speakers present.
+_MERGED = """
+  aggregate(slice(parts, 2, size(parts)), parts[0], (a, s) -> named_struct('at', a.at,
+    'head', a.head, 'tail', s.tail, 'per', map_zip_with(a.per, s.per, (who, x, y) -> named_struct(
+      'turns', coalesce(x.turns, 0L) + coalesce(y.turns, 0L)
+        - CASE WHEN who = a.tail AND who = s.head THEN 1L ELSE 0L END,
+      'first_at', least(x.first_at, y.first_at),
+      'messages', coalesce(x.messages, 0L) + coalesce(y.messages, 0L),
+      'chars', coalesce(x.chars, 0L) + coalesce(y.chars, 0L)))))"""
 
 _VOICES = """
-  transform(array_distinct(flatten(transform(slices, s -> transform(s.per, p -> p.speaker)))),
-    who -> named_struct('speaker', who,
-      'turns', aggregate(flatten(transform(slices, s -> filter(s.per, p -> p.speaker = who))), 0L,
-        (n, p) -> n + p.opens) - size(filter(joined, x -> x = who)),
-      'first_at', array_min(transform(flatten(transform(slices, s ->
-        filter(s.per, p -> p.speaker = who))), p -> p.first_at)),
-      'messages', aggregate(flatten(transform(slices, s -> filter(s.per, p -> p.speaker = who))),
-        0L, (n, p) -> n + p.messages),
-      'chars', aggregate(flatten(transform(slices, s -> filter(s.per, p -> p.speaker = who))),
-        0L, (n, p) -> n + p.chars)))"""
+  transform(map_entries(segment.per), e -> named_struct('speaker', e.key, 'turns', e.value.turns,
+    'first_at', e.value.first_at, 'messages', e.value.messages, 'chars', e.value.chars))"""
+
+_BY_TIME = "array_sort(collect_list(segment), (l, r) -> CASE WHEN l.at < r.at THEN -1 ELSE 1 END)"
+
+
+def _slices(rows: DataFrame) -> DataFrame:
+    """``window, chat_rowid, head, blocked, segment`` of every slice of a conversation."""
+    gathered = (rows.groupBy(F.window("local_at", SLICE), "chat_rowid").agg(
+        F.sort_array(F.collect_list(F.struct("sent_at", "date_raw", "rowid", "speaker", "chars")))
+        .alias("rows"),
+        F.min(F.struct("sent_at", "date_raw", "rowid", "is_group")).alias("head"),
+        F.max("blocked").alias("blocked"))
+        .withColumn("runs", F.expr(_RUNS)))
+    segment = F.struct(
+        F.col("window.start").alias("at"), F.col("runs")[0]["speaker"].alias("head"),
+        F.element_at("runs", -1)["speaker"].alias("tail"), F.expr(_PER_SPEAKER).alias("per"))
+    return gathered.select("window", "chat_rowid", "head", "blocked", segment.alias("segment"))
+
+
+def merged(segments: DataFrame, stretch: str) -> DataFrame:
+    """The segments of each longer stretch of a conversation as one."""
+    parts = segments.groupBy(F.window("window", stretch), "chat_rowid").agg(
+        F.expr(_BY_TIME).alias("parts"), F.min("head").alias("head"),
+        F.max("blocked").alias("blocked"))
+    return parts.select("window", "chat_rowid", "head", "blocked", F.expr(_MERGED).alias("segment"))
 
 
 def stream_chat_days(messages: DataFrame, settings: Settings, delay: str = "3 days") -> DataFrame:
@@ -58,21 +83,10 @@ def stream_chat_days(messages: DataFrame, settings: Settings, delay: str = "3 da
     never = listing(messages.sparkSession, settings.never_ingest).select(
         F.col("ident").alias("_never"))
     rows = rows.join(never, F.col("participant") == F.col("_never"), "left")
-    blocked = F.col("_never").isNotNull()
-    slices_ = (rows.groupBy(F.window("local_at", SLICE), "chat_rowid").agg(
-        F.sort_array(F.collect_list(F.struct("sent_at", "date_raw", "rowid", "speaker", "chars")))
-        .alias("rows"),
-        F.min(F.struct("sent_at", "date_raw", "rowid", "is_group")).alias("head"),
-        F.max(blocked).alias("blocked"))
-        .withColumn("runs", F.expr(_RUNS)))
-    summary = F.struct(
-        F.col("window.start").alias("at"), F.col("runs")[0]["speaker"].alias("head"),
-        F.element_at("runs", -1)["speaker"].alias("tail"), F.expr(_PER_SPEAKER).alias("per"))
-    sliced = slices_.select("window", "chat_rowid", "head", "blocked", summary.alias("slice"))
-    days = (sliced.groupBy(F.window("window", "1 day"), "chat_rowid").agg(
-        F.sort_array(F.collect_list("slice")).alias("slices"), F.min("head").alias("head"),
-        F.max("blocked").alias("blocked")))
-    voiced = (days.withColumn("joined", F.expr(_JOINED)).withColumn("voices", F.expr(_VOICES)))
+    segments = _slices(rows.withColumn("blocked", F.col("_never").isNotNull()))
+    for stretch in STRETCHES:
+        segments = merged(segments, stretch)
+    voiced = segments.withColumn("voices", F.expr(_VOICES))
 
     def total(field: str):
         return F.aggregate("voices", F.lit(0).cast("bigint"), lambda n, v: n + v[field])

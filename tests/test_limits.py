@@ -99,6 +99,59 @@ def test_a_hundred_thousand_messages_in_one_day(spark):
     assert [(r["turns"], r["messages"]) for r in rows] == [(100_000, 100_000)]
 
 
+def test_rows_of_a_streamed_day_stay_bounded_by_its_speakers(spark):
+    n, speakers = 100_000, 500
+    at = F.timestamp_seconds(F.lit(1_704_412_800) + (F.col("id") * 80_000 / n).cast("long"))
+    who = F.format_string("+1555%07d", F.pmod(F.xxhash64(F.col("id") * 3 / 5), F.lit(speakers)))
+    messages = spark.range(n).select(
+        F.col("id").alias("rowid"), F.lit(1).cast("long").alias("chat_rowid"),
+        F.lit(True).alias("is_group"), F.lit("talk").alias("chat_name"),
+        F.lit(False).alias("is_from_me"), who.alias("handle_raw"), at.alias("sent_at"),
+        F.col("id").alias("date_raw"), F.lit("hello").alias("text"))
+    settings, held = Settings(OWN), []
+    whole = wn.merged
+
+    def watched(segments, stretch):
+        gathered = segments.groupBy(F.window("window", stretch), "chat_rowid").agg(
+            F.count(F.lit(1)).alias("parts"), F.sum(F.size("segment.per")).alias("entries"))
+        held.append(gathered.agg(F.max("parts"), F.max("entries")).first())
+        return whole(segments, stretch)
+
+    wn.merged = watched
+    try:
+        day = wn.stream_chat_days(messages, settings).first()
+    finally:
+        wn.merged = whole
+    assert len(held) == 3 and all(p <= 30 and e <= 30 * speakers for p, e in held)
+    want = fo.fold(messages, settings)
+    one = want["chat_days"].first()
+    assert (day["turns"], day["messages"], day["senders"]) == (
+        one["turns"], n, speakers) and day["turns"] < n
+    assert sum(v["turns"] for v in day["voices"]) == day["turns"]
+
+
+def test_segments_merge_like_one_long_run(spark):
+    rng = random.Random(9)
+    start = dt.datetime(2024, 1, 5)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([0, 0, 1, 3, 9, 40, 400, 900])
+        who = rng.choice(["+15550000001", "+15550000002", None])
+        rows.append((i, 1, True, "x", who is None, who, start + dt.timedelta(seconds=at), i,
+                     "x" * rng.randint(0, 5)))
+    messages, settings = spark.createDataFrame(rows, MESSAGE), Settings(OWN)
+    got = {(r["day"], v["speaker"]): (v["turns"], v["messages"], v["chars"])
+           for r in wn.stream_chat_days(messages, settings).collect() for v in r["voices"]}
+    order = fo.prepare(messages, settings).orderBy("sent_at", "date_raw", "rowid").collect()
+    want, last = {}, None
+    for r in order:
+        key = (r["sent_at"].date(), r["speaker"])
+        turns, n, chars = want.get(key, (0, 0, 0))
+        want[key] = (turns + (key != last), n + 1, chars + r["chars"])
+        last = key
+    assert got == want and len({d for d, _ in got}) > 1
+
+
 def test_a_run_id_used_twice_does_not_commit_the_first_stretch(spark):
     log = spark.createDataFrame(
         [(1, 7, 1, "enqueue", "a|day|x", "r"), (2, 7, 1, "stamp_intent", "b|day|x", "r"),
