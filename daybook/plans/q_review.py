@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -9,10 +10,12 @@ from pyspark.sql import functions as F
 from daybook.operators import ledger as lg
 from daybook.operators import resolve as rs
 from daybook.operators import review as rv
+from daybook.operators import settle as st
 from daybook.plans.adapters import SETTINGS, adapt
 from daybook.plans.q_ledger import NOW, owners_of, state_tables
 from daybook.plans.q_people import resolution_blocks
 from daybook.plans.registry import block, query
+from daybook.session import checkpoint_dir
 from daybook.sources import people as pp
 
 TODAY = date(2001, 6, 1)
@@ -339,6 +342,54 @@ def _(spark, base):
         "ident", "new_state", "person_id", F.coalesce("released", F.lit(0)).alias("released"))
 
 
+# By the time of the yes another card has every fourth number, and the directory refuses every fifth.
+block("settled", f"""
+  SELECT a.ident, a.target, CASE WHEN a.target IS NULL THEN 'second_yes'
+    WHEN CAST(right(a.ident, 7) AS BIGINT) % 5 = 0 THEN 'left_pending'
+    WHEN CAST(right(a.ident, 7) AS BIGINT) % 4 = 0 OR EXISTS (SELECT 1 FROM card_ident k
+      WHERE k.ident = a.ident AND k.person_id <> a.target) THEN 'cannot_attach'
+    ELSE 'done' END AS outcome, a.section, coalesce(a.target IN {OWNERS}, false) AS own
+  FROM (SELECT DISTINCT ident, target, section FROM step WHERE action = 'accept' AND refusal IS NULL) a""")
+block("settled_day", """
+  SELECT h.ident, h.key, CASE WHEN s.own THEN 'owner_dropped'
+    WHEN h.key IN (SELECT key FROM stamped_t) OR h.key IN (SELECT key FROM queue_t) THEN 'already'
+    ELSE 'queued' END AS went
+  FROM settled s JOIN held_t h ON h.ident = s.ident WHERE s.outcome = 'done'""")
+
+
+def settled(spark, base):
+    f = steps(spark, base)
+    no = F.right("ident", F.lit(7)).cast("bigint")
+    card_ids = pp.card_identifiers(f["cards"]).select("ident", "person_id")
+    others = f["steps"].filter(no % 4 == 0).select("ident", F.lit("prs_99999999").alias("person_id"))
+    return st.settle_accepts(
+        f["steps"], f["asked"], card_ids.unionByName(others), f["cards"],
+        f["steps"].filter(no % 5 == 0).select("ident"), f["held"], f["stamped"], f["queue"],
+        f["owners"])
+
+
+@query("m5_settle_accepts", """
+  SELECT s.ident, s.outcome, CASE s.outcome WHEN 'done' THEN 'accepted' WHEN 'cannot_attach' THEN 'held'
+      WHEN 'left_pending' THEN CASE s.section WHEN 'attach' THEN 'attach_pending' ELSE 'pending' END
+      ELSE 'attach_pending' END AS new_state,
+    CASE s.outcome WHEN 'cannot_attach' THEN 'cannot_attach' END AS hold_reason, s.target AS person_id,
+    CASE s.outcome WHEN 'done' THEN 'exact' END AS match_route,
+    (SELECT count(*) FROM settled_day d WHERE d.ident = s.ident AND d.went = 'queued') AS queued,
+    (SELECT count(*) FROM settled_day d WHERE d.ident = s.ident AND d.went = 'already') AS already,
+    (SELECT count(*) FROM settled_day d WHERE d.ident = s.ident AND d.went = 'owner_dropped')
+      AS owner_dropped
+  FROM settled s""")
+def _(spark, base):
+    return settled(spark, base)[0]
+
+
+@query("m5_released_days", """
+  SELECT d.ident, d.key, s.target AS person_id FROM settled_day d JOIN settled s ON s.ident = d.ident
+  WHERE d.went = 'queued'""")
+def _(spark, base):
+    return settled(spark, base)[1].select("ident", "key", "person_id")
+
+
 @query("m6_apply_dismissals", """
   SELECT ident, 'dismissed' AS new_state, CAST(NULL AS VARCHAR) AS hold_reason FROM step
   WHERE action = 'dismiss' AND refusal IS NULL""")
@@ -360,6 +411,64 @@ def _(spark, base):
     return rv.apply_wrong_matches(checks, f["queue"], f["stamped"])
 
 
+block("check_row", f"""
+  SELECT *, 'm' || row_number() OVER (ORDER BY days DESC, lower(coalesce(name, '')), ident) AS label,
+    row_number() OVER (ORDER BY days DESC, lower(coalesce(name, '')), ident) AS no
+  FROM (SELECT r.ident, r.person_id, k.name,
+      (SELECT count(*) FROM stamped_t s WHERE s.ident = r.ident)
+        + (SELECT count(*) FROM queue_t q WHERE q.ident = r.ident) AS days
+    FROM l_resolution r JOIN ledger_identifiers i ON i.ident = r.ident
+    LEFT JOIN cards k ON k.person_id = r.person_id
+    WHERE i.state = 'accepted' AND coalesce(i.match_route, '') <> 'exact' AND r.status = 'resolved'
+      AND r.route = 'suffix' AND r.person_id NOT IN {OWNERS}
+      AND coalesce(i.match_confirmed, '') <> r.person_id)""")
+
+
+def check_rows(f: dict, records):
+    checks = rv.check_matches(f["inputs"], records, lg.filed_and_waiting(f["stamped"], f["queue"]))
+    return st.check_rank(checks, f["cards"])
+
+
+def checked(spark, base):
+    """Of every three matches to check one is confirmed, one is wrong and one is left."""
+    f = review_frames(spark, base)
+    rows, path = check_rows(f, f["ids"]), f"{checkpoint_dir(spark)}/records-{uuid.uuid4().hex}"
+    no = F.substring("label", 2, 20).cast("bigint")
+    st.save_records(f["ids"], path, 0)
+    for version, updates in ((1, st.confirmed(rows.filter(no % 3 == 1))),
+                             (2, st.pinned(rows.filter(no % 3 == 2)))):
+        st.save_records(st.changed_records(f["ids"], updates), path, version)
+    f["checks"], f["records"] = rows, st.newest_records(spark, path, f["ids"].schema)
+    return f
+
+
+@query("w8_check_rank", "SELECT label, ident, person_id, days FROM check_row")
+def _(spark, base):
+    f = review_frames(spark, base)
+    return check_rows(f, f["ids"]).select("label", "ident", "person_id", "days")
+
+
+@query("m6_next_listing", """
+  SELECT 'm' || row_number() OVER (ORDER BY no) AS label, ident, person_id FROM check_row
+  WHERE no % 3 = 0""")
+def _(spark, base):
+    f = checked(spark, base)
+    return check_rows(f, f["records"]).select("label", "ident", "person_id")
+
+
+@query("m6_checked_decisions", """
+  SELECT ident, CASE no % 3 WHEN 2 THEN 'hold/wrong_match/dismissed' ELSE 'queue/suffix/accepted' END
+    AS decision FROM check_row""")
+def _(spark, base):
+    f = checked(spark, base)
+    slugs = f["cards"].select(F.concat(F.lit("customer-"), F.col("person_id").substr(5, 8)
+                                       .cast("bigint").cast("string")).alias("slug"), "person_id")
+    inputs = rv.decision_inputs(f["resolved"], f["records"], f["proposals"], f["newest"], f["log"],
+                                slugs, f["owners"], f["cards"])
+    return _decision(rv.decide_identifiers(inputs, TODAY)).join(
+        f["checks"].select("ident"), "ident", "left_semi")
+
+
 # --- exclude and include ---------------------------------------------------------------------------
 
 block("excluded_t", """
