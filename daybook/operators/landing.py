@@ -124,15 +124,6 @@ def first_touch(cards: DataFrame, snapshot: DataFrame, touched: DataFrame) -> Da
             .join(snapshot.select("person_id"), "person_id", "left_anti"))
 
 
-def project_changed(interactions: DataFrame, touched: DataFrame) -> DataFrame:
-    """The interaction rows of exactly the persons touched this run."""
-    return interactions.join(touched.select("person_id").distinct(), "person_id", "left_semi")
-
-
-#: Parts of the projected table; a person's rows lie in one, and a part is rewritten whole.
-PROJECTED_PARTS = 64
-
-
 def copy_first_touch(cards: DataFrame, path: str, touched: DataFrame, run: int) -> None:
     """Add the cards of persons touched for the first time to the table of first copies.
 
@@ -151,15 +142,3 @@ def land_copied(outcomes: DataFrame, copies: DataFrame) -> DataFrame:
             .withColumn("outcome", F.when(
                 (F.col("outcome") == "stamped") & F.col("_copied").isNull(), "failure: no copy")
                 .otherwise(F.col("outcome"))).drop("_copied"))
-
-
-def _part(person: str) -> Column:
-    return F.pmod(F.xxhash64(person), F.lit(PROJECTED_PARTS)).cast("int")
-
-
-def write_projection(interactions: DataFrame, touched: DataFrame, path: str) -> None:
-    """Rewrite exactly the parts of the projected table that hold a touched person."""
-    parts = touched.select(_part("person_id").alias("part")).distinct()
-    (interactions.withColumn("part", _part("person_id")).join(parts, "part", "left_semi")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part")
-     .parquet(path))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import uuid
 from datetime import date
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.text import mask_tail
 from daybook.operators import landing as la
 from daybook.operators import ledger as lg
+from daybook.operators import projection as pj
 from daybook.operators import summaries as sm
 from daybook.plans.adapters import SETTINGS, adapt
 from daybook.plans.registry import block, query
@@ -304,15 +306,36 @@ def _(spark, base):
   GROUP BY i.person_id""")
 def _(spark, base):
     days = adapt(spark, base, "ledger_days")
-    touched = days.filter("day >= DATE '2001-07-01'")
-    path = f"{checkpoint_dir(spark)}/projected-{uuid.uuid4().hex}"
+    touched = days.filter("day >= DATE '2001-07-01'").select("person_id")
+    rows, path = interactions_of(days), f"{checkpoint_dir(spark)}/projected-{uuid.uuid4().hex}"
+    earlier = rows.filter("day < DATE '2001-07-01'")
+    pj.write_projection(earlier, earlier, path, 0, 500)
     for _again in range(2):
-        la.write_projection(interactions_of(days), touched, path)
-    return (la.project_changed(spark.read.parquet(path), touched).groupBy("person_id").agg(
+        pj.write_projection(rows, touched, path, 1, 500)
+    return (pj.read_projection(spark, path, rows.schema, touched).groupBy("person_id").agg(
         F.count(F.lit(1)).alias("lines"),
         F.date_format(F.max("day"), "yyyy-MM-dd").alias("last_contacted")))
 
 
+# Every fifth person's lines go, and every seventh keeps one; all others stay as they were.
+@query("k8_emptied_persons", """
+  SELECT person_id, count(*) AS lines, CAST(max(day) AS VARCHAR) AS last_contacted FROM (
+    SELECT *, CAST(substr(person_id, 5) AS BIGINT) AS no, row_number() OVER (PARTITION BY person_id
+      ORDER BY day, "key") AS nth FROM interaction_t)
+  WHERE no % 5 <> 0 AND (no % 7 <> 0 OR nth = 1) GROUP BY person_id""")
+def _(spark, base):
+    rows = interactions_of(adapt(spark, base, "ledger_days"))
+    path = f"{checkpoint_dir(spark)}/projected-{uuid.uuid4().hex}"
+    pj.write_projection(rows, rows, path, 0, 500)
+    no = F.col("person_id").substr(5, 8).cast("bigint")
+    first = F.row_number().over(W.partitionBy("person_id").orderBy("day", "key")) == 1
+    left = rows.withColumn("_first", first).filter((no % 7 != 0) | F.col("_first")).drop("_first")
+    pj.write_projection(left.filter(no % 5 != 0), rows.filter((no % 5 == 0) | (no % 7 == 0)), path, 1)
+    return pj.read_projection(spark, path, rows.schema).groupBy("person_id").agg(
+        F.count(F.lit(1)).alias("lines"),
+        F.date_format(F.max("day"), "yyyy-MM-dd").alias("last_contacted"))
+
+
 # --- the summary hand-off ------------------------------------------------------------------------
 
 
