@@ -12,7 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,10 +49,34 @@ _READ = _table("day date, folded boolean")
 _QUEUE_KEY = _table("key string, day date")
 _LINK = _table("key string, chat_rowid long, day date")
 
+_COUNTED = T.StructType([T.StructField("counter", T.StringType()), T.StructField("n", T.LongType())])
+#: What a run reports, by the stage that counts it.
+COUNTERS = {"intake": ("rows_scanned", "rows_open_day", "days_read", "days_left", "person_days",
+                       "queued", "links_added"),
+            "release": ("released", "already_queued", "owner_skipped")}
+
 #: Batches of one life of the source are numbered from here on; a rebuilt source starts another.
 GENERATION = 1 << 32
 
 
+class Counts:
+    """Counters taken while tables are written: no second scan, nothing but the sums at the driver."""
+
+    def __init__(self) -> None:
+        self.seen: list[Observation] = []
+
+    def watch(self, df: DataFrame, **counters: Column) -> DataFrame:
+        """``df`` that counts ``counters`` when it is written."""
+        self.seen.append(Observation())
+        return df.observe(self.seen[-1], *[c.alias(name) for name, c in counters.items()])
+
+    def save(self, spark: SparkSession, home: Home, stage: str, number: int) -> None:
+        """One row a counter; a batch done again replaces its own."""
+        rows = [(name, n) for seen in self.seen for name, n in seen.get.items()]
+        write_batch(spark.createDataFrame(rows, _COUNTED).coalesce(1),
+                    home.path(f"report/{stage}"), number)
+
+
 def intake_batch(batch: DataFrame, batch_id: int, home: Home, settings: Settings,
                  today: date, generation: int = 0, first_day: date | None = None) -> None:
     """One micro-batch: store, closed days not read yet, re-fold, frozen queue, grown links.
@@ -64,8 +88,10 @@ def intake_batch(batch: DataFrame, batch_id: int, home: Home, settings: Settings
     """
     spark = batch.sparkSession
     number, since = generation * GENERATION + batch_id, generation * GENERATION
+    counts, every = Counts(), F.count(F.lit(1))
     rows = batch.withColumn("day", local_day(F.col("sent_at"), settings.zone))
-    write_batch(rows, home.path("store"), number, "day")
+    write_batch(counts.watch(rows, rows_scanned=every, rows_open_day=F.count_if(
+        F.col("day") >= F.lit(today))), home.path("store"), number, "day")
     stored = read_upto(spark, home.path("store"), _without_day(batch, spark), number, number)
     write_batch(stored.groupBy("day").agg(
         F.count(F.lit(1)).alias("rows"), F.min("rowid").alias("low_rowid"),
@@ -77,7 +103,8 @@ def intake_batch(batch: DataFrame, batch_id: int, home: Home, settings: Settings
             .groupBy("day").agg(F.max("batch").alias("read")))
     due = got.join(read, "day", "left").filter("read IS NULL OR read < got").select(
         "day", (F.col("day") >= F.lit(first_day) if first_day else F.lit(True)).alias("folded"))
-    write_batch(due, home.path("days_read"), number)
+    write_batch(counts.watch(due, days_read=F.count_if("folded"), days_left=F.count_if(
+        ~F.col("folded"))), home.path("days_read"), number)
     touched = (read_upto(spark, home.path("days_read"), _READ, number, number)
                .filter("folded").select("day"))
     # Everything below is partitioned by day, so the touched days prune what is read.
@@ -85,18 +112,49 @@ def intake_batch(batch: DataFrame, batch_id: int, home: Home, settings: Settings
              .join(touched, "day", "left_semi").drop("day", "batch"))
     f = fo.fold(again, settings)
     units = f["person_days"].drop("primary")
-    write_batch(units, home.path("person_days"), number, "day")
+    write_batch(counts.watch(units, person_days=every), home.path("person_days"), number, "day")
     fresh = read_upto(spark, home.path("person_days"), units.schema, number, number).drop("batch")
     queued = (read_upto(spark, home.path("queue"), _QUEUE_KEY, number - 1)
               .join(touched, "day", "left_semi"))
-    write_batch(fresh.join(queued.select("key"), "key", "left_anti"), home.path("queue"), number,
-                "day")
+    unseen = fresh.join(queued.select("key"), "key", "left_anti")
+    write_batch(counts.watch(unseen, queued=every), home.path("queue"), number, "day")
     links = f["spoken"].select(unit_key(F.col("ident"), F.col("day")).alias("key"), "chat_rowid",
                                "day").join(fresh.select("key"), "key", "left_semi")
     have = (read_upto(spark, home.path("links"), _LINK, number - 1)
             .join(touched, "day", "left_semi"))
-    write_batch(links.join(have, ["key", "chat_rowid"], "left_anti"), home.path("links"), number,
-                "day")
+    grown = links.join(have, ["key", "chat_rowid"], "left_anti")
+    write_batch(counts.watch(grown, links_added=every), home.path("links"), number, "day")
+    counts.save(spark, home, "intake", number)
+
+
+def release_batch(held: DataFrame, resolved: DataFrame, batch_id: int, home: Home,
+                  stamped: DataFrame, queue: DataFrame, owners: DataFrame) -> None:
+    """Append the held days of identifiers that resolve now, counting what is not released.
+
+    A day whose key is stamped or queued is counted as already there, one of the owner as skipped.
+    """
+    known = stamped.select("key").unionByName(queue.select("key")).distinct().withColumn(
+        "_known", F.lit(True))
+    own = owners.select("person_id").distinct().withColumn("_own", F.lit(True))
+    found = resolved.filter("person_id IS NOT NULL").select("ident", "person_id").distinct()
+    went = (F.when(F.col("_own"), "owner_skipped").when(F.col("_known"), "already_queued")
+            .otherwise("released"))
+    days = (held.select("key", "ident", "day").join(found, "ident").join(own, "person_id", "left")
+            .join(known, "key", "left").withColumn("_went", went))
+    counts = Counts()
+    watched = counts.watch(days, **{c: F.count_if(F.col("_went") == c) for c in COUNTERS["release"]})
+    write_batch(watched.filter("_went = 'released'").select("key", "ident", "person_id", "day"),
+                home.path("released"), batch_id)
+    counts.save(held.sparkSession, home, "release", batch_id)
+
+
+def run_report(spark: SparkSession, home: Home) -> DataFrame:
+    """One row: every counter of ``COUNTERS`` over all batches, 0 where a stage never ran."""
+    rows = [read_upto(spark, home.path(f"report/{stage}"), _COUNTED, _ANY) for stage in COUNTERS]
+    names = [name for stage in COUNTERS.values() for name in stage]
+    return rows[0].union(rows[1]).agg(*[
+        F.coalesce(F.sum(F.when(F.col("counter") == name, F.col("n"))), F.lit(0)).alias(name)
+        for name in names])
 
 
 def _without_day(batch: DataFrame, spark: SparkSession) -> T.StructType:

@@ -72,6 +72,10 @@ def test_intake_batch_twice_is_once(spark):
     whole = folded(spark, BASE)["person_days"].filter(F.col("day") < F.lit(today))
     assert got == {r.key for r in whole.select("key").collect()}
     assert queue.filter(F.col("day") >= F.lit(today)).count() == 0
+    report = it.run_report(spark, home).first()
+    assert report["rows_scanned"] == messages.count() and report["released"] == 0
+    assert report["queued"] == queue.count() <= report["person_days"]
+    assert report["links_added"] == spark.read.parquet(home.path("links")).count()
 
 
 def test_backfill_resumes_and_sets_aside(spark):
