@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import date
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from daybook.functions.text import key_ident
@@ -18,42 +19,50 @@ REMOVES = {"drop_intent": ("stamped",), "stamp_done": ("queue", "failures"),
            "dequeue": ("queue",), "release_claim": ("claims",), "clear_failure": ("failures",)}
 # --- end of fixed values -----------------------------------------------------------------------
 
+#: The table that a released identifier is noted in while the log is applied.
+RELEASED = "_released"
+
 
 def apply_change_log(log: DataFrame, runs: DataFrame) -> DataFrame:
     """Current state of the six keyed tables as (tbl, key, op, record).
 
     ``log`` and ``runs`` name a run's stretch of the log by ``segment``, the position where it
     begins: a run id used twice is two stretches, and one does not commit the other.
+    The log is read once, with the commit flag looked up beside it.
     Operations of committed stretches count; of any other only stamp intents do.  Each
     operation becomes its effects, and the newest set and newest removal per key are two MAX
     aggregates that combine map-side, so a key written a billion times costs one row per task.
     """
-    committed = runs.filter("committed").select("segment")
-    counted = (log.join(committed, "segment", "left_semi").unionByName(
-        log.filter("op = 'stamp_intent'").join(committed, "segment", "left_anti")))
+    committed = runs.filter("committed").select("segment").distinct().withColumn(
+        "_committed", F.lit(True))
+    counted = log.join(committed, "segment", "left").filter(
+        "_committed OR op = 'stamp_intent'")
     kinds = {op: [(t, True) for t in tables] for op, tables in SETS.items()}
     for op, tables in REMOVES.items():
         kinds.setdefault(op, []).extend((t, False) for t in tables)
+    kinds["release"] = [(RELEASED, True)]
     effect = F.lit(None).cast("array<struct<tbl:string,is_set:boolean>>")
     for op, effects in kinds.items():
         effect = F.when(F.col("op") == op, F.array(*[
             F.struct(F.lit(t).alias("tbl"), F.lit(s).alias("is_set")) for t, s in effects])
         ).otherwise(effect)
-    rows = counted.select("seq", "op", "key", "record", F.explode(effect).alias("e"))
-    newest = rows.groupBy("e.tbl", "key").agg(
+    # An outer explode: before a plain one the optimizer would work the effects out to test them.
+    rows = counted.select("seq", "op", "key", "record", F.explode_outer(effect).alias("e"))
+    newest = rows.filter("e IS NOT NULL").groupBy("e.tbl", "key").agg(
         F.max(F.when(F.col("e.is_set"), F.struct("seq", "op", "record"))).alias("last_set"),
         F.max(F.when(~F.col("e.is_set"), F.col("seq"))).alias("last_remove"))
-    alive = newest.filter(F.col("last_set").isNotNull() & (
-        F.col("last_remove").isNull() | (F.col("last_remove") < F.col("last_set.seq"))
-        | ((F.col("tbl") == "stamped") & (F.col("last_set.op") == "stamp_done"))))
-    released = (counted.filter("op = 'release'").groupBy(F.col("key").alias("ident"))
-                .agg(F.max("seq").alias("released_at")))
-    held = (alive.filter("tbl = 'held'").withColumn("ident", key_ident(F.col("key")))
-            .join(released, "ident", "left")
-            .filter(F.col("released_at").isNull()
-                    | (F.col("released_at") < F.col("last_set.seq"))))
-    columns = ("tbl", "key", "last_set.op", "last_set.record")
-    return alive.filter("tbl <> 'held'").select(*columns).union(held.select(*columns))
+    # A release is a row of its own beside the held days of its identifier.
+    owner = F.when(F.col("tbl") == "held", key_ident(F.col("key"))).otherwise(F.col("key"))
+    freed = F.max(F.when(F.col("tbl") == RELEASED, F.col("last_set.seq"))).over(
+        W.partitionBy("ident"))
+    told = newest.withColumn("ident", owner).withColumn("released_at", freed)
+    return told.filter(
+        (F.col("tbl") != RELEASED) & F.col("last_set").isNotNull()
+        & (F.col("last_remove").isNull() | (F.col("last_remove") < F.col("last_set.seq"))
+           | ((F.col("tbl") == "stamped") & (F.col("last_set.op") == "stamp_done")))
+        & ((F.col("tbl") != "held") | F.col("released_at").isNull()
+           | (F.col("released_at") < F.col("last_set.seq")))).select(
+        "tbl", "key", "last_set.op", "last_set.record")
 
 
 def unseen_units(units: DataFrame, stamped: DataFrame, queue: DataFrame,
