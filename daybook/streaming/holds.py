@@ -3,7 +3,8 @@
 Input events, one column set: ident, kind ('day', 'resolved', 'lease'), key, at, until.
 Output rows: ident, key, outcome ('queued' when released, 'stale' when three days have passed
 with no live lease).  An identifier has at most one entry per day, so its state is bounded by
-the calendar.
+the calendar.  What falls due is indexed by its time: a timer reads the entry of its own moment and
+walks no queue, and a lease that has run out goes, whether or not its key was ever queued.
 """
 
 from __future__ import annotations
@@ -28,13 +29,21 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
             self.held = handle.getMapState("held", "key string", "at_ms long")
             self.queued = handle.getMapState("queued", "key string", "due_ms long")
             self.leases = handle.getMapState("leases", "key string", "until_ms long")
+            self.due = handle.getMapState("due", "at_ms long", "units array<string>")
+
+        def _remind(self, at_ms: int, unit: str) -> None:
+            units = self.due.getValue((at_ms,))[0] if self.due.containsKey((at_ms,)) else []
+            if not units:
+                self.handle.registerTimer(at_ms)
+            if unit not in units:
+                self.due.updateValue((at_ms,), ([*units, unit],))
 
         def _queue(self, ident: str, key: str, at_ms: int, out: list) -> None:
             if self.queued.containsKey((key,)):
                 return
             due = at_ms + stale_days * DAY_MS
             self.queued.updateValue((key,), (due,))
-            self.handle.registerTimer(due)
+            self._remind(due, key)
             out.append((ident, key, "queued", pd.Timestamp(at_ms, unit="ms")))
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
@@ -46,7 +55,7 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
         def _take(self, ident: str, events: pd.DataFrame) -> pd.DataFrame:
             out = []
             for e in events.itertuples():
-                at_ms = int(e.at.timestamp() * 1000)
+                at_ms = e.at.value // 1_000_000
                 if e.kind == "resolved":
                     if not self.person.exists():
                         self.person.update((at_ms,))
@@ -56,8 +65,10 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
                 elif e.kind == "lease":
                     known = self.leases.getValue((e.key,)) if self.leases.containsKey((e.key,)) \
                         else (0,)
-                    until = int(e.until.timestamp() * 1000)
-                    self.leases.updateValue((e.key,), (max(known[0], until),))
+                    until = e.until.value // 1_000_000
+                    if until > known[0]:
+                        self.leases.updateValue((e.key,), (until,))
+                        self._remind(until, e.key)
                 elif self.person.exists():
                     self._queue(ident, e.key, max(at_ms, self.person.get()[0]), out)
                 elif not self.held.containsKey((e.key,)):
@@ -68,19 +79,21 @@ def hold_processor(stale_days: int) -> StatefulProcessor:
             # A lease that ended before the watermark blocks nothing any more, so what counts is
             # the watermark and not the (earlier) moment the timer was set for.
             now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-            out = []
-            for (unit,), (due,) in list(self.queued.iterator()):
-                if due > now:
-                    continue
+            moment, out = (expiredTimerInfo.getExpiryTimeInMs(),), []
+            units = self.due.getValue(moment)[0] if self.due.containsKey(moment) else []
+            self.due.removeKey(moment)
+            for unit in units:
                 until = self.leases.getValue((unit,))[0] if self.leases.containsKey((unit,)) else 0
-                if until > now:  # leased: look again when the lease has run out
-                    self.queued.updateValue((unit,), (until,))
-                    self.handle.registerTimer(until)
-                    continue
-                self.queued.removeKey((unit,))
-                if self.leases.containsKey((unit,)):  # nothing asks for it any more
+                due = self.queued.getValue((unit,))[0] if self.queued.containsKey((unit,)) else None
+                if due is not None and due <= now:
+                    if until > now:  # leased: look again when the lease has run out
+                        self.queued.updateValue((unit,), (until,))
+                        self._remind(until, unit)
+                        continue
+                    self.queued.removeKey((unit,))
+                    out.append((key[0], unit, "stale", pd.Timestamp(now, unit="ms")))
+                if 0 < until <= now:  # it blocks nothing any more
                     self.leases.removeKey((unit,))
-                out.append((key[0], unit, "stale", pd.Timestamp(now, unit="ms")))
             yield pd.DataFrame(out, columns=["ident", "key", "outcome", "at"])
 
         def close(self) -> None:
