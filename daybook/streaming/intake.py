@@ -22,7 +22,7 @@ from daybook.functions.times import day_start, local_day
 from daybook.operators import fold as fo
 from daybook.operators.backfill import resume_from
 from daybook.operators.landing import landing_outcomes
-from daybook.sources.tables import read_upto, write_batch
+from daybook.sources.tables import batch_folders, merge_batches, read_upto, write_batch
 
 
 @dataclass(frozen=True)
@@ -247,14 +247,36 @@ def run_intake(stream: DataFrame, home: Home, settings: Settings, today: date,
     query.awaitTermination()
     if _days_due(spark, home, today, generation):
         # Nothing arrived, but days have closed since: an empty batch reads them.
-        last = spark.read.parquet(home.path("days_stored")).agg(F.max("batch")).first()[0]
+        last = read_upto(spark, home.path("days_stored"), _STORED, _ANY).agg(
+            F.max("batch")).first()[0]
         empty = spark.createDataFrame([], stream.schema)
         intake_batch(empty, last + 1 - generation * GENERATION, home, settings, today, generation,
                      first_day)
     save_progress(spark, home, stored_progress(spark, home, today, generation), generation)
+    merge_tables(home, stream)
     return {"before": before, "store_reset": reset, "first_run": mark is None}
 
 
+#: Batches that a table may hold in folders of their own; with more, a run ends by merging them.
+MERGE_AFTER = 50
+
+
+def merge_tables(home: Home, rows: DataFrame, most: int = MERGE_AFTER) -> None:
+    """Merge the batches of every intake table that has more than ``most`` of its own.
+
+    Only between runs, when all batches are complete: none of them will run again.  ``rows`` has
+    the columns of the messages stored.
+    """
+    spark = rows.sparkSession
+    tables = {"store": (_without_day(rows, spark), "day"), "days_stored": (_STORED,),
+              "days_read": (_READ,), "person_days": (_UNITS, "day"), "queue": (_UNITS, "day"),
+              "links": (_LINK, "day"), "report/intake": (_COUNTED,)}
+    for table, (schema, *by) in tables.items():
+        folders = batch_folders(spark, home.path(table))
+        if len(folders) > most:
+            merge_batches(spark, home.path(table), schema, folders[-1][1], *by)
+
+
 def _days_due(spark: SparkSession, home: Home, today: date, generation: int) -> bool:
     """Whether a closed day has rows that no batch has read."""
     got = read_upto(spark, home.path("days_stored"), _STORED, (generation + 1) * GENERATION - 1,

@@ -11,7 +11,8 @@ import __spark_entry__ as entry
 from daybook.operators import transcripts as tr
 from daybook.plans.adapters import SETTINGS, adapt
 from daybook.plans.q_messages import folded
-from daybook.sources.tables import exists
+from daybook.sources.tables import (
+    batch_folders, exists, merge_batches, read_upto, write_batch)
 from daybook.streaming import intake as it
 from tools.check import TABLES, table_of
 
@@ -93,3 +94,54 @@ def test_backfill_resumes_and_sets_aside(spark):
     it.run_backfill(messages, home, settings, dt.date(2024, 1, 1), dt.date(2024, 1, 20), max_blocks=1)
     other = it.run_backfill(messages, home, settings, *window, max_blocks=1)
     assert other["set_aside"] and other["resumed_from"] == window[0]
+
+
+def test_two_hundred_batches_are_merged_and_read_the_same(spark):
+    home = it.Home(tempfile.mkdtemp(prefix="daybook-test-"))
+    path = home.path("days_stored")
+    made = [(dt.date(2024, 1, 1 + b % 28), b, b, b, dt.datetime(2024, 1, 1)) for b in range(200)]
+    for b in range(200):
+        if b % 4 == 0:      # four batches a write keep the test short; each has its own folder
+            (spark.createDataFrame([(*made[n], n) for n in range(b, b + 4)],
+                                   "day date, rows long, low_rowid long, high_rowid long, "
+                                   "newest timestamp, batch long").coalesce(1)
+             .write.mode("append").partitionBy("batch").parquet(path))
+        if b % 20 == 19:
+            merge_batches(spark, path, it._STORED, b)
+    merge_batches(spark, path, it._STORED, 199)     # nothing new: the same rows again
+
+    def rows(upto, since=0):
+        return sorted((r["batch"], r["rows"]) for r in read_upto(
+            spark, path, it._STORED, upto, since).collect())
+
+    assert rows(199) == [(b, b) for b in range(200)]
+    assert rows(120, 60) == [(b, b) for b in range(60, 121)]
+    assert len(batch_folders(spark, path)) == 0
+    assert len(batch_folders(spark, f"{path}.merged/data", "generation")) == 2
+    # A merge cut off before its manifest, and one cut off before it has cleaned up.
+    for b in (200, 201):
+        write_batch(spark.createDataFrame([made[0]], it._STORED), path, b)
+    spark.createDataFrame([], it._STORED).write.parquet(f"{path}.merged/data/generation=11")
+    assert [b for b, _ in rows(300)] == list(range(202))
+    (spark.createDataFrame([made[5]], it._STORED).withColumn("batch", F.lit(5).cast("long"))
+     .write.mode("append").partitionBy("batch").parquet(path))
+    assert [b for b, _ in rows(300)] == list(range(202))
+    merge_batches(spark, path, it._STORED, 201)
+    assert [b for b, _ in rows(300)] == list(range(202)) and not batch_folders(spark, path)
+
+
+def test_an_intake_goes_on_after_its_tables_were_merged(spark, monkeypatch):
+    monkeypatch.setattr(it, "MERGE_AFTER", 1)
+    home = it.Home(tempfile.mkdtemp(prefix="daybook-test-"))
+    messages = adapt(spark, BASE, "messages")
+    today = dt.date(2024, 1, 20)
+    for batch in range(3):
+        it.intake_batch(messages.filter(F.col("rowid") % 3 == batch), batch, home, SETTINGS, today)
+        it.merge_tables(home, messages, most=1)
+    whole = folded(spark, BASE)["person_days"].filter(F.col("day") < F.lit(today))
+    want = {(r["key"], r["turns"], r["messages"]) for r in whole.collect()}
+    got = it.current_person_days(spark, home).collect()
+    assert {(r["key"], r["turns"], r["messages"]) for r in got} == want and len(got) == len(want)
+    queue = read_upto(spark, home.path("queue"), it._UNITS, 9)
+    assert queue.count() == queue.select("key").distinct().count() == len(want)
+    assert it.run_report(spark, home).first()["rows_scanned"] == messages.count()
