@@ -134,7 +134,9 @@ def free_of_items(messages: DataFrame, items: DataFrame, item: str = "item_id",
     """``messages`` with all its columns, without the rows whose body contains an item.
 
     Containment as in ``contained_items``; decided row by row where the text is read, so nothing
-    is joined or shuffled and rows without an id are judged like any other.
+    is joined or shuffled and rows without an id, and repeated ones, are judged like any other.  A
+    NULL or blank body contains nothing and stays, long bodies are read whole, without items all rows
+    stay, and an empty table gives an empty table.
     """
     for block in _passes(items, item):
         index = messages.sparkSession.sparkContext.broadcast(
@@ -162,7 +164,8 @@ def contained_items(messages: DataFrame, items: DataFrame, item: str = "item_id"
     then the exact shingle sets decide.
 
     A NULL or blank body holds nothing, a NULL or blank item is found nowhere; equal items under
-    several ids are reported for each; repeated messages give repeated rows.
+    several ids are reported for each, so ties keep all; repeated messages, and messages without an
+    id, give rows of their own; bodies of any length are read whole.  No rows on either side give none.
     """
     spark = messages.sparkSession
     out = spark.createDataFrame([], _HIT)

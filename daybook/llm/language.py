@@ -218,7 +218,9 @@ def identify_languages(messages: DataFrame, model: LanguageModel | None,
     ``messages``: ``rowid, text`` (other columns are ignored).  ``score`` is the calibrated
     probability of the language named; ``rejected`` is true below the model's bound.  Map-only.
     A NULL body or one without a letter is ``und`` with score 0 and rejected, as is every body
-    if there was nothing to learn from; repeated rows are judged each, long bodies whole.
+    if there was nothing to learn from; repeated rows and rows without an id are judged each, long
+    bodies whole.  Of languages with the same probability the first by name is given.  An empty
+    table gives an empty table.
     """
     told = messages.select("rowid", language_column(model)(text).alias("l"))
     return told.select("rowid", "l.lang_pred", "l.score", "l.rejected")

@@ -157,7 +157,10 @@ def pack_messages(messages: DataFrame, vocabulary: str, capacity: Capacity = Cap
     with the lengths of the whole, and packed longest first by ``best_fit``.  Sequences left
     under nine tenths full are opened again, and their pieces are dealt and packed once more.
 
-    NULL and empty bodies are one piece that holds only ``end``; repeated rows are packed each.
+    NULL and empty bodies are one piece that holds only ``end``; repeated rows and rows without an id
+    are packed each; a body of any length is cut, never left out.  Pieces of one length are taken in
+    the order of their copies, sequences that fit equally well in the order they were opened.  An
+    empty table gives an empty table.
     """
     pieces = durable(cut_messages(messages, vocabulary, capacity, end))
     whole = pieces.filter(F.col("length") >= capacity.tokens).select(

@@ -150,7 +150,9 @@ def repetition_verdicts(messages: DataFrame, rules: RepetitionRules = Repetition
     substrings, and their spans are united.
 
     Map-only; the texts of a batch share one vectorised suffix sort.  NULL and empty bodies have
-    no words and fail; a row stands for itself, so repeated rows repeat; any length is read whole.
+    no words and fail; a row stands for itself, so repeated rows repeat and a NULL id is kept; any
+    length is read whole.  Repeats of one length all count, so there are no ties to settle.  An empty
+    table gives an empty table.
     """
     schema = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, "
               "n_repeat_words long, base_failed boolean, kept boolean, covered_fraction double, "

@@ -209,7 +209,8 @@ def fit_rule_ensemble(messages: DataFrame, verdicts: DataFrame, most: int = SAMP
 
     At most ``most`` verdicts are used, those whose rowid hashes lowest, so the sample does not
     depend on how rows are laid out and what reaches the driver is bounded: one row of numbers
-    each.  NULL verdicts are left out; several of one rowid count by their mean.
+    each.  NULL verdicts are left out; several of one rowid count by their mean; ids whose hashes tie
+    are ordered by the id.
     """
     sample = (verdicts.filter("keep IS NOT NULL AND rowid IS NOT NULL").groupBy("rowid")
               .agg((F.avg("keep") >= 0.5).cast("double").alias("keep"))
@@ -225,8 +226,11 @@ def rate_messages(messages: DataFrame, model: RuleEnsemble) -> DataFrame:
     """``rowid, score, predicted`` of every message body.
 
     ``messages``: ``rowid, text`` (other columns are ignored).  The statistics of a batch are
-    counted in one vectorised pass; the rules are column expressions over them.  NULL counts as empty, and an empty body
-    is scored on zero counts; repeated rows are scored each; a body is read whole at any length.
+    counted in one vectorised pass; the rules are column expressions over them.
+
+    NULL counts as empty, and an empty body is scored on zero counts; repeated rows and rows without
+    an id are scored each, equal bodies alike; a body is read whole at any length; a score of exactly
+    one half is predicted 1; an empty table gives an empty table.
     """
     rated = statistics(messages).select("rowid", model.score().alias("score"))
     return rated.select("rowid", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
