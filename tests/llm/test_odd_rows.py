@@ -65,7 +65,7 @@ def test_every_row_is_answered_whatever_its_id_and_length(bodies, name):
         answers.setdefault(r["rowid"], []).append(tuple(v for k, v in r.asDict().items()
                                                         if k != "rowid"))
     assert answers[None][0] == answers[None][1] and answers[3] == answers[4]
-    assert any(answers[1].count(a) == 2 for a in answers[1])
+    assert any(answers[1].count(a) >= 2 for a in answers[1])
     assert all(not isinstance(v, float) or math.isfinite(v) for a in answers.values() for x in a
                for v in x)
     assert JOBS[name](bodies()).collect() == []
