@@ -22,6 +22,9 @@ SCRUB_CONTROL = r"[\x00-\x1f\x7f-\x9f\u2028\u2029]"
 SCRUB_EMAIL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+"
 SCRUB_PHONE = r"\+\d{7,15}|\d{10,}"
 SCRUB_DASH = r"(?U)\s*—\s*"
+ONE_TOPIC = r"(?s)^(Texts \(\d+\)): (.*)$"
+GROUP_TOPIC = r"(?s)^(Group texts in )(.*)( \(\d+ messages\))$"
+LINK_NAME = r"^(\d{4}-\d{2}-\d{2})-(.*)-(\d+)\.txt$"
 # --- end of fixed values --------------------------------------------------------------
 
 
@@ -195,13 +198,12 @@ def mask_tail(c: Column) -> Column:
 
 def mask_topic(c: Column) -> Column:
     """Structure and counts stay, quoted words and names become their length."""
-    one, group = r"(?s)^(Texts \(\d+\)): (.*)$", r"(?s)^(Group texts in )(.*)( \(\d+ messages\))$"
-    return (F.when(c.rlike(one), F.format_string(
-                "%s: <%d chars>", F.regexp_extract(c, one, 1),
-                F.length(F.regexp_extract(c, one, 2))))
-            .when(c.rlike(group), F.format_string(
-                "%s<%d chars>%s", F.regexp_extract(c, group, 1),
-                F.length(F.regexp_extract(c, group, 2)), F.regexp_extract(c, group, 3)))
+    return (F.when(c.rlike(ONE_TOPIC), F.format_string(
+                "%s: <%d chars>", F.regexp_extract(c, ONE_TOPIC, 1),
+                F.length(F.regexp_extract(c, ONE_TOPIC, 2))))
+            .when(c.rlike(GROUP_TOPIC), F.format_string(
+                "%s<%d chars>%s", F.regexp_extract(c, GROUP_TOPIC, 1),
+                F.length(F.regexp_extract(c, GROUP_TOPIC, 2)), F.regexp_extract(c, GROUP_TOPIC, 3)))
             .otherwise(F.format_string("<%d chars>", F.length(c))))
 
 
@@ -209,10 +211,10 @@ def mask_link(c: Column) -> Column:
     """A transcript link with the label taken out of the file name."""
     name = F.substring_index(c, "/", -1)
     head = F.substring(c, F.lit(1), F.length(c) - F.length(name))
-    shape = r"^(\d{4}-\d{2}-\d{2})-(.*)-(\d+)\.txt$"
-    masked = (F.when(name.rlike(shape), F.format_string(
-                  "%s-<%d chars>-%s.txt", F.regexp_extract(name, shape, 1),
-                  F.length(F.regexp_extract(name, shape, 2)), F.regexp_extract(name, shape, 3)))
+    masked = (F.when(name.rlike(LINK_NAME), F.format_string(
+                  "%s-<%d chars>-%s.txt", F.regexp_extract(name, LINK_NAME, 1),
+                  F.length(F.regexp_extract(name, LINK_NAME, 2)),
+                  F.regexp_extract(name, LINK_NAME, 3)))
               .otherwise(F.format_string("<%d chars>", F.length(name))))
     return F.concat(head, masked)
 
