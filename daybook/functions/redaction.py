@@ -222,6 +222,11 @@ def _found(body: str) -> str:
                                       f"ELSE cast(array() AS {SPAN_TYPE}) END")
 
 
+def _gated(body: str, work: str, rest: str) -> str:
+    """``work`` for a body with an anchor; others cost one compiled test."""
+    return f"CASE WHEN {body} RLIKE {_text(_ANCHOR)} THEN {work} ELSE {rest} END"
+
+
 def _bound(value: str, name: str, work: str) -> str:
     """Evaluate ``value`` once and use it as ``name`` in ``work``."""
     return f"transform(array({value}), {name} -> {work})[0]"
@@ -236,8 +241,8 @@ def _plain(body: str) -> str:
 
 def redaction_spans(column: str) -> Column:
     """The winning, non-overlapping spans of a body: array of (start, neg_len, rule_no)."""
-    return F.expr(f"coalesce({_bound(_plain(column), 'b', _found('b'))}, "
-                  f"cast(array() AS {SPAN_TYPE}))")
+    work = _bound(_plain(column), "b", _found("b"))
+    return F.expr(_gated(column, work, f"cast(array() AS {SPAN_TYPE})"))
 
 
 def rule_name(rule_no: Column) -> Column:
@@ -250,7 +255,7 @@ def redact_sql(body: str) -> str:
         (a, s) -> named_struct('at', s.start - s.neg_len, 'out', concat(a.out,
           substring({body}, a.at + 1, s.start - a.at), {_text(REDACTION)})),
         a -> concat(a.out, substring({body}, a.at + 1, length({body})))) END"""
-    return _bound(_bound(_plain(body), "b", _found("b")), "hits", rebuilt)
+    return _gated(body, _bound(_bound(_plain(body), "b", _found("b")), "hits", rebuilt), body)
 
 
 def redact(column: str) -> Column:
